@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import multiset_hash
+from . import decontaminate, multiset_hash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_document_fingerprints": multiset_hash.query,
+    "op10_benchmark_decontamination": decontaminate.query,
 }
 ORACLES: dict[str, str] = {}

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, multiset_hash
+from . import decontaminate, multiset_hash, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_document_fingerprints": multiset_hash.query,
+    "op8_simhash_near_dedup": simhash.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 ORACLES: dict[str, str] = {}

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, multiset_hash, simhash
+from . import decontaminate, multiset_hash, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_suffix_array_dedup": suffix_dedup.query,
     "op7_document_fingerprints": multiset_hash.query,
     "op8_simhash_near_dedup": simhash.query,
     "op10_benchmark_decontamination": decontaminate.query,

@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, multiset_hash, sharding, simhash, suffix_dedup, token_files
+from . import decontaminate, multiset_hash, sharding, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity_crf": toxicity.query,
     "op5_suffix_array_dedup": suffix_dedup.query,
     "op6_vector_bin_packing": sharding.query,
     "op7_document_fingerprints": multiset_hash.query,
     "op8_simhash_near_dedup": simhash.query,
-    "op9_token_files": token_files.query,
+    "op9_token_files, toxicity": token_files.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 ORACLES: dict[str, str] = {}

@@ -5,17 +5,18 @@ Consecutive windows with the same anchor form a stretch; a record holds the suff
 words, a hash of the whole stretch, and where it lies. Sampled splitters range-partition the records by those
 leading bytes, and each bucket sorts its records by multikey quicksort (first word, then ties by the second,
 then by the stretch). Equal stretches settle all their windows at once. Where one anchor continues in different
-ways, also across the boundary of two buckets, the windows of the least document of each stretch are compared
-one by one in a second round. Both rounds ship packed columns, so Spark moves few, large rows.
+ways, also across the boundary of two buckets, a second round compares the windows of each different stretch
+one by one. Texts travel once, as compressed blocks, and both rounds ship packed columns that name a block and
+places in it, so Spark moves few, large rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,9 @@ MAX_BUCKETS = 1 << 16
 #: Splitters come from this many documents at most, and this many records of each.
 SAMPLE_DOCS, SAMPLE_RECORDS = 2000, 32
 
+#: Different stretches of one anchor up to which their bytes are brought together; beyond, single windows are dealt out.
+TOGETHER = 1000
+
 _MIX1, _MIX2, _MIX3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _BASE = 0x9DDFEA08EB382D69
 _POWERS: dict[str, np.ndarray] = {}
@@ -189,223 +193,323 @@ def _buckets(cuts: list[tuple[int, int, int]], words: tuple[np.ndarray, np.ndarr
     return out
 
 
-def _records(texts: list[bytes], length: int) -> tuple[_Text, tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
-    text = _Text(texts, length)
+def _records(text: _Text) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each suffix (its leading 16 bytes and its stretch), anchor, first window and number of windows.
+
+    The stretch's word holds 48 bits of its hash and 8 bits each of the 17 bytes before and after the anchor.
+    Any window with the anchor holds one of those two sides in full, so what shares neither shares no window.
+    """
     anchor, first, last = text.stretches()
-    stretch = text.hash(first, last + length) + (anchor - first).astype(np.uint64) * _MIX2
-    doc = np.searchsorted(text.offsets, first, "right") - 1
-    return text, (text.words[anchor], text.words[anchor + 8], stretch), doc, first, last
+    end = last + text.length
+    word = text.hash(first, end) + (anchor - first).astype(np.uint64) * _MIX2
+    side = (text.length - ANCHOR + 1) // 2
+    before = text.hash(np.maximum(first, anchor - side), anchor + ANCHOR) & np.uint64(255)
+    after = text.hash(anchor, np.minimum(end, anchor + ANCHOR + side)) & np.uint64(255)
+    word = (word & ~np.uint64(0xFFFF)) | before << np.uint64(8) | after
+    return (text.words[anchor], text.words[anchor + 8], word), anchor, first, last - first + 1
+
+
+SHIP = "bucket int, block long, blob binary"
 
 
-SHIP = "bucket int, doc_id long, tag long, blob binary"
+def _rows(bucket: list[int], block: list[int], blob: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(blob, pa.binary())], ["bucket", "block", "blob"])
 
 
-def _rows(bucket: list[int], doc_id: list, tag: list, blob: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(tag, pa.int64()), pa.array(blob, pa.binary())], ["bucket", "doc_id", "tag", "blob"])
+def _deltas(places: np.ndarray) -> np.ndarray:
+    return np.diff(places, prepend=0).astype(np.uint32)
 
 
-def _settled(bucket: int, ids: np.ndarray, tags: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each document with the packed columns of its rows."""
-    if not len(ids):
+def _settled(kind: int, blocks: np.ndarray, places: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each block with its places (ascending) and what goes with them, packed."""
+    if not len(blocks):
         return
-    order = np.lexsort((tags, ids))
-    ids, tags, columns = ids[order], tags[order], [c[order] for c in columns]
-    starts = np.append(np.flatnonzero(_changes(ids, tags)), len(ids))
-    blobs = [b"".join(c[s:e].astype("<u4").tobytes() for c in columns) for s, e in zip(starts[:-1], starts[1:])]
-    yield _rows([bucket] * len(blobs), ids[starts[:-1]].tolist(), tags[starts[:-1]].tolist(), blobs)
-
-
-def _ship(block: list[list], buckets: np.ndarray, n_buckets: int, doc: np.ndarray, columns: list[np.ndarray], keys: list[np.ndarray], start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Settle what has an equal record in a smaller document of the block; ship the others, packed by bucket."""
-    ids, tags = np.array(block[1], np.int64), np.array(block[2], np.int64)
-    order = multikey_order([*keys, ids[doc]])
-    new = _changes(*[k[order] for k in keys])
-    own = ids[doc[order]]
-    least = _leasts(own, new)
-    hit = own > least
-    rows = order[hit]
-    yield from _settled(-1, ids[doc[rows]], tags[doc[rows]], start[rows], count[rows])
-    keep = np.sort(order[~hit])
+    order = np.lexsort((places, blocks))
+    blocks, places, columns = blocks[order], places[order], [c[order] for c in columns]
+    edges = np.append(np.flatnonzero(_changes(blocks)), len(blocks))
+    for s, e in zip(edges[:-1], edges[1:]):
+        yield _rows([kind], [int(blocks[s])], [_pack([_deltas(places[s:e]), *[c[s:e] for c in columns]])])
+
+
+def _places(blobs: list[bytes] | None) -> tuple[np.ndarray, ...] | None:
+    if not blobs:
+        return None
+    parts = [_unpack(b) for b in blobs]
+    return np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in parts]), *[np.concatenate([p[i] for p in parts]) for i in range(1, len(parts[0]))]
+
+
+def _ship(block: int, ids: np.ndarray, offsets: np.ndarray, buckets: np.ndarray, places: np.ndarray, keys: list[np.ndarray], columns: list[np.ndarray], counts: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+    """Settle what has an equal record in a smaller document of the block; ship the others, packed by bucket.
+
+    kind tells what the columns are; a shipped row holds the documents' ids and offsets, for comparing by id.
+    """
+    own = ids[np.searchsorted(offsets, places, "right") - 1]
+    if keys:
+        order = multikey_order([*keys, own])
+        hit = np.empty(len(own), bool)
+        hit[order] = own[order] > _leasts(own[order], _changes(*[k[order] for k in keys]))
+        yield from _settled(HIT, np.full(int(hit.sum()), block), places[hit], counts[hit].astype(np.uint8))
+        keep = np.flatnonzero(~hit)
+    else:
+        keep = np.arange(len(own))
     by = keep[np.argsort(buckets[keep], kind="stable")]
-    cuts = np.searchsorted(buckets[by], np.arange(n_buckets + 1))
-    for b in range(n_buckets):
-        if cuts[b] < cuts[b + 1]:
-            part = by[cuts[b] : cuts[b + 1]]
-            used, index = np.unique(doc[part], return_inverse=True)
-            yield _rows([b], [None], [None], [_pack([ids[used], tags[used], index.astype(np.uint32), start[part].astype(np.uint32), *[c[part] for c in columns]])])
+    edges = np.append(np.flatnonzero(_changes(buckets[by])), len(by))
+    for s, e in zip(edges[:-1], edges[1:]):
+        part = by[s:e]
+        docs = np.unique(np.searchsorted(offsets, places[part], "right") - 1)
+        yield _rows([int(buckets[part[0]])], [block], [_pack([np.array([kind]), ids[docs], offsets[docs], _deltas(places[part]), *[c[part] for c in columns]])])
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes] | pa.RecordBatch]]:
-    """Rows come sorted by bucket: settled ones are handed on, the blobs of a bucket come together."""
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]] | pa.RecordBatch]]:
+    """Rows come sorted by bucket: settled ones are handed on, the blobs of a bucket come together with their blocks."""
     bucket, blobs = None, []
     for batch in batches:
         for i, b in enumerate(batch.column(0).to_pylist()):
             if b < 0:
-                yield -1, batch.slice(i, 1)
+                yield b, batch.slice(i, 1)
                 continue
             if b != bucket and blobs:
                 yield bucket, blobs
                 blobs = []
             bucket = b
-            blobs.append(batch.column(3)[i].as_py())
+            blobs.append((batch.column(1)[i].as_py(), batch.column(2)[i].as_py()))
     if blobs:
         yield bucket, blobs
 
 
-def _columns(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    parts = [_unpack(b) for b in blobs]
-    ids, tags = np.concatenate([p[0][p[2]] for p in parts]), np.concatenate([p[1][p[2]] for p in parts])
-    return ids, tags, *[np.concatenate([p[i] for p in parts]) for i in range(3, len(parts[0]))]
+def _opened(blobs: list[tuple[int, bytes]]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Per blob its kind and: the block of each record, the ids of its document, its place, and the other columns."""
+    for block, blob in blobs:
+        kind, ids, offsets, deltas, *columns = _unpack(blob)
+        places = np.cumsum(deltas, dtype=np.int64)
+        yield int(kind[0]), [np.full(len(places), block), ids[np.searchsorted(offsets, places, "right") - 1], places, *columns]
 
 
-def _passed(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if rows:
-        yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
-        rows.clear()
-
-
-def _local(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    return docs.select(text.alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"))
+#: Kinds of rows: windows found covered; records asking for the second round, their bytes together or their windows singly.
+HIT, ASK, ASK_SINGLY = -1, -2, -3
+RECORDS, BYTES, WINDOWS = 0, 1, 2
 
 
 def _dealt(df: DataFrame, n: int) -> DataFrame:
-    """Bucket b to partition b; settled rows, with bucket -1, by their document."""
-    place = F.when(F.col("bucket") < 0, F.pmod(F.col("tag"), F.lit(n))).otherwise(F.col("bucket")).cast("int")
+    """Bucket b to partition b; settled rows, with negative buckets, by their block."""
+    place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("block"), F.lit(n))).otherwise(F.col("bucket")).cast("int")
     return df.repartitionById(n, place).sortWithinPartitions("bucket")
 
 
-def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """The texts dealt out by document, and per document (doc_id, tag) blobs of window starts and counts that are covered."""
+def _text_blocks(base: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (block, ids, data): the texts of some documents, compressed as one, and their other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for i, rows in enumerate(_blocks(batches, 1 + len(columns))):
+            sizes = np.array([len(t) for t in rows[0]], np.int64)
+            nulls = np.array([x is None for x in rows[1]], np.uint8)
+            ids = np.array([x or 0 for x in rows[1]], np.int64)
+            data = _pack([sizes, nulls, ids, np.frombuffer(b"".join(rows[0]), np.uint8)])
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + i], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
+
+    return base.mapInArrow(run, "block long, data binary")
+
+
+class _Block:
+    def __init__(self, data: bytes) -> None:
+        sizes, nulls, self.ids, joined = _unpack(data)
+        self.nulls, self.offsets = nulls.astype(bool), np.concatenate(([0], np.cumsum(sizes)))
+        self.texts = [joined[a:b].tobytes() for a, b in zip(self.offsets[:-1], self.offsets[1:])]
+        #: Documents with a null id take no part: their bytes are hidden behind texts that are too short.
+        self.seen = [b"" if null else t for t, null in zip(self.texts, self.nulls)]
+        self.seen_offsets = np.concatenate(([0], np.cumsum([len(t) for t in self.seen])))
+
+
+def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """Rows (block, data, hits): blocks of texts, and blobs of the places and counts of covered windows in each."""
     spark = docs.sparkSession
-    base = _local(docs, id_col, text_col)
-    known = base.where("doc_id IS NOT NULL")
-    total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes")).first()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    base = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    total = base.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes")).first()
     n_buckets = min(MAX_BUCKETS, max(partitions(spark), -(-total["bytes"] // BUCKET)))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, 3):
-            _, words, doc, _, _ = _records(block[0], length)
+        for block in _blocks(batches, 1):
+            text = _Text(block[0], length)
+            words, _, first, _ = _records(text)
+            doc = np.searchsorted(text.offsets, first, "right") - 1
             at = np.flatnonzero(np.arange(len(doc)) % np.maximum(1, np.bincount(doc, minlength=1)[doc] // SAMPLE_RECORDS) == 0) if len(doc) else doc
             yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)) for w in words], ["a", "b", "c"])
 
     share = min(1.0, SAMPLE_DOCS / max(1, total["n"]))
-    picked = known.sample(share, 1).mapInArrow(sample, "a long, b long, c long").toPandas().to_numpy(np.int64).view(np.uint64)
+    picked = base.select("text").sample(share, 1).mapInArrow(sample, "a long, b long, c long").toPandas().to_numpy(np.int64).view(np.uint64)
     picked = picked[np.lexsort((picked[:, 2], picked[:, 1], picked[:, 0]))]
     places = [len(picked) * i // n_buckets for i in range(1, n_buckets)] if len(picked) else []
     cuts = sorted({tuple(map(int, picked[i])) for i in places})
     n_buckets = len(cuts) + 1
     second = max(partitions(spark), n_buckets // 4)
+    blocks = _text_blocks(base, ["doc_id"]).repartition(max(partitions(spark), n_buckets), "block")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, 3):
-            _, words, doc, first, last = _records(block[0], length)
-            text_start = np.concatenate(([0], np.cumsum([len(t) for t in block[0]])))
-            yield from _ship(block, _buckets(cuts, words), n_buckets, doc, list(words) + [(last - first + 1).astype(np.uint8)], list(words), first - text_start[doc], last - first + 1)
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                block = _Block(data.as_py())
+                words, _, first, count = _records(_Text(block.seen, length))
+                yield from _ship(number, block.ids, block.seen_offsets, _buckets(cuts, words), first, list(words), [*words, count.astype(np.uint8)], count, RECORDS)
 
     def sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
         for bucket, blobs in _gather(batches):
             if bucket < 0:
-                rest.append(blobs)
+                yield blobs
                 continue
-            ids, tags, start, w1, w2, stretch, count = _columns(blobs)
-            order = multikey_order([w1, w2, stretch, ids])
-            ids, tags, start, w1, w2, stretch, count = (x[order] for x in (ids, tags, start, w1, w2, stretch, count))
+            columns = [np.concatenate(c) for c in zip(*[columns for _, columns in _opened(blobs)])]
+            order = multikey_order([*columns[3:6], columns[1]])
+            block, ids, place, w1, w2, stretch, count = (x[order] for x in columns)
             new = _changes(w1, w2)
             same = new | _changes(stretch)
             hit = ids > _leasts(ids, same)
-            yield from _settled(-1, ids[hit], tags[hit], start[hit], count[hit])
+            yield from _settled(HIT, block[hit], place[hit], count[hit])
             #: Anchors that continue in more than one way and lie in more than one document, or reach into the next bucket.
             groups = np.cumsum(new) - 1
-            several = (np.bincount(groups[same]) > 1) & (np.minimum.reduceat(ids, np.flatnonzero(new)) < np.maximum.reduceat(ids, np.flatnonzero(new)))
-            ask = several[groups]
+            starts = np.flatnonzero(new)
+            ways = np.bincount(groups[same])
+            several = (ways > 1) & (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts))
+            reaching = np.zeros(len(ids), bool)
             for cut in cuts[max(0, bucket - 1) : bucket + 1]:
-                ask |= (w1 == np.uint64(cut[0])) & (w2 == np.uint64(cut[1]))
-            ask &= ~hit
-            yield from _settled(-2, ids[ask], tags[ask], start[ask], count[ask])
-        yield from _passed(rest)
-
-    first = _dealt(known.mapInArrow(suffixes, SHIP), n_buckets).mapInArrow(sorted_buckets, SHIP)
-    by_doc = first.groupBy("doc_id", "tag").agg(F.collect_list(F.when(F.col("bucket") == -1, F.col("blob"))).alias("hits"), F.collect_list(F.when(F.col("bucket") == -2, F.col("blob"))).alias("asks"))
-    placed = base.repartition(partitions(spark), "doc_id", "tag")
-    asked = placed.join(by_doc, ["doc_id", "tag"], "inner").select("text", "doc_id", "tag", "hits", "asks")
+                reaching |= (w1 == np.uint64(cut[0])) & (w2 == np.uint64(cut[1]))
+            ask = (several[groups] | reaching) & same
+            ask &= reaching | _alike(groups, stretch >> np.uint64(8) & np.uint64(255), ask) | _alike(groups, stretch & np.uint64(255), ask)
+            singly = ask & (reaching | (ways[groups] > TOGETHER))
+            for kind, rows in ((ASK_SINGLY, singly), (ASK, ask & ~singly)):
+                yield from _settled(kind, block[rows], place[rows], count[rows])
+
+    first = _dealt(blocks.mapInArrow(suffixes, SHIP), n_buckets).mapInArrow(sorted_buckets, SHIP)
+    kinds = {"hits": HIT, "asks": ASK, "asks_singly": ASK_SINGLY}
+    by_block = first.groupBy("block").agg(*[F.collect_list(F.when(F.col("bucket") == kind, F.col("blob"))).alias(name) for name, kind in kinds.items()])
+    asked = blocks.join(by_block, "block", "left").select("block", "data", *kinds)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, 5):
-            known_hits = [i for i, x in enumerate(block[3]) if x]
-            if known_hits:
-                yield _rows([-1] * len(known_hits), [block[1][i] for i in known_hits], [block[2][i] for i in known_hits], [_merged(block[3][i]) for i in known_hits])
-            asking = [i for i, x in enumerate(block[4]) if x]
-            if not asking:
-                continue
-            block = [[column[i] for i in asking] for column in block]
-            text = _Text(block[0], length)
-            runs = [np.concatenate([np.frombuffer(b, "<u4").reshape(2, -1) for b in blobs], axis=1).astype(np.int64) for blobs in block[4]]
-            start = np.concatenate([r[0] + o for r, o in zip(runs, text.offsets)])
-            count = np.concatenate([r[1] for r in runs])
-            doc = np.repeat(np.repeat(np.arange(len(runs)), [r.shape[1] for r in runs]), count)
-            at = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            key, check = text.hash(at, at + length), _mix(text.words[at] * _MIX3 ^ text.anchors[at + length - ANCHOR])
-            bucket = ((key >> np.uint64(40)) * np.uint64(second) >> np.uint64(24)).astype(np.int64)
-            yield from _ship(block, bucket, second, doc, [key, check], [key, check], at - text.offsets[doc], np.ones(len(at), np.int64))
+        for batch in batches:
+            for number, data, hits, asks, singly in zip(*[batch.column(i) for i in range(5)]):
+                number = number.as_py()
+                for blob in hits.as_py() or ():
+                    yield _rows([HIT], [number], [blob])
+                together, apart = _places(asks.as_py()), _places(singly.as_py())
+                if together is None and apart is None:
+                    continue
+                block = _Block(data.as_py())
+                text = _Text(block.seen, length)
+                if together is not None:
+                    order = np.argsort(together[0])
+                    place, count = together[0][order], together[1][order].astype(np.int64)
+                    anchor = _anchor_of(text, place)
+                    key = _mix(text.words[anchor] * _MIX1 ^ text.words[anchor + 8])
+                    joined = np.frombuffer(b"".join(block.seen), np.uint8)
+                    buckets = _spread(key, second)
+                    for b in np.unique(buckets):
+                        part = np.flatnonzero(buckets == b)
+                        size = count[part] + length - 1
+                        at = np.repeat(place[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                        docs = np.unique(np.searchsorted(block.seen_offsets, place[part], "right") - 1)
+                        yield _rows([int(b)], [number], [_pack([np.array([BYTES]), block.ids[docs], block.seen_offsets[docs], _deltas(place[part]), count[part].astype(np.uint8), joined[at]])])
+                if apart is not None:
+                    order = np.argsort(apart[0])
+                    at = _each(apart[0][order], apart[1][order].astype(np.int64))
+                    key, check = _window_keys(text, at)
+                    yield from _ship(number, block.ids, block.seen_offsets, _spread(key, second), at, [key, check], [key, check], np.ones(len(at), np.int64), WINDOWS)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
         for bucket, blobs in _gather(batches):
             if bucket < 0:
-                rest.append(blobs)
+                yield blobs
                 continue
-            ids, tags, start, key, check = _columns(blobs)
+            parts = []
+            for kind, columns in _opened([x for x in blobs]):
+                if kind == BYTES:
+                    number, ids, place, count, joined = columns
+                    count = count.astype(np.int64)
+                    size = count + length - 1
+                    start = np.cumsum(size) - size
+                    text = _Text([joined.tobytes()], length)
+                    key, check = _window_keys(text, _each(start, count))
+                    columns = [np.repeat(number, count), np.repeat(ids, count), _each(place, count), key, check]
+                parts.append(columns)
+            number, ids, place, key, check = (np.concatenate(c) for c in zip(*parts))
             order = multikey_order([key, check, ids])
-            ids, tags, start, key, check = (x[order] for x in (ids, tags, start, key, check))
-            hit = ids > _leasts(ids, _changes(key, check))
-            yield from _settled(-1, ids[hit], tags[hit], start[hit], np.ones(hit.sum(), np.int64))
-        yield from _passed(rest)
+            hit = order[ids[order] > _leasts(ids[order], _changes(key[order], check[order]))]
+            yield from _settled(HIT, number[hit], place[hit], np.ones(len(hit), np.uint8))
 
     hits = _dealt(asked.mapInArrow(windows, SHIP), second).mapInArrow(compared, SHIP)
-    return placed, hits.groupBy("doc_id", "tag").agg(F.collect_list("blob").alias("hits"))
+    return blocks.join(hits.groupBy("block").agg(F.collect_list("blob").alias("hits")), "block", "left").select("block", "data", "hits")
+
+
+def _alike(groups: np.ndarray, side: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """True for those of the rows whose side another of them in the group has too."""
+    at = np.flatnonzero(rows)
+    at = at[np.lexsort((side[at], groups[at]))]
+    out = np.zeros(len(groups), bool)
+    if len(at) > 1:
+        equal = (groups[at[1:]] == groups[at[:-1]]) & (side[at[1:]] == side[at[:-1]])
+        out[at[1:][equal]] = True
+        out[at[:-1][equal]] = True
+    return out
+
+
+def _each(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _spread(key: np.ndarray, n: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _merged(blobs: list[bytes]) -> bytes:
-    return np.concatenate([np.frombuffer(b, "<u4").reshape(2, -1) for b in blobs], axis=1).tobytes()
+def _window_keys(text: _Text, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits that stand for the window at each place."""
+    check = _mix(text.words[at] * _MIX3 ^ text.anchors[at + text.length - ANCHOR]) >> np.uint64(32)
+    return text.hash(at, at + text.length), check.astype(np.uint32)
 
 
-def spans(blobs: list[bytes] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchor_of(text: _Text, place: np.ndarray) -> np.ndarray:
+    """The anchor of the window at each place: the first least hash within."""
+    width = text.length - ANCHOR + 1
+    return place + np.lib.stride_tricks.sliding_window_view(text.anchors, width)[place].argmin(axis=1)
+
+
+def spans(places: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that the windows cover."""
-    if not blobs:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    runs = np.concatenate([np.frombuffer(b, "<u4").reshape(2, -1) for b in blobs], axis=1).astype(np.int64)
-    runs = runs[:, np.argsort(runs[0], kind="stable")]
-    ends = np.maximum.accumulate(runs[0] + runs[1] + length - 1)
+    order = np.argsort(places, kind="stable")
+    starts, ends = places[order], np.maximum.accumulate(places[order] + counts[order] + length - 1)
+    if not len(starts):
+        return starts, ends
     new = np.ones(len(ends), bool)
-    new[1:] = runs[0, 1:] > ends[:-1]
-    starts = np.flatnonzero(new)
-    return runs[0, starts], ends[np.append(starts[1:], len(ends)) - 1]
+    new[1:] = starts[1:] > ends[:-1]
+    at = np.flatnonzero(new)
+    return starts[at], ends[np.append(at[1:], len(ends)) - 1]
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per row of docs: doc_id, tag (hash of the text), n_bytes, starts, ends (removed runs of bytes), kept (bytes).
+    """One row per row of docs: doc_id, n_bytes, starts, ends (removed runs), kept (bytes).
 
     A null text is empty; a text shorter than a window loses nothing. A row with a null id loses nothing and takes
     nothing from others. Rows of equal id don't count as smaller than each other. An empty table gives no rows.
     """
-    placed, hits = covered_windows(docs, id_col, text_col, length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, 4):
-            out: list[list] = [[] for _ in range(6)]
-            for text, doc_id, tag, blobs in zip(*block):
-                starts, ends = spans(blobs, length)
-                edges = [0, *np.column_stack((starts, ends)).ravel().tolist(), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                for column, x in zip(out, (doc_id, tag, len(text), starts.tolist(), ends.tolist(), kept)):
-                    column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "tag", "n_bytes", "starts", "ends", "kept"])
-
-    joined = placed.join(hits, ["doc_id", "tag"], "left").select("text", "doc_id", "tag", "hits")
-    return joined.mapInArrow(cut, "doc_id long, tag long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+        for batch in batches:
+            for data, blobs in zip(batch.column(1), batch.column(2)):
+                block, found = _Block(data.as_py()), _places(blobs.as_py())
+                place, count = (found[0], found[1].astype(np.int64)) if found else (np.empty(0, np.int64),) * 2
+                doc = np.searchsorted(block.seen_offsets, place, "right") - 1
+                order = np.argsort(doc, kind="stable")
+                edges = np.searchsorted(doc[order], np.arange(len(block.texts) + 1))
+                out: list[list] = [[] for _ in range(5)]
+                for i, text in enumerate(block.texts):
+                    mine = order[edges[i] : edges[i + 1]]
+                    starts, ends = spans(place[mine] - block.seen_offsets[i], count[mine], length)
+                    at = [0, *np.column_stack((starts, ends)).ravel().tolist(), len(text)]
+                    kept = b"".join(text[a:b] for a, b in zip(at[::2], at[1::2]))
+                    for column, x in zip(out, (None if block.nulls[i] else int(block.ids[i]), len(text), starts.tolist(), ends.tolist(), kept)):
+                        column.append(x)
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "n_bytes", "starts", "ends", "kept"])
+
+    return covered_windows(docs, id_col, text_col, length).mapInArrow(cut, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, multiset_hash, sharding, simhash, suffix_dedup, token_files, toxicity
+from . import chat, decontaminate, licenses, multiset_hash, sharding, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_formatting": chat.query,
+    "op3_license_scan": licenses.query,
     "op4_toxicity_crf": toxicity.query,
     "op5_suffix_array_dedup": suffix_dedup.query,
     "op6_vector_bin_packing": sharding.query,

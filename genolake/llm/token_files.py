@@ -30,7 +30,7 @@ END_ID = 2
 #: Bytes of text for which a shard is meant.
 SHARD = 32 << 20
 #: Different chunks of text whose ids a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_200_000
 PER_BUCKET = 4
 DIRECT = 1 << 31
 
@@ -38,7 +38,7 @@ DIRECT = 1 << 31
 class Encoder:
     """Encodes whole texts; the ids of each run without ASCII white space are remembered.
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are those of its runs in order.
+    The tokenizer lower-cases, drops white space and joins nothing across it, so a text's ids are those of its runs.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,8 +50,15 @@ class Encoder:
         self.kind = f"<u{self.width}"
         self.known: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def _runs(text: str) -> list[bytes]:
+        raw = text.encode()
+        if text.isascii() and "<|" not in text:  # the tokenizer would lower-case it; other texts it first composes
+            raw = raw.lower()
+        return raw.split()
+
     def encode(self, texts: list[str | None], end_id: int | None = END_ID) -> list[bytes]:
-        runs = [(t or "").encode().split() for t in texts]
+        runs = [self._runs(t or "") for t in texts]
         known = self.known
         new = list({r for each in runs for r in each if r not in known})
         if len(known) + len(new) > REMEMBERED:

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, multiset_hash, sharding, simhash, suffix_dedup, token_files, toxicity
+from . import chat, decontaminate, licenses, multiset_hash, sentencepiece_lattice, sharding, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": sentencepiece_lattice.query,
     "op2_chat_formatting": chat.query,
     "op3_license_scan": licenses.query,
     "op4_toxicity_crf": toxicity.query,

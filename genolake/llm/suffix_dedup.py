@@ -512,6 +512,27 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     return covered_windows(docs, id_col, text_col, length).mapInArrow(cut, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
+    """docs with the covered bytes removed from the texts, and chars_col (if there) counted anew; other columns as they were.
+
+    Bytes of a character that was cut go too. A null text stays null. The rows' other columns travel with the blocks'
+    texts no further than one join by doc_id and the text's hash; rows that lose nothing stay as they are.
+    """
+    cut = dedup(docs, id_col, text_col, length).where(F.size("starts") > 0)
+
+    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [k.decode("utf-8", "ignore") for k in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["__id", "__bytes", "__text"])
+
+    changed = cut.select("doc_id", "n_bytes", "kept").mapInArrow(repair, "__id long, __bytes long, __text string").dropDuplicates(["__id", "__bytes"])
+    on = (docs[id_col] == changed["__id"]) & (F.octet_length(docs[text_col]) == changed["__bytes"])
+    joined = docs.join(changed, on, "left")
+    text = F.coalesce(F.col("__text"), docs[text_col])
+    columns = [text.alias(c) if c == text_col else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == chars_col else docs[c] for c in docs.columns]
+    return joined.select(*columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -5,6 +5,397 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import genotype, hgvs, readname, seq
+from ..operators import alleles, errors, intervals, reads, transcripts, variants
+from . import adapters as ad
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if oracle:
+            ORACLES[name] = oracle
+        return query
+
+    return add
+
+
+# Intervals
+
+
+def _islands(op: str) -> str:
+    return f"WITH {ad.INTERVALS}, a AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM iv), b AS (SELECT *, sum(CASE WHEN p IS NULL OR s {op} p THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT chrom, min(s) AS start, max(e) AS \"end\" FROM b GROUP BY chrom, g"
+
+
+@register("interval_merge", _islands(">="))
+def interval_merge(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.merge(ad.intervals(spark, d))
+
+
+@register("interval_merge_touching", _islands(">"))
+def interval_merge_touching(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.merge(ad.intervals(spark, d), touching=True)
+
+
+@register("interval_expand", f'WITH {ad.INTERVALS} SELECT chrom, greatest(s - 200, 0) AS start, e + 100 AS "end" FROM iv')
+def interval_expand(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.expand(ad.intervals(spark, d), 200, 100)
+
+
+@register("interval_contains", f"WITH {ad.POINTS}, {ad.TARGETS} SELECT point, chrom, pos FROM pt WHERE EXISTS (SELECT 1 FROM tg WHERE tg.chrom = pt.chrom AND pos >= s AND pos < e)")
+def interval_contains(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.points_in(ad.points(spark, d), ad.targets(spark, d), how="left_semi").select("point", "chrom", "pos")
+
+
+@register("interval_overlap_join", f'WITH {ad.INTERVALS}, {ad.TARGETS} SELECT iv.chrom, iv.s AS start, iv.e AS "end", tg.s AS r_start, tg.e AS r_end FROM iv JOIN tg ON iv.chrom = tg.chrom AND iv.s < tg.e AND tg.s < iv.e')
+def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.overlaps(ad.intervals(spark, d), ad.targets(spark, d)).select("chrom", "start", "end", "r_start", "r_end")
+
+
+@register("known_site_exclude", f"WITH {ad.POINTS}, {ad.VARIANTS} SELECT point, chrom, pos FROM pt WHERE NOT EXISTS (SELECT 1 FROM kp WHERE kp.chrom = pt.chrom AND pos BETWEEN a AND b)")
+def known_site_exclude(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.exclude_known(ad.points(spark, d), ad.variants(spark, d)).select("point", "chrom", "pos")
+
+
+# Sequences
+
+_KMERS = f"WITH {ad.SEQUENCES}, k AS (SELECT i AS pos, substr(seq, i + 1, 3) AS kmer FROM (SELECT seq, unnest(range(greatest(length(seq) - 2, 0))) AS i FROM sq) z)"
+
+
+@register("kmer_counts", _KMERS + " SELECT kmer, count(*) AS n FROM k GROUP BY kmer")
+def kmer_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reads.kmer_counts(ad.sequences(spark, d), (3,))
+
+
+@register("kmer_by_position", _KMERS + " SELECT pos, kmer, count(*) AS n FROM k GROUP BY pos, kmer")
+def kmer_by_position(spark: SparkSession, d: str) -> DataFrame:
+    return reads.kmer_counts(ad.sequences(spark, d), (3,), by_position=True).withColumn("pos", F.col("pos").cast("long"))
+
+
+@register("index_counts", f"WITH {ad.READS}, x AS (SELECT unnest(['read1', 'read2', 'pair']) AS kind, unnest([split_part(idx, '+', 1), split_part(idx, '+', 2), idx]) AS index FROM rn) SELECT kind, index, count(*) AS n FROM x GROUP BY kind, index")
+def index_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reads.index_counts(ad.read_names(spark, d))
+
+
+@register("reverse_complement", f"WITH {ad.SEQUENCES} SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM sq")
+def reverse_complement(spark: SparkSession, d: str) -> DataFrame:
+    return ad.sequences(spark, d).select("doc_id", seq.reverse_complement(F.col("seq")).alias("seq"))
+
+
+def _bases(spark: SparkSession, d: str) -> DataFrame:
+    return errors.aligned_bases(*ad.alignments(spark, d))
+
+
+@register("base_counts", f"WITH {ad.ALIGNED} SELECT r AS base, count(*) AS n FROM sr GROUP BY r")
+def base_counts(spark: SparkSession, d: str) -> DataFrame:
+    return errors.base_counts(_bases(spark, d))
+
+
+@register("triplet_counts", f"WITH {ad.ALIGNED} SELECT t AS triplet, count(*) AS n FROM sr GROUP BY t")
+def triplet_counts(spark: SparkSession, d: str) -> DataFrame:
+    return errors.triplet_counts(_bases(spark, d))
+
+
+@register("error_mismatch", f"WITH {ad.ALIGNED} SELECT r AS reference, b AS sequenced, count(*) AS n FROM sr WHERE hit GROUP BY r, b")
+def error_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    return errors.mismatches(_bases(spark, d))
+
+
+@register("error_triplet", f"WITH {ad.ALIGNED} SELECT t AS reference, substr(t, 1, 1) || b || substr(t, 3, 1) AS sequenced, count(*) AS n FROM sr WHERE hit GROUP BY 1, 2")
+def error_triplet(spark: SparkSession, d: str) -> DataFrame:
+    return errors.mismatch_triplets(_bases(spark, d))
+
+
+@register("error_indel", "SELECT 'I' AS op, (p_partkey % 4 + 1)::INT AS length, count(*) AS n FROM part WHERE p_partkey % 61 >= 20 GROUP BY 2 UNION ALL SELECT 'D', (p_partkey % 6 + 1)::INT, count(*) FROM part WHERE p_partkey % 61 >= 20 GROUP BY 2")
+def error_indel(spark: SparkSession, d: str) -> DataFrame:
+    ops = errors.walked(ad.clipped(spark, d))
+    return errors.lengths(ops, "I").select(F.lit("I").alias("op"), "*").unionByName(errors.lengths(ops, "D").select(F.lit("D").alias("op"), "*"))
+
+
+@register("error_softclip", "SELECT 'S' AS op, (p_partkey % 9 + 1)::INT AS length, count(*) AS n FROM part WHERE p_partkey % 61 >= 20 GROUP BY 2 UNION ALL SELECT 'H', (p_partkey % 3 + 1)::INT, count(*) FROM part WHERE p_partkey % 61 >= 20 GROUP BY 2")
+def error_softclip(spark: SparkSession, d: str) -> DataFrame:
+    ops = errors.walked(ad.clipped(spark, d))
+    return errors.lengths(ops, "S").select(F.lit("S").alias("op"), "*").unionByName(errors.lengths(ops, "H").select(F.lit("H").alias("op"), "*"))
+
+
+# Genotypes
+
+_AC = f"WITH {ad.GENOTYPES}, v AS (SELECT DISTINCT variant, n_alt FROM gt)"
+
+
+def _count(spark: SparkSession, d: str) -> DataFrame:
+    return alleles.counts(ad.genotypes(spark, d), ["variant"])
+
+
+@register("allele_counts", _AC + " SELECT variant, n_alt, (SELECT count(*) FROM al WHERE al.variant = v.variant) AS an, i::BIGINT AS allele, (SELECT count(*) FROM al WHERE al.variant = v.variant AND al.v = i) AS ac FROM v, LATERAL (SELECT unnest(range(n_alt + 1)) AS i) r")
+def allele_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _count(spark, d).select("variant", "n_alt", "an", F.posexplode("ac").alias("allele", "ac")).withColumn("allele", F.col("allele").cast("long"))
+
+
+@register("allele_freq", _AC + ", t AS (SELECT variant, count(*) AS an, count(*) FILTER (v = 1) AS ac FROM al GROUP BY variant) SELECT v.variant, CASE WHEN coalesce(an, 0) = 0 THEN '.' ELSE printf('%.4f', ac::DOUBLE / an) END AS af FROM v LEFT JOIN t USING (variant)")
+def allele_freq(spark: SparkSession, d: str) -> DataFrame:
+    counted = alleles.frequencies(_count(spark, d))
+    return counted.select("variant", F.coalesce(genotype.fixed(F.col("af")[0], 4), F.lit(".")).alias("af"))
+
+
+@register("genotype_counts", _AC + ", g AS (SELECT variant, (hi * (hi + 1) // 2 + lo)::BIGINT AS g, count(*) AS n FROM gf GROUP BY ALL) SELECT v.variant, i::BIGINT AS genotype, coalesce(n, 0) AS n FROM (SELECT variant, unnest(range((n_alt + 1) * (n_alt + 2) // 2)) AS i FROM v) v LEFT JOIN g ON g.variant = v.variant AND g.g = i")
+def genotype_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _count(spark, d).select("variant", F.posexplode("genotype_count").alias("genotype", "n")).withColumn("genotype", F.col("genotype").cast("long"))
+
+
+@register("hom_alt_counts", _AC + ", g AS (SELECT variant, lo, count(*) AS n FROM gf WHERE lo = hi AND lo > 0 GROUP BY ALL) SELECT v.variant, i::BIGINT AS alt_no, coalesce(n, 0) AS n FROM (SELECT variant, unnest(range(1, n_alt + 1)) AS i FROM v) v LEFT JOIN g ON g.variant = v.variant AND lo = i")
+def hom_alt_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _count(spark, d).select("variant", F.posexplode("nhomalt").alias("at", "n")).select("variant", (F.col("at") + 1).cast("long").alias("alt_no"), "n")
+
+
+@register("category_allele_counts", f"WITH {ad.GENOTYPES} SELECT 'P' || (sample % 3)::VARCHAR AS category, variant, count(*) AS an, count(*) FILTER (v = 1) AS ac FROM al GROUP BY ALL")
+def category_allele_counts(spark: SparkSession, d: str) -> DataFrame:
+    g = ad.genotypes(spark, d)
+    categories = g.select("sample", F.concat(F.lit("P"), (F.col("sample") % 3).cast("string")).alias("category"))
+    counted = alleles.by_category(g, categories, ["variant"])
+    return counted.where("an > 0").select("category", "variant", "an", F.col("ac")[1].alias("ac"))
+
+
+@register("vaf", f"WITH {ad.GENOTYPES} SELECT variant, sample, CASE WHEN ad[1] + ad[2] + ad[3] > 0 THEN ad[2]::DOUBLE / (ad[1] + ad[2] + ad[3]) END AS vaf FROM gt")
+def vaf(spark: SparkSession, d: str) -> DataFrame:
+    return alleles.allele_fraction(ad.genotypes(spark, d)).select("variant", "sample", F.col("vaf")[0].alias("vaf"))
+
+
+@register("gt_decode", f"WITH {ad.GENOTYPES} SELECT variant, sample, CASE a WHEN 3 THEN '.' WHEN 0 THEN 'G' WHEN 1 THEN 'A' ELSE CASE WHEN n_alt > 1 THEN 'TT' ELSE '?' END END || '/' || CASE b WHEN 0 THEN 'G' WHEN 1 THEN 'A' ELSE CASE WHEN n_alt > 1 THEN 'TT' ELSE '?' END END AS bases FROM gt")
+def gt_decode(spark: SparkSession, d: str) -> DataFrame:
+    alt = F.when(F.col("n_alt") > 1, F.array(F.lit("A"), F.lit("TT"))).otherwise(F.array(F.lit("A")))
+    return ad.genotypes(spark, d).select("variant", "sample", genotype.decode_gt(F.col("gt"), F.lit("G"), alt).alias("bases"))
+
+
+# Variant records
+
+
+@register("split_multiallelic", "SELECT p_partkey AS variant, 1 AS alt_index, 'A' AS alt FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, 2, 'TT' FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 2 = 1")
+def split_multiallelic(spark: SparkSession, d: str) -> DataFrame:
+    return variants.split_multiallelic(ad.records(spark, d)).select("variant", "alt_index", "alt")
+
+
+@register("info_rewrite", "SELECT p_partkey AS variant, 'AF=' || (p_partkey % 7)::VARCHAR || ',' || (p_partkey % 3)::VARCHAR || ';DP=' || p_partkey::VARCHAR AS info FROM part")
+def info_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    kept = variants.keep_info(F.col("info"), ["AF", "MISSING", "DP"])
+    return ad.records(spark, d).select("variant", F.array_join(F.transform(kept, lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["values"], ","))), ";").alias("info"))
+
+
+@register("format_rewrite", "SELECT p_partkey AS variant, 'GT:DP' AS format, (p_partkey % 3)::VARCHAR || ':' || p_partkey::VARCHAR AS sample FROM part")
+def format_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    fmt, values = variants.keep_format(F.col("format"), F.col("sample_values"), ["DP", "GT"])
+    return ad.records(spark, d).select("variant", F.array_join(fmt, ":").alias("format"), F.array_join(values, ":").alias("sample"))
+
+
+@register("contig_replace", "SELECT p_partkey AS variant, 'chr' || (p_partkey % 22 + 1)::VARCHAR AS chrom FROM part")
+def contig_replace(spark: SparkSession, d: str) -> DataFrame:
+    return ad.records(spark, d).select("variant", variants.replace_names(F.col("chrom"), variants.add_chr()).alias("chrom"))
+
+
+@register("sample_replace", "SELECT p_partkey AS variant, p_partkey::VARCHAR || ',' || (p_partkey % 3)::VARCHAR || ',' AS picked FROM part")
+def sample_replace(spark: SparkSession, d: str) -> DataFrame:
+    return ad.records(spark, d).select("variant", F.array_join(variants.select_samples(F.col("sample_values"), [2, 0, None]), ",").alias("picked"))
+
+
+@register("contig_list", "SELECT DISTINCT (p_partkey % 22 + 1)::VARCHAR AS chrom FROM part")
+def contig_list(spark: SparkSession, d: str) -> DataFrame:
+    return variants.used_contigs(ad.records(spark, d))
+
+
+@register("canonical_extract", "SELECT event_id AS rec_idx, 'TX' || user_id::VARCHAR AS transcript FROM events WHERE event_id > 20 AND event_id % 3 = 0")
+def canonical_extract(spark: SparkSession, d: str) -> DataFrame:
+    e = ad.table(spark, d, "events")
+    line = F.when(F.col("event_id") == 20, "Canonical transcripts:").when(F.col("event_id") % 3 == 0, F.concat(F.lit("\t\t TX"), F.col("user_id").cast("string"), F.lit(" \tx"))).otherwise("other")
+    return variants.canonical_transcripts(e.select(F.col("event_id").alias("rec_idx"), line.alias("line")))
+
+
+@register("ddl_columns", "SELECT 'CREATE TABLE my_table(CHROM TEXT, POS INTEGER, A__AF REAL);' AS ddl")
+def ddl_columns(spark: SparkSession, d: str) -> DataFrame:
+    ddl = variants.create_table_sql("my table", [("#", "Integer"), ("CHROM", "String"), ("POS", "Integer"), ("A__AF", "Float")])
+    return spark.createDataFrame([(ddl,)], "ddl string")
+
+
+_ANN = f"WITH r AS (SELECT p_partkey AS v, {ad.WORD} AS w, p_brand AS g, 'TX' || (p_partkey % 9)::VARCHAR AS tx, CASE WHEN p_partkey % 3 = 0 THEN 'p.' || p_partkey::VARCHAR ELSE '' END AS hp FROM part)"
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return ad.records(spark, d).withColumn("e", variants.of_allele(variants.annotations(F.col("ann")), F.lit("A")))
+
+
+@register("ann_all", _ANN + " SELECT v AS variant, 'A|variant|' || w || '|' || g || '|id|transcript|' || tx || '|coding||c.' || v::VARCHAR || '|' || hp || ',A|variant|' || w || '|GENE|id|transcript|TX2|coding||c.' || v::VARCHAR || '|' AS ann FROM r")
+def ann_all(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(spark, d).select("variant", variants.ann_text(F.col("e")).alias("ann"))
+
+
+@register("ann_canonical", _ANN + ", m AS (SELECT *, tx IN ('TX2', 'TX4') AND w <> 'MODIFIER' AS one, w <> 'MODIFIER' AS two FROM r) SELECT v AS variant, CASE WHEN one AND hp <> '' THEN tx || '(' || g || '):' || hp ELSE concat_ws(', ', CASE WHEN one THEN tx || '(' || g || '):c.' || v::VARCHAR END, CASE WHEN two THEN 'TX2(GENE):c.' || v::VARCHAR END) END AS change FROM m")
+def ann_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(spark, d).select("variant", variants.canonical_changes(F.col("e"), F.array(F.lit("TX2"), F.lit("TX4"))).alias("change"))
+
+
+@register("ann_gene_by_impact", _ANN + " SELECT v AS variant, CASE WHEN w = 'HIGH' THEN CASE WHEN g < 'GENE' THEN g || ', GENE' ELSE 'GENE, ' || g END ELSE '' END AS genes FROM r")
+def ann_gene_by_impact(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(spark, d).select("variant", variants.genes_of_impact(F.col("e"), "HIGH").alias("genes"))
+
+
+@register("ann_highest_impact", _ANN + " SELECT v AS variant, w AS impact FROM r")
+def ann_highest_impact(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(spark, d).select("variant", variants.highest_impact(F.col("e")).alias("impact"))
+
+
+@register("table_union_aligned", "SELECT n_name AS name, n_regionkey::VARCHAR AS region FROM nation UNION ALL SELECT c_name, '' FROM customer")
+def table_union_aligned(spark: SparkSession, d: str) -> DataFrame:
+    first = ad.table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region"))
+    later = ad.table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return variants.union_aligned(first, later)
+
+
+# Transcripts
+
+_TX = f"WITH {ad.TRANSCRIPTS}, {ad.POSITIONS}, {ad.PLACED}"
+_ENDS = "WITH " + ad.TRANSCRIPTS + ", q AS (SELECT tx_id, CASE WHEN fwd THEN ts + 10 ELSE te - 11 END AS pos FROM tx WHERE tx_id % 3 <> 0 UNION SELECT tx_id, CASE WHEN fwd THEN te - 10 ELSE ts + 9 END FROM tx WHERE tx_id % 3 <> 0 UNION SELECT tx_id, unnest([ts - 3, ts + tx_id % 97, ((ts + te) // 2)::BIGINT]) FROM tx), " + ad.PLACED + ", cb AS (SELECT tx.tx_id, a.base AS c0, b.base AS c1 FROM tx JOIN placed a ON a.tx_id = tx.tx_id AND a.pos = CASE WHEN fwd THEN ts + 10 ELSE te - 11 END JOIN placed b ON b.tx_id = tx.tx_id AND b.pos = CASE WHEN fwd THEN te - 10 ELSE ts + 9 END WHERE tx.tx_id % 3 <> 0)"
+
+
+@register("genome_to_tx", _TX + " SELECT DISTINCT tx_id, pos, base, off AS \"offset\" FROM placed")
+def genome_to_tx(spark: SparkSession, d: str) -> DataFrame:
+    placed = ad.tx_positions(spark, d).withColumn("p", transcripts.to_transcript(F.col("pos")))
+    return placed.select("tx_id", "pos", "p.base", "p.offset").distinct()
+
+
+@register("genome_to_cds", _ENDS + ", w AS (SELECT DISTINCT tx_id, unnest([ts - 3, ts + tx_id % 97, ((ts + te) // 2)::BIGINT]) AS pos FROM tx WHERE tx_id % 3 <> 0) SELECT w.tx_id, w.pos, CASE WHEN base < c0 THEN '-' WHEN base < c1 THEN '' ELSE '*' END AS side, CASE WHEN base < c0 THEN c0 - base - 1 WHEN base < c1 THEN base - c0 ELSE base - c1 END AS base, off AS \"offset\" FROM w JOIN placed USING (tx_id, pos) JOIN cb USING (tx_id)")
+def genome_to_cds(spark: SparkSession, d: str) -> DataFrame:
+    rows = transcripts.cds_bounds(ad.tx_positions(spark, d)).where("cds_from IS NOT NULL")
+    placed = rows.withColumn("p", transcripts.to_transcript(F.col("pos"))).withColumn("c", transcripts.to_cds(F.col("p")))
+    return placed.select("tx_id", "pos", "c.side", "c.base", "c.offset").distinct()
+
+
+@register("tx_to_genome", f"WITH {ad.TRANSCRIPTS} SELECT tx.tx_id, tx.tx_id % 60 AS base, CASE WHEN tx.fwd THEN s + tx.tx_id % 60 - passed + 2 ELSE e - (tx.tx_id % 60 - passed) - 1 - 2 END AS pos FROM tx JOIN pre ON pre.tx_id = tx.tx_id AND tx.tx_id % 60 >= passed AND tx.tx_id % 60 < passed + e - s")
+def tx_to_genome(spark: SparkSession, d: str) -> DataFrame:
+    base = F.col("tx_id") % 60
+    return ad.transcripts(spark, d).select("tx_id", base.alias("base"), transcripts.to_genome(base, F.lit(2)).alias("pos")).where("base < 60")
+
+
+@register("cds_to_genome", _ENDS + " SELECT cb.tx_id, CASE WHEN pre.fwd THEN s + c0 + cb.tx_id % 20 - passed ELSE e - (c0 + cb.tx_id % 20 - passed) - 1 END AS pos FROM cb JOIN pre ON pre.tx_id = cb.tx_id AND c0 + cb.tx_id % 20 >= passed AND c0 + cb.tx_id % 20 < passed + e - s")
+def cds_to_genome(spark: SparkSession, d: str) -> DataFrame:
+    rows = transcripts.cds_bounds(ad.transcripts(spark, d)).where("cds_from IS NOT NULL")
+    return rows.select("tx_id", transcripts.cds_to_genome(F.lit(""), F.col("tx_id") % 20, F.lit(0)).alias("pos"))
+
+
+@register("hgvs_parse", "SELECT o_orderkey, 'c' AS kind, CASE o_orderkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '*' ELSE '' END AS side, o_custkey - 1 AS base, CASE o_orderkey % 2 WHEN 0 THEN o_orderkey % 7 + 1 ELSE -(o_orderkey % 7 + 1) END AS \"offset\" FROM orders WHERE o_custkey > 0")
+def hgvs_parse(spark: SparkSession, d: str) -> DataFrame:
+    o = ad.table(spark, d, "orders").where("o_custkey > 0")
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("c."), F.when(k % 3 == 0, "-").when(k % 3 == 1, "*").otherwise(""), F.col("o_custkey").cast("string"), F.when(k % 2 == 0, "+").otherwise("-"), (k % 7 + 1).cast("string"))
+    return o.select("o_orderkey", hgvs.parse(text).alias("p")).select("o_orderkey", "p.*")
+
+
+@register("hgvs_format", _TX + " SELECT DISTINCT tx_id, pos, 'n.' || (base + 1)::VARCHAR || CASE WHEN off > 0 THEN '+' || off::VARCHAR WHEN off < 0 THEN off::VARCHAR ELSE '' END AS hgvs FROM placed")
+def hgvs_format(spark: SparkSession, d: str) -> DataFrame:
+    placed = ad.tx_positions(spark, d).withColumn("p", transcripts.to_transcript(F.col("pos")))
+    return placed.select("tx_id", "pos", hgvs.show(F.lit("n"), F.lit(""), F.col("p.base"), F.col("p.offset")).alias("hgvs")).distinct()
+
+
+@register("position_lookup", f"WITH {ad.TRANSCRIPTS}, pp AS (SELECT o_orderkey AS point, 'chr' || (o_custkey % 22 + 1)::VARCHAR AS chrom, o_orderkey * 7 % 9000 AS pos FROM orders) SELECT chrom, count(*) AS n, count(DISTINCT tx_id) AS n_tx FROM pp JOIN tx USING (chrom) WHERE pos >= ts AND pos < te GROUP BY chrom")
+def position_lookup(spark: SparkSession, d: str) -> DataFrame:
+    o = ad.table(spark, d, "orders")
+    at = o.select(F.col("o_orderkey").alias("point"), F.concat(F.lit("chr"), (F.col("o_custkey") % 22 + 1).cast("string")).alias("chrom"), (F.col("o_orderkey") * 7 % 9000).alias("pos"))
+    return transcripts.locate(at, ad.transcripts(spark, d).drop("exons")).groupBy("chrom").agg(F.count("*").alias("n"), F.countDistinct("tx_id").alias("n_tx"))
+
+
+@register("transcripts_by_gene", f"WITH {ad.TRANSCRIPTS} SELECT 'gene' || (tx_id % 101)::VARCHAR AS gene, string_agg(tx_id::VARCHAR, ',' ORDER BY tx_id) AS tx_ids FROM tx GROUP BY 1")
+def transcripts_by_gene(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.by_gene(ad.transcripts(spark, d)).select("gene", F.array_join(F.transform("tx_ids", lambda x: x.cast("string")), ",").alias("tx_ids"))
+
+
+# Reads
+
+_PAIRS = f"WITH {ad.MATES}, n AS (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY rec_idx) - 1 AS k FROM mt %s), p AS (SELECT qname, k // 2 AS pair, min(rec_idx) AS a, max(rec_idx) AS b, bool_or(flag & 64 <> 0 AND k %% 2 = 1) AND NOT bool_or(flag & 64 <> 0 AND k %% 2 = 0) AS swap FROM n GROUP BY ALL HAVING count(*) = 2)"
+
+
+@register("mate_pairs", _PAIRS % "" + " SELECT qname, CASE WHEN swap THEN b ELSE a END AS rec_1, CASE WHEN swap THEN a ELSE b END AS rec_2, b AS done FROM p")
+def mate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return reads.mate_pairs(ad.mates(spark, d))
+
+
+@register("name_group", _PAIRS % "WHERE flag & 2304 = 0" + " SELECT qname, b AS done, unnest([CASE WHEN swap THEN b ELSE a END, CASE WHEN swap THEN a ELSE b END]) AS rec_idx, unnest([1, 2]) AS place FROM p")
+def name_group(spark: SparkSession, d: str) -> DataFrame:
+    return reads.name_group(ad.mates(spark, d))
+
+
+@register("fastq_from_reads", f"WITH {ad.ALIGNED} SELECT doc_id AS rec_idx, CASE WHEN doc_id % 2 = 1 THEN reverse(translate(string_agg(b, '' ORDER BY i), 'ACGT', 'TGCA')) ELSE string_agg(b, '' ORDER BY i) END AS seq FROM st GROUP BY doc_id")
+def fastq_from_reads(spark: SparkSession, d: str) -> DataFrame:
+    aligned = ad.alignments(spark, d)[0].withColumn("qual", F.regexp_replace("seq", ".", "I"))
+    return reads.to_fastq(aligned).select("rec_idx", "seq")
+
+
+@register("read_group_summary", f"WITH {ad.MATES} SELECT rg, arg_min(qname, rec_idx) AS first_qname, count(*) AS n_reads FROM mt GROUP BY rg")
+def read_group_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reads.read_groups(ad.mates(spark, d))
+
+
+@register("read_rename", f"WITH {ad.MATES}, f AS (SELECT qname, min(rec_idx) AS first FROM mt GROUP BY qname), r AS (SELECT qname, 'R' || (row_number() OVER (ORDER BY first))::VARCHAR AS new_name FROM f) SELECT rec_idx, new_name FROM mt JOIN r USING (qname)")
+def read_rename(spark: SparkSession, d: str) -> DataFrame:
+    return reads.rename_reads(ad.mates(spark, d)).select("rec_idx", "new_name")
+
+
+@register("concat_unify_rg", f"WITH {ad.MATES} SELECT file_idx, rec_idx, 'NM:i:1,RG:Z:all' AS tags FROM mt, (SELECT unnest([0, 1]) AS file_idx) f")
+def concat_unify_rg(spark: SparkSession, d: str) -> DataFrame:
+    m = ad.mates(spark, d)
+    return reads.unify_read_group([m, m], "all").select("file_idx", "rec_idx", F.array_join("tags", ",").alias("tags"))
+
+
+@register("sample_by_name")
+def sample_by_name(spark: SparkSession, d: str) -> DataFrame:
+    return reads.sample_names(ad.mates(spark, d), 0.1, 1).select("qname", "rec_idx")
+
+
+@register("sample_pairs", f"WITH {ad.MATES}, p AS (SELECT rec_idx, rec_idx % 1000 AS left_q, rec_idx % 1000 + 1 AS right_q FROM mt) SELECT rec_idx, left_q, right_q FROM p")
+def sample_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Two files in lockstep, whole (rate 1)."""
+    m = ad.mates(spark, d)
+    left, right = m.select("rec_idx", (F.col("rec_idx") % 1000).alias("q")), m.select("rec_idx", (F.col("rec_idx") % 1000 + 1).alias("q"))
+    met = reads.zip_pairs(left, right).where(readname.in_sample(F.col("rec_idx").cast("string"), 1.0))
+    return met.select("rec_idx", F.col("q").alias("left_q"), F.col("q_2").alias("right_q"))
+
+
+@register("order_check", f"WITH {ad.READS}, l AS (SELECT *, lag((tile, y, x)) OVER (ORDER BY rec_idx) AS p FROM rn) SELECT rec_idx, tile, y, x FROM l WHERE p >= (tile, y, x)")
+def order_check(spark: SparkSession, d: str) -> DataFrame:
+    return reads.order_breaks(ad.read_names(spark, d), ["tile", "y", "x"], chunk=1000)
+
+
+@register("group_order", f"WITH {ad.READS}, l AS (SELECT rec_idx, event_type, lag(event_type) OVER (ORDER BY rec_idx) AS p FROM rn), s AS (SELECT rec_idx, event_type FROM l WHERE p IS DISTINCT FROM event_type) SELECT rec_idx, event_type, row_number() OVER (PARTITION BY event_type ORDER BY rec_idx) > 1 AS recurs FROM s")
+def group_order(spark: SparkSession, d: str) -> DataFrame:
+    return reads.group_starts(ad.read_names(spark, d), "event_type", chunk=1000)
+
+
+@register("common_index", f"WITH {ad.READS}, c AS (SELECT idx, count(*) AS n FROM rn WHERE rec_idx < 5000 GROUP BY idx) SELECT n, min(idx) AS index FROM c WHERE n = (SELECT max(n) FROM c) GROUP BY n")
+def common_index(spark: SparkSession, d: str) -> DataFrame:
+    return reads.common_index(ad.read_names(spark, d))
+
+
+@register("reorder_tile", f"WITH {ad.READS} SELECT rec_idx, tile, y, x FROM rn")
+def reorder_tile(spark: SparkSession, d: str) -> DataFrame:
+    return reads.reorder(ad.read_names(spark, d), "tile", "y", "x", "rec_idx").select("rec_idx", "tile", "y", "x")
+
+
+@register("reorder_group", f"WITH {ad.READS}, g AS (SELECT event_type, min(rec_idx) AS rank FROM rn GROUP BY event_type) SELECT rec_idx, rank, idx AS index FROM rn JOIN g USING (event_type)")
+def reorder_group(spark: SparkSession, d: str) -> DataFrame:
+    r = ad.read_names(spark, d)
+    ranks = r.groupBy("event_type").agg(F.min("rec_idx").alias("rank"))
+    return reads.reorder(r.join(ranks, "event_type"), "rank", "index", "rec_idx").select("rec_idx", "rank", "index")
+
+
+@register("read_name_parts", f"WITH {ad.READS} SELECT rec_idx, 'A00:1:FC:1' AS prefix, tile, x, y, 'N:0:' || idx AS index FROM rn")
+def read_name_parts(spark: SparkSession, d: str) -> DataFrame:
+    return ad.read_names(spark, d).select("rec_idx", readname.illumina(F.col("name")).alias("p")).select("rec_idx", "p.prefix", "p.tile", "p.x", "p.y", "p.index")
+
+
+@register("content_hash", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
+def content_hash(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.col("text").cast("binary")
+    return ad.table(spark, d, "documents").select("doc_id", F.md5(raw).alias("md5"), F.sha2(raw, 256).alias("sha256"))

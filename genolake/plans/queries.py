@@ -314,15 +314,15 @@ def transcripts_by_gene(spark: SparkSession, d: str) -> DataFrame:
 
 # Reads
 
-_PAIRS = f"WITH {ad.MATES}, n AS (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY rec_idx) - 1 AS k FROM mt %s), p AS (SELECT qname, k // 2 AS pair, min(rec_idx) AS a, max(rec_idx) AS b, bool_or(flag & 64 <> 0 AND k %% 2 = 1) AND NOT bool_or(flag & 64 <> 0 AND k %% 2 = 0) AS swap FROM n GROUP BY ALL HAVING count(*) = 2)"
+_PAIRS = "WITH " + ad.MATES + ", n AS (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY rec_idx) - 1 AS k FROM mt WHERE {keep}), p AS (SELECT qname, k // 2 AS pair, min(rec_idx) AS a, max(rec_idx) AS b, bool_or(flag & 64 <> 0 AND k % 2 = 1) AND NOT bool_or(flag & 64 <> 0 AND k % 2 = 0) AS swap FROM n GROUP BY ALL HAVING count(*) = 2)"
 
 
-@register("mate_pairs", _PAIRS % "" + " SELECT qname, CASE WHEN swap THEN b ELSE a END AS rec_1, CASE WHEN swap THEN a ELSE b END AS rec_2, b AS done FROM p")
+@register("mate_pairs", _PAIRS.replace("{keep}", "true") + " SELECT qname, CASE WHEN swap THEN b ELSE a END AS rec_1, CASE WHEN swap THEN a ELSE b END AS rec_2, b AS done FROM p")
 def mate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return reads.mate_pairs(ad.mates(spark, d))
 
 
-@register("name_group", _PAIRS % "WHERE flag & 2304 = 0" + " SELECT qname, b AS done, unnest([CASE WHEN swap THEN b ELSE a END, CASE WHEN swap THEN a ELSE b END]) AS rec_idx, unnest([1, 2]) AS place FROM p")
+@register("name_group", _PAIRS.replace("{keep}", "flag & 2304 = 0") + " SELECT qname, b AS done, unnest([CASE WHEN swap THEN b ELSE a END, CASE WHEN swap THEN a ELSE b END]) AS rec_idx, unnest([1, 2]) AS place FROM p")
 def name_group(spark: SparkSession, d: str) -> DataFrame:
     return reads.name_group(ad.mates(spark, d))
 

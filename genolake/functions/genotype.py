@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VALID_GT = r"^[0-9.]+([|/][0-9.]+)*$"
 
@@ -43,7 +44,7 @@ def decode_gt(gt: Column, ref: Column, alt: Column) -> Column:
     return F.array_join(F.zip_with(named, F.slice(marks, 1, F.size(numbers)), lambda b, m: F.concat(b, F.coalesce(m, F.lit("")))), "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fixed(value: pd.Series, digits: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else format(v, f".{int(d)}f") for v, d in zip(value, digits)], dtype=object)
 

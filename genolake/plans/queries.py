@@ -277,7 +277,7 @@ def genome_to_cds(spark: SparkSession, d: str) -> DataFrame:
 @register("tx_to_genome", f"WITH {ad.TRANSCRIPTS} SELECT tx.tx_id, tx.tx_id % 60 AS base, CASE WHEN tx.fwd THEN s + tx.tx_id % 60 - passed + 2 ELSE e - (tx.tx_id % 60 - passed) - 1 - 2 END AS pos FROM tx JOIN pre ON pre.tx_id = tx.tx_id AND tx.tx_id % 60 >= passed AND tx.tx_id % 60 < passed + e - s")
 def tx_to_genome(spark: SparkSession, d: str) -> DataFrame:
     base = F.col("tx_id") % 60
-    return ad.transcripts(spark, d).select("tx_id", base.alias("base"), transcripts.to_genome(base, F.lit(2)).alias("pos")).where("base < 60")
+    return ad.transcripts(spark, d).where(base < transcripts.transcript_length()).select("tx_id", base.alias("base"), transcripts.to_genome(base, F.lit(2)).alias("pos"))
 
 
 @register("cds_to_genome", _ENDS + " SELECT cb.tx_id, CASE WHEN pre.fwd THEN s + c0 + cb.tx_id % 20 - passed ELSE e - (c0 + cb.tx_id % 20 - passed) - 1 END AS pos FROM cb JOIN pre ON pre.tx_id = cb.tx_id AND c0 + cb.tx_id % 20 >= passed AND c0 + cb.tx_id % 20 < passed + e - s")

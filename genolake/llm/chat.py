@@ -73,8 +73,9 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
         joined = ["tree", "node", F.col("next").alias("above"), F.concat("part", F.coalesce("more", F.array().cast("array<struct<node:bigint,score:double>>"))).alias("part")]
 
         def longer(ways: DataFrame) -> DataFrame:
-            met = ways.join(step, on, "left").where("above IS NULL OR n IS NOT NULL").select(*joined)  # what hangs on a cycle goes
-            return checkpoint(met.where(~F.coalesce(F.exists("part", lambda x: x["node"] == F.col("above")), F.lit(False))))
+            met = ways.where("above IS NOT NULL").join(step, on).select(*joined)  # what hangs on a cycle finds no way up and goes
+            onward = met.where(~F.coalesce(F.exists("part", lambda x: x["node"] == F.col("above")), F.lit(False)))
+            return checkpoint(ways.where("above IS NULL").unionByName(onward))
 
         leaves, up = longer(leaves), longer(up)
     whole = leaves.where("above IS NULL").select("tree", F.col("node").alias("leaf"), F.reverse("part").alias("part"))

@@ -14,7 +14,7 @@ from ..functions.genotype import alleles, genotype_index, number_of_genotypes
 
 def _called(genotypes: DataFrame, n_alt: str) -> DataFrame:
     inside = F.filter(alleles(F.col("gt")), lambda a: a <= F.col(n_alt))
-    return genotypes.withColumn("called", F.array_sort(inside))
+    return genotypes.withColumn("__called", F.array_sort(inside))
 
 
 def counts(genotypes: DataFrame, keys: list[str], n_alt: str = "n_alt", ploidy: int = 2) -> DataFrame:
@@ -24,11 +24,14 @@ def counts(genotypes: DataFrame, keys: list[str], n_alt: str = "n_alt", ploidy:
     for genotype_count and nhomalt; alleles out of range and texts that are no genotype are skipped.
     """
     each = _called(genotypes, n_alt)
-    full = F.size("called") == ploidy
-    each = each.withColumn("g", F.when(full, genotype_index(F.col("called")))).withColumn("hom", F.when(full & (F.element_at("called", 1) == F.element_at("called", ploidy)), F.element_at("called", 1)))
-    seen = each.select(*keys, n_alt, F.explode_outer(F.concat(F.transform("called", lambda a: F.struct(F.lit("a").alias("kind"), a.cast("long").alias("v"))), F.array(F.struct(F.lit("g").alias("kind"), F.col("g").alias("v")), F.struct(F.lit("h").alias("kind"), F.col("hom").cast("long").alias("v"))))).alias("x"))
-    grouped = seen.groupBy(*keys, n_alt, "x.kind", "x.v").count().withColumnRenamed("count", "n")
-    tables = grouped.groupBy(*keys, n_alt).agg(*[F.map_from_entries(F.collect_list(F.when((F.col("kind") == kind) & F.col("v").isNotNull(), F.struct("v", "n")))).alias(kind) for kind in ("a", "g", "h")])
+    full = F.size("__called") == ploidy
+    each = each.withColumn("__g", F.when(full, genotype_index(F.col("__called")))).withColumn("__hom", F.when(full & (F.element_at("__called", 1) == F.element_at("__called", ploidy)), F.element_at("__called", 1)))
+    tagged = lambda kind, value: F.struct(F.lit(kind).alias("__kind"), value.cast("long").alias("__value"))
+    marks = F.concat(F.transform("__called", lambda a: tagged("a", a)), F.array(tagged("g", F.col("__g")), tagged("h", F.col("__hom"))))
+    seen = each.select(*keys, n_alt, F.inline(marks))
+    grouped = seen.groupBy(*keys, n_alt, "__kind", "__value").agg(F.count("*").alias("__n"))
+    entry = lambda kind: F.when((F.col("__kind") == kind) & F.col("__value").isNotNull(), F.struct("__value", "__n"))
+    tables = grouped.groupBy(*keys, n_alt).agg(*[F.map_from_entries(F.collect_list(entry(kind))).alias(f"__{kind}") for kind in ("a", "g", "h")])
 
     def row(name: str, last: Column, first: int = 0) -> Column:
         at = F.when(last >= first, F.sequence(F.lit(first).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))
@@ -36,8 +39,8 @@ def counts(genotypes: DataFrame, keys: list[str], n_alt: str = "n_alt", ploidy:
 
     alts = F.col(n_alt).cast("long")
     return tables.select(
-        *keys, n_alt, F.aggregate(F.map_values("a"), F.lit(0).cast("long"), lambda s, x: s + x).alias("an"), row("a", alts).alias("ac"),
-        row("g", number_of_genotypes(F.col(n_alt), ploidy) - 1).alias("genotype_count"), row("h", alts, 1).alias("nhomalt"),
+        *keys, n_alt, F.aggregate(F.map_values("__a"), F.lit(0).cast("long"), lambda s, x: s + x).alias("an"), row("__a", alts).alias("ac"),
+        row("__g", number_of_genotypes(F.col(n_alt), ploidy) - 1).alias("genotype_count"), row("__h", alts, 1).alias("nhomalt"),
     )
 
 

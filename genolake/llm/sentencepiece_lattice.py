@@ -320,7 +320,8 @@ def encode_samples(docs: DataFrame, model_file: str, k: int = 2, alpha: float =
 def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """The rows with the text of their ids as a last column; null ids give null."""
     given = rows.drop(text_col) if text_col in rows.columns else rows
-    at = given.columns.index(ids_col)
+    names = [*given.columns, text_col]
+    at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model_file)
@@ -328,7 +329,7 @@ def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: str
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
                 texts = pa.array([None if x is None else own.decode(x) for x in part.column(at).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*given.columns, text_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names)
 
     return given.mapInArrow(run, T.StructType([*given.schema.fields, T.StructField(text_col, T.StringType())]))
 

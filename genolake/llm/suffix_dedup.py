@@ -25,9 +25,9 @@ from .common import documents, partitions
 LENGTH = 50
 ANCHOR = 16
 #: Bytes of text that are handled at once; copies within a block are settled in it, so a hot text ships once a block.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Bytes of text per bucket of suffixes.
-BUCKET = 24 << 20
+BUCKET = 16 << 20
 MAX_BUCKETS = 1 << 16
 #: Splitters come from this many documents at most, and this many records of each.
 SAMPLE_DOCS, SAMPLE_RECORDS = 2000, 32
@@ -43,7 +43,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

@@ -29,7 +29,7 @@ UNIT_END = r"[\r\n]+|(?<=[.!?])\s+"
 
 
 def units(text: Column) -> Column:
-    """A text's paragraphs, cut further at sentence ends; empty units and surrounding white space don't count."""
+    """A text's paragraphs, cut further at sentence ends; empty units and surrounding spaces don't count."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), UNIT_END), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 

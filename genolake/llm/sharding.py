@@ -31,8 +31,8 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     for i in np.lexsort((np.arange(len(items)), -share.max(axis=1))):
         fits = (left >= share[i] - 1e-12).all(axis=1)
         dots = left @ share[i]
-        if not fits.any():  # no shard has room in each dimension: the one whose fullest dimension stays lowest
-            dots, fits = (left - share[i]).min(axis=1), np.ones(shards, bool)
+        if not fits.any():  # no shard has room in each dimension: the one with the most bytes left, as bytes are to be near equal
+            dots, fits = left[:, 0], np.ones(shards, bool)
         out[i] = int(np.argmax(np.where(fits, dots, -np.inf)))
         left[out[i]] -= share[i]
     return out

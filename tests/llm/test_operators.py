@@ -1,0 +1,411 @@
+"""Training-data operators against brute force on small fixtures: nulls, empty and odd texts, ties, repeats, empty tables."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import string
+import zlib
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from genolake.llm import chat, common, decontaminate, licenses, multiset_hash, sentencepiece_lattice, sharding, simhash, suffix_dedup, token_files, toxicity
+
+DOCS = "doc_id long, text string, lang string, row int, hits string"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def words(n, seed=0):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["the", "of", "cat", "mat", "éa", "on", "big", "dog", "xyz", "run"]) + rng.choice(["", "", "s", "ing"]) for _ in range(n))
+
+
+PASSAGE = words(30, 99)
+TEXTS = [
+    (0, "Alpha beta. " + PASSAGE + " tail one.\nnext line"), (1, None), (2, ""), (3, "Alpha beta. " + PASSAGE + " tail one.\nnext line"), (4, "x"),
+    (5, "Other start, " + PASSAGE + " ünd anders"), (6, words(900, 1)), (7, words(900, 1).replace("cat", "cot", 1)), (8, "  \n\t "), (9, "a" * 300), (10, "b" + "a" * 120), (5, "Repeated id, " + PASSAGE),
+    (12, "<|startoftext|> odd ’s 漢字 Å J̌"), (-3, "same"), (14, "same"), (15, "Zz " * 40),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", k, "clash") for k, (i, t) in enumerate(TEXTS)], DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
+    found = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    group = {x: x for e in edges for x in e}
+    for _ in group:
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert found == {x: group[x] for x in linked}
+
+
+def test_range_of_splits_by_quantiles(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    cuts = common.splitters(df, "k", 10)
+    assert len(cuts) == 9
+    got = df.select("k", common.range_of(F.col("k"), cuts).alias("r")).collect()
+    assert all(r["r"] == sum(c <= r["k"] for c in cuts) for r in got)
+    assert common.splitters(df.where("k < 0"), "k", 10) == []
+
+
+# 1
+
+
+def _segmentations(lattice, text):
+    def unit(u, j):
+        if not j:
+            yield b"", 0.0
+        for last, (size, ids, w) in lattice.edges(u):
+            if last + 1 == j:
+                for rest, x in unit(u, j - size):
+                    yield rest + ids, x + math.log(w)
+
+    units = sentencepiece_lattice.UNIT.findall(" " + text)
+    all_ = {b"".join(c[0] for c in combo): sum(c[1] for c in combo) for combo in itertools.product(*[list(unit(u, len(u))) for u in units])}
+    total = math.log(sum(map(math.exp, all_.values())))
+    return {ids: math.exp(x - total) for ids, x in all_.items()}
+
+
+def test_samples_without_replacement():
+    lattice = sentencepiece_lattice.Lattice(MODEL, 0.7)
+    p = _segmentations(lattice, "the cat")
+    n, first, weight = 1500, dict.fromkeys(p, 0), dict.fromkeys(p, 0.0)
+    for key in range(n):
+        got = sentencepiece_lattice.samples(lattice, key, "the cat", 3)
+        assert len({x[1] for x in got}) == 3 and [x[4] for x in got] == sorted((x[4] for x in got), reverse=True)
+        first[got[0][1]] += 1
+        for _, ids, size, log_p, _, inclusion in got:
+            assert abs(math.exp(log_p) - p[ids]) < 1e-9 and 0 < inclusion <= 1 and size == len(ids) // 2
+            weight[ids] += p[ids] / inclusion / n
+    top = sorted(p, key=p.get)[-3:]
+    assert all(abs(first[x] / n - p[x]) < 0.05 and abs(weight[x] - p[x]) < 0.03 for x in top)
+    assert len(sentencepiece_lattice.samples(lattice, 1, "", 5)) == 1
+    assert sentencepiece_lattice.samples(lattice, 7, "dog mat", 2) == sentencepiece_lattice.samples(lattice, 7, "dog mat", 2)
+    few = sentencepiece_lattice.samples(lattice, 1, "a", 500)
+    assert len(few) == len(_segmentations(lattice, "a")) and few[0][5] == 1.0
+
+
+def test_encode_and_decode(docs, empty):
+    got = sentencepiece_lattice.decode(sentencepiece_lattice.encode_samples(docs, MODEL), MODEL).collect()
+    allowed = {(i, t or "") for i, t in TEXTS}
+    assert {(r["doc_id"], r["text"]) for r in got} == allowed
+    assert sentencepiece_lattice.encode_samples(empty, MODEL).count() == 0
+
+
+# 2
+
+
+def test_chat(spark):
+    odd = ["</s>[INST] ok [/INST]", "<|end|>", "~0~~1", None, "<|user|>x<|end|>", "", "plain"]
+    given = [(c, t, "assistant" if t % 2 else "user", odd[(c + t) % 7]) for c in range(4) for t in range(5)] + [(9, 0, None, "x"), (9, 0, None, "x")]
+    conv = spark.createDataFrame(given, "conv_id long, turn long, role string, text string")
+    out = chat.format_trees(chat.as_tree(conv)).select("tree", chat.parse_turns(F.col("formatted")).alias("t"), chat.loss_mask(F.col("formatted")).alias("m"), "formatted").collect()
+    assert len(out) == 5
+    for r in out:
+        want = [(x[2] or "", x[3] or "") for x in sorted((g for g in given if g[0] == r["tree"]), key=lambda g: g[1])]
+        assert [(t["role"], t["text"]) for t in r["t"]] == want
+        assert len(r["m"]) == sum(w[0] == "assistant" for w in want)
+    assert chat.format_trees(chat.as_tree(conv.limit(0))).count() == 0
+
+
+def test_reply_trees(spark):
+    rng = random.Random(2)
+    parents = {i: (None if i % 50 == 0 else rng.randrange(i // 50 * 50, i)) for i in range(150)}
+    rows = [(i // 50, i, p, float(i % 7), "user", str(i)) for i, p in parents.items()] + [(9, 1, 2, 0.0, "u", "cycle"), (9, 2, 1, 0.0, "u", "cycle"), (9, 3, 2, 0.0, "u", "below")]
+    found = chat.reply_paths(spark.createDataFrame(rows, "tree long, node long, parent long, score double, role string, text string")).collect()
+    want = {}
+    for leaf in set(parents) - set(parents.values()):
+        path, at = [], leaf
+        while at is not None:
+            path.insert(0, at)
+            at = parents[at]
+        want[leaf] = path
+    assert {r["leaf"]: r["path"] for r in found} == want
+    for tree in range(3):
+        mine = sorted((r for r in found if r["tree"] == tree), key=lambda r: r["rank"])
+        assert [r["leaf"] for r in mine] == sorted((x for x in want if x // 50 == tree), key=lambda x: (-sum(n % 7 for n in want[x]), x))
+
+
+# 3
+
+
+def test_licenses(spark):
+    rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/c.py", "code\nmore"), ("a/b/d.py", "x\nLicensed under the Apache License, Version 2.0.\ny"), ("e/f.py", None), ("a/b/COPYING.txt", words(500)), (None, ""), ("a/b/c.py", "code\nmore"), ("top", "")]
+    got = licenses.scan(spark.createDataFrame([(*r, "clash") for r in rows], "path string, text string, license string")).collect()
+    assert len(got) == len(rows)
+    by = {r["path"]: (r["license"], r["origin"], r["from_dir"]) for r in got}
+    assert by["a/LICENSE"] == ("MIT", "own", None) and by["a/b/c.py"] == ("MIT", "inherited", "a") and by["a/b/d.py"] == ("Apache-2.0", "own", None)
+    assert by["e/f.py"] == (None, "none", None) and by[None] == (None, "none", None) and by["a/b/COPYING.txt"][1] == "inherited"
+    assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+# 4
+
+
+def test_chain_against_enumeration():
+    rng = np.random.default_rng(1)
+    transitions = rng.normal(size=(2, 2))
+    for n in (1, 2, 7):
+        scores = rng.normal(size=n) * 3
+        total, ones = 0.0, np.zeros(n)
+        for tags in itertools.product((0, 1), repeat=n):
+            w = math.exp(sum(s for s, t in zip(scores, tags) if t) + sum(transitions[a, b] for a, b in zip(tags, tags[1:])))
+            w *= sum(0.5 * math.exp(transitions[a, tags[0]]) for a in (0, 1))  # the start's even message passes the transitions too
+            total += w
+            ones += w * np.array(tags)
+        got = toxicity.Chain(transitions).run(np.tile(scores, 2), np.array([n, 0, n]))[0]
+        assert np.allclose(got, np.tile(ones / total, 2))
+    long = rng.normal(size=1000)
+    joined = toxicity.Chain(transitions).run(long, np.array([1000]))[0]
+    assert np.allclose(joined[:400], toxicity.Chain(transitions).run(long[:500], np.array([500]))[0][:400])
+
+
+def test_toxicity(spark, docs, empty):
+    rng = random.Random(4)
+    rows = [(words(60, i) + (" you idiot " + words(5, i) if i % 3 == 0 else "") + (" vequ" + rng.choice("abcd") if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.fit(rows)
+    out = {(r["doc_id"], r["text"]): r for r in toxicity.score(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect()}
+    assert all(0 <= r["score"] < 0.3 and not r["spans"] for r in out.values())
+    bad = spark.createDataFrame([(1, "So, you IDIOT there"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score(bad, model).collect()}
+    assert got[1]["score"] >= 0.3 and "So, you IDIOT there"[got[1]["spans"][0]["start"] : got[1]["spans"][0]["end"]].endswith("IDIOT") and got[2]["score"] < 0.3
+    assert toxicity.keep_clean(bad, model).count() == 1 and toxicity.score(empty, model).count() == 0
+    assert toxicity.keep_clean(docs, model).columns == docs.columns
+    assert toxicity.fit([]).document_scores([np.empty(0)])[0] < 0.3
+
+
+def test_held_out(spark):
+    got = spark.range(50).select("id", common.held_out(F.col("id")).alias("h")).collect()
+    assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in got)
+
+
+# 5
+
+
+def _covered(texts, length):
+    seen = {}
+    for i, t in texts:
+        raw = (t or "").encode()
+        for s in range(len(raw) - length + 1):
+            seen[raw[s : s + length]] = min(seen.get(raw[s : s + length], i), i)
+    out = []
+    for i, t in texts:
+        raw = (t or "").encode()
+        hit = np.zeros(len(raw), bool)
+        for s in range(len(raw) - length + 1):
+            if seen[raw[s : s + length]] < i:
+                hit[s : s + length] = True
+        out.append((i, len(raw), int(hit.sum()), bytes(np.frombuffer(raw, np.uint8)[~hit])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("together", [1000, 0])
+def test_suffix_dedup(docs, monkeypatch, together):
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    for length in (50, 20):
+        got = suffix_dedup.dedup(docs, length=length).collect()
+        assert sorted((r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), bytes(r["kept"])) for r in got) == _covered(TEXTS, length)
+
+
+def test_suffix_dedup_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 300)
+    rng = random.Random(8)
+    parts = ["".join(rng.choice("ab c") for _ in range(rng.randrange(20, 90))) for _ in range(25)]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(4))) for i in range(40)]
+    got = suffix_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), bytes(r["kept"])) for r in got) == _covered(texts, 50)
+
+
+def test_suffix_dedup_edges(spark, docs, empty):
+    assert suffix_dedup.dedup(empty).count() == 0
+    nulls = spark.createDataFrame([(None, "q" * 90), (1, "q" * 90), (None, None)], "doc_id long, text string")
+    assert all(r["n_bytes"] == len(r["kept"]) for r in suffix_dedup.dedup(nulls).collect())
+    out = suffix_dedup.rewrite(docs, chars_col="row")
+    assert out.columns == docs.columns and out.count() == len(TEXTS)
+    assert {r["text"] for r in out.where("doc_id = 3").collect()} == {""} and out.where("doc_id = 1 AND text IS NULL").count() == 1
+
+
+def test_multikey_order():
+    rng = np.random.default_rng(0)
+    keys = [rng.integers(0, 4, 500) for _ in range(4)]
+    assert (suffix_dedup.multikey_order(keys) == np.lexsort(keys[::-1])).all()
+
+
+# 6
+
+
+@pytest.mark.parametrize("hot", [0, 400])
+def test_sharding(spark, hot):
+    rng = random.Random(1)
+    rows = [(i, words(rng.randrange(1, 60), i % 250)) for i in range(600)] + [(1000 + i, "hot text") for i in range(hot)] + [(None, None), (5, "")]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8).collect()
+    assert len(got) == len(rows) and all(r["size"] >= 1 for r in got)
+    totals = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert max(totals) - min(totals) < 0.05 * sum(totals) / 8
+    for s in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    shards = {}
+    for r in got:
+        shards.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert all(len(x) == 1 for crc, x in shards.items() if crc != zlib.crc32(b"hot text"))
+    assert sharding.assign(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# 7
+
+
+def test_multiset_hash(spark, docs, empty):
+    got = multiset_hash.fingerprint_documents(docs).collect()
+    ordered = sorted(TEXTS, key=lambda x: (x[0], x[1] or ""))
+    want = []
+    for k, (i, t) in enumerate(ordered):
+        t, after = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        half = len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+    assert all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
+    prints = {}
+    for r in got:
+        prints.setdefault(tuple(r["fingerprint"]), set()).add(r["doc_id"])
+    assert all(x in prints.values() for x in ({0, 3}, {-3, 14}, {1, 2}))
+    assert multiset_hash.fingerprint_documents(empty).count() == 0
+    two = spark.createDataFrame([("A b. C d.\nE",), ("E\nC d. A b.",)], "t string").select(multiset_hash.fingerprint(multiset_hash.units(F.col("t"))).alias("f"))
+    assert two.distinct().count() == 1
+    extra = F.array(F.lit("new"), F.lit("new"))
+    back = two.select((multiset_hash.delete(multiset_hash.insert(F.col("f"), extra), extra) == F.col("f")).alias("ok"), (multiset_hash.insert(F.col("f"), extra) != F.col("f")).alias("other"))
+    assert all(r["ok"] and r["other"] for r in back.collect())
+
+
+# 8
+
+
+def _simhash(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    runs = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs, empty):
+    got = simhash.near_duplicates(docs).collect()
+    prints = [(i, _simhash(t)) for i, t in TEXTS]
+    assert sorted((r["doc_id"], r["fp"] % (1 << 64)) for r in got) == sorted(prints)
+    assert simhash.near_duplicates(empty).count() == 0
+    assert {r["doc_id"] for r in simhash.representatives(docs).select("doc_id").collect()} >= {0, 4, 6} and 3 not in {r["doc_id"] for r in simhash.representatives(docs).collect()}
+
+
+@pytest.mark.parametrize("pairwise", [32, 2])
+def test_simhash_links(spark, monkeypatch, pairwise):
+    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    values = {b ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(5))}) for b in base for _ in range(9)}
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    found = common.components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long")))
+    group = {v: v for v in signed}
+    pairs = [(a, b) for a in signed for b in signed if a < b and ((a % (1 << 64)) ^ (b % (1 << 64))).bit_count() <= 2]
+    for _ in range(20):
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    assert {r["node"]: r["component"] for r in found.collect()} == {v: group[v] for v in {x for p in pairs for x in p}}
+
+
+# 9
+
+
+def test_perfect_hash():
+    for n in (0, 1, 2, 37, 5000):
+        hashes = np.array([token_files.key_hash(i) for i in range(n)], np.uint64)
+        _, slots = token_files.build_index(hashes)
+        assert sorted(slots.tolist()) == list(range(n))
+
+
+def test_token_files(spark, docs, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    folder = f"file://{tmp_path}/tokens"
+    manifest = token_files.write(docs, folder, path)
+    got = sorted(token_files.read(spark, folder, with_ids=True).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted(i for i, _ in TEXTS) and manifest["ids"] == sum(r["n_tokens"] for r in got)
+    want = sorted((i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in TEXTS)
+    assert sorted((r["doc_id"], r["ids"]) for r in got) == want
+    assert all(r["start"] == sum(x["n_tokens"] for x in got[:k]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for k, r in enumerate(got))
+    assert token_files.lookup(folder, 6).tolist() == next(x for i, x in want if i == 6) and token_files.lookup(folder, 777) is None
+    assert token_files.lookup(folder, 5, 1) is not None and token_files.lookup(folder, 5, 2) is None
+    token_files.write(empty, f"{folder}-empty", path)
+    assert token_files.read(spark, f"{folder}-empty").count() == 0
+
+
+# 10
+
+
+def _contamination(texts, items):
+    fold = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(fold))
+    windows = {}
+    for item, t in items:
+        w = cut(t)
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+    out = []
+    for i, t in texts:
+        w, hit, found = cut(t), set(), set()
+        for window, names in windows.items():
+            for s in range(len(w) - len(window) + 1):
+                if tuple(w[s : s + len(window)]) == window:
+                    hit.update(range(s, s + len(window)))
+                    found |= names
+        out.append((i, len(w), len(hit), tuple(sorted(found))))
+    return sorted(out)
+
+
+def test_decontamination(spark, docs, empty):
+    items = [(1, PASSAGE), (2, "ALPHA beta"), (3, None), (4, ""), (5, "zz zz zz"), (10, words(40, 1)), (11, "nowhere to be seen at all in any of these texts")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(docs, bench).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == _contamination(TEXTS, items)
+    clean = {i for i, _, hit, _ in _contamination(TEXTS, items) if not hit}
+    kept = decontaminate.remove_documents(docs, bench)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == clean
+    spans = decontaminate.remove_spans(docs, bench).collect()
+    assert len(spans) == len(TEXTS) and {r["text"].strip() for r in spans if r["doc_id"] == 15} == {""}
+    assert decontaminate.contamination(empty, bench).count() == 0
+    assert not any(r["contaminated"] for r in decontaminate.contamination(docs, bench.limit(0)).collect())
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    given = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, d).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if name != "sentencepiece":
+            assert docs.columns == given.columns and 0 < docs.count() <= given.count()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/3").collect()}
+    decoded = sentencepiece_lattice.decode(docs, MODEL).toPandas()
+    assert isinstance(decoded, pd.DataFrame) and set(decoded.doc_id) == set(texts) and all(texts[i] == t for i, t in zip(decoded.doc_id, decoded.text))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype, hgvs, readname, seq
-from ..operators import alleles, errors, intervals, reads, transcripts, variants
+from ..operators import alleles, errors, intervals, reads, transcripts, variants, vcf_table
 from . import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +221,24 @@ def ddl_columns(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(ddl,)], "ddl string")
 
 
+_HEADER = ["##fileformat=VCFv4.2", "##source=x", "##contig=<ID=2,length=5>", "##contig=<ID=9>", '##INFO=<ID=DP,Number=1,Type=Integer,Description="d">', '##INFO=<ID=AF,Number=A,Type=Float,Description="f">', '##INFO=<ID=DB,Number=0,Type=Flag,Description="b">', '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="a">', '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="d">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="g">', "##FILTER=<ID=PASS>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS"]
+
+
+@register("header_standardize", "SELECT * FROM (VALUES (0, 'fileformat'), (1, 'FILTER'), (2, 'INFO'), (3, 'INFO'), (4, 'INFO'), (5, 'FORMAT'), (6, 'FORMAT'), (7, 'FORMAT'), (8, 'contig'), (9, 'contig'), (10, 'other')) t(line_no, kind)")
+def header_standardize(spark: SparkSession, d: str) -> DataFrame:
+    kept = vcf_table.standard_header(_HEADER)
+    return spark.createDataFrame([(i, vcf_table.header_kind(x)) for i, x in enumerate(kept)], "line_no int, kind string")
+
+
+@register("vcf_to_table", "SELECT p_partkey::VARCHAR AS number, a::VARCHAR AS alt_no, (p_partkey % 22 + 1)::VARCHAR AS chrom, CASE a WHEN 1 THEN 'A' ELSE 'TT' END AS alt, CASE a WHEN 1 THEN (p_partkey % 7)::VARCHAR ELSE (p_partkey % 3)::VARCHAR END AS af, p_partkey::VARCHAR AS dp, 'TRUE' AS db, (p_partkey % 3)::VARCHAR AS gt, CASE a WHEN 1 THEN printf('%.3f', 7.0::DOUBLE / p_partkey) ELSE '' END AS vaf FROM part, (SELECT unnest([1, 2]) AS a) t WHERE p_partkey % 5 <> 0 AND (a = 1 OR p_partkey % 2 = 1) AND p_partkey > 0")
+def vcf_to_table(spark: SparkSession, d: str) -> DataFrame:
+    r = ad.records(spark, d).where("variant > 0")
+    values = F.transform("sample_values", lambda v, i: F.when(i == 1, F.concat(F.lit("3,"), v)).otherwise(v))
+    record = r.select(F.col("variant").alias("number"), "chrom", F.lit(1).alias("pos"), F.array().cast("array<string>").alias("id"), "ref", "alt", F.lit(".").alias("qual_raw"), F.array(F.lit("PASS")).alias("filter"), "info", "format", F.array(values).alias("genotypes"))
+    t = vcf_table.to_table(record, _HEADER, ["S"])
+    return t.select(F.col("#").alias("number"), F.col("alt #").alias("alt_no"), F.col("CHROM").alias("chrom"), F.col("ALT").alias("alt"), F.col("AF").alias("af"), F.col("DP").alias("dp"), F.col("DB").alias("db"), F.col("S__GT").alias("gt"), F.col("S__VAF").alias("vaf"))
+
+
 _ANN = f"WITH r AS (SELECT p_partkey AS v, {ad.WORD} AS w, p_brand AS g, 'TX' || (p_partkey % 9)::VARCHAR AS tx, CASE WHEN p_partkey % 3 = 0 THEN 'p.' || p_partkey::VARCHAR ELSE '' END AS hp FROM part)"
 
 

@@ -23,10 +23,9 @@ def partitions(spark: SparkSession) -> int:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a folder of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="genolake-")
-        spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -85,26 +85,42 @@ class Lattice:
         return found
 
     def _lattice(self, unit: str) -> tuple[list, list]:
-        """For each place the edges that end there: start, ids, probability given that the segmentation comes by; and the best way, from the end."""
+        """For each place the edges that end there (start, ids, weight) and the sum of their weights.
+
+        A weight is the mass of all ways to the place over that edge; long units' weights are scaled to sum up to 1.
+        """
         n = len(unit)
         into: list[list] = [[] for _ in range(n + 1)]
+        if n <= SHORT:
+            mass = [1.0] + [0.0] * n
+            for last, (size, ids, w) in self.finder.iter(unit) if self.single.issuperset(unit) else self.edges(unit):
+                i = last + 1 - size
+                x = mass[i] * w
+                mass[last + 1] += x
+                into[last + 1].append((i, ids, x))
+            return into, mass
         for last, (size, ids, w) in self.edges(unit):
             into[last + 1].append((last + 1 - size, ids, math.log(w)))
-        log_mass, top = [0.0] * (n + 1), [0.0] * (n + 1)
-        best: list[tuple] = [()] * (n + 1)
+        log_mass = [0.0] * (n + 1)
         for j in range(1, n + 1):
             logs = [e[2] + log_mass[e[0]] for e in into[j]]
             most = max(logs)
             log_mass[j] = most + math.log(math.fsum([math.exp(x - most) for x in logs]))
-            ways = [e[2] + top[e[0]] for e in into[j]]
-            top[j] = max(ways)
             into[j] = [(e[0], e[1], math.exp(x - log_mass[j])) for e, x in zip(into[j], logs)]
-            best[j] = into[j][ways.index(top[j])]
-        way, at = [], n
+        return into, [1.0] * (n + 1)
+
+    @staticmethod
+    def _best_way(into: list, mass: list) -> tuple[bytes, float]:
+        top, back = [0.0] * len(into), [()] * len(into)
+        for j in range(1, len(into)):
+            ways = [math.log(e[2] / mass[j]) + top[e[0]] if e[2] > 0 else -math.inf for e in into[j]]
+            top[j] = max(ways)
+            back[j] = into[j][ways.index(top[j])]
+        parts, at = [], len(into) - 1
         while at:
-            way.append((at, *best[at]))
-            at = way[-1][1]
-        return into, way
+            parts.append(back[at][1])
+            at = back[at][0]
+        return b"".join(reversed(parts)), top[-1]
 
     def _add(self, unit: str) -> int:
         """Number of a new unit; its best segmentation is kept with its probability among all of the unit."""
@@ -112,9 +128,9 @@ class Lattice:
         self.number[unit] = k = len(self.units)
         self.units.append(unit)
         if n > SHORT:
-            way = self._lattice(unit)[1]
-            self.best.append(b"".join([step[2] for step in reversed(way)]))
-            self.best_log.append(min(0.0, math.fsum([math.log(step[3]) for step in way])))
+            ids, log_p = self._best_way(*self._lattice(unit))
+            self.best.append(ids)
+            self.best_log.append(min(0.0, log_p))
             return k
         mass, top, back = [1.0] + [0.0] * n, [1.0] + [0.0] * n, [(0, b"")] * (n + 1)
         for last, (size, ids, w) in self.finder.iter(unit) if self.single.issuperset(unit) else self.edges(unit):
@@ -144,56 +160,66 @@ class Lattice:
         if len(self.units) > REMEMBERED:
             self.number, self.units, self.best, self.best_log, self.others = {}, [], [], [], {}
 
-    def _steps(self, into: list, ids: bytes) -> list[tuple[int, float]]:
+    @staticmethod
+    def _steps(into: list, mass: list, ids: bytes) -> list[tuple[int, float]]:
         """The start of each edge of a segmentation, from the end, and the probability of all from that edge on."""
         at, end, out = len(into) - 1, len(ids), []
         while at:
-            start, part, p = next(e for e in into[at] if ids.endswith(e[1], 0, end))
-            out.append((start, p))
+            for start, part, x in into[at]:
+                if ids.endswith(part, 0, end):
+                    break
+            out.append((start, x / mass[at]))
             at, end = start, end - len(part)
         tail, steps = 1.0, []
         for start, p in reversed(out):
             tail *= p
             steps.append((start, tail))
-        return steps[::-1]
+        steps.reverse()
+        return steps
 
-    def draw(self, k: int, rng: np.random.Generator, without: frozenset[bytes]) -> tuple[bytes, float]:
-        """A segmentation of unit k other than those in without, by its probability; and the logarithm of that."""
+    def draw(self, k: int, rng: np.random.Generator, without: frozenset[bytes] | None = None) -> tuple[bytes, float]:
+        """A segmentation of unit k other than those in without (by default its best), by its probability; and the logarithm of that."""
         if k not in self.others:
             if len(self.others) >= LATTICES:
                 self.others.clear()
-            self.others[k] = self._lattice(self.units[k])[0]
-        into = self.others[k]
-        barred = [self._steps(into, x) for x in without]
+            into, mass = self._lattice(self.units[k])
+            self.others[k] = into, mass, self._steps(into, mass, self.best[k])
+        into, mass, best = self.others[k]
+        barred = [best] if without is None else [self._steps(into, mass, x) for x in without]
+        random = rng.random
         while True:
-            at, parts, log_p, met, i = len(into) - 1, [], 0.0, barred, 0
+            at, parts, p, log_p, met, i = len(into) - 1, [], 1.0, 0.0, barred, 0
             while at:
                 here = into[at]
-                u = rng.random()
                 if met:  # from each edge goes the mass of what is barred behind it
                     lost: dict[int, float] = {}
                     for steps in met:
-                        lost[steps[i][0]] = lost.get(steps[i][0], 0.0) + steps[i][1]
+                        lost[steps[i][0]] = lost.get(steps[i][0], 0.0) + steps[i][1] * mass[at]
                     open_ = [max(0.0, e[2] - lost[e[0]]) if e[0] in lost else e[2] for e in here]
-                    u *= sum(open_)
-                    for e, p in zip(here, open_):
-                        u -= p
+                    u = random() * sum(open_)
+                    for e, x in zip(here, open_):
+                        u -= x
                         if u < 0:
                             break
                     met = [steps for steps in met if steps[i][0] == e[0]]
                     i += 1
+                elif len(here) == 1:
+                    e = here[0]
                 else:
+                    u = random() * mass[at]
                     for e in here:
                         u -= e[2]
                         if u < 0:
                             break
                 parts.append(e[1])
-                log_p += math.log(e[2])
+                p *= e[2] / mass[at]
+                if p < 1e-200:
+                    log_p, p = log_p + math.log(p), 1.0
                 at = e[0]
             parts.reverse()
             out = b"".join(parts)
-            if out not in without:
-                return out, log_p
+            if out not in without if without is not None else out != self.best[k]:
+                return out, log_p + math.log(p)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, self.kind).tolist())).decode("utf-8", "replace")[1:]
@@ -230,7 +256,7 @@ def top_k(lattice: Lattice, text: str, k: int, rng: np.random.Generator) -> tupl
         """From unit start on all units are drawn; every choice not taken becomes a node."""
         for i in np.flatnonzero(rng.random(n - start) >= best_p[start:]) + start:
             i = int(i)
-            other[i], log_p[i] = lattice.draw(int(units[i]), rng, frozenset({lattice.best[units[i]]}))
+            other[i], log_p[i] = lattice.draw(int(units[i]), rng)
         before = np.cumsum(log_p) - log_p
         with np.errstate(divide="ignore"):
             log_mass = before + np.log(np.maximum(-np.expm1(log_p), 0.0))

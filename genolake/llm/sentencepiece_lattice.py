@@ -32,9 +32,9 @@ SPACE = "▁"
 BYTE_COST = 4.0
 RANK_SHIFT = 2.7
 #: Units that a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Units of which a worker also remembers the lattice.
-LATTICES = 20_000
+LATTICES = 4_000
 #: Code points up to which a unit's weights are multiplied as they are; longer ones are added up as logarithms.
 SHORT = 40
 

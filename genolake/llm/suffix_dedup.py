@@ -375,7 +375,9 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 reaching |= (w1 == np.uint64(cut[0])) & (w2 == np.uint64(cut[1]))
             ask = (several[groups] | reaching) & same
             ask &= reaching | _alike(groups, stretch >> np.uint64(8) & np.uint64(255), ask) | _alike(groups, stretch & np.uint64(255), ask)
-            singly = ask & (reaching | (ways[groups] > TOGETHER))
+            #: Every copy of the stretch that is not settled asks: the least document may hold it more than once.
+            ask = ask[np.flatnonzero(same)][np.cumsum(same) - 1] & ~hit
+            singly = ask & (reaching | (ways[groups] > TOGETHER) | (np.bincount(groups[ask], minlength=len(starts))[groups] > TOGETHER))
             for kind, rows in ((ASK_SINGLY, singly), (ASK, ask & ~singly)):
                 yield from _settled(kind, block[rows], place[rows], count[rows])
 

@@ -234,6 +234,20 @@ def test_suffix_dedup_small_blocks(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), bytes(r["kept"])) for r in got) == _covered(texts, 50)
 
 
+@pytest.mark.parametrize("together", [1000, 2, 0])
+def test_suffix_dedup_repeats_within_a_document(spark, monkeypatch, together):
+    """The least document of a stretch holds it more than once; each copy is compared with what a smaller document has."""
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    rng = random.Random(5)
+    x, y, a, b = ("".join(rng.choices(string.ascii_letters, k=120)) for _ in range(4))
+    texts = []
+    for i, size in enumerate((55, 80, 150, 400)):
+        p = "".join(rng.choices(string.ascii_letters, k=size))
+        texts += [(10 * i, x[i:] + p + y), (10 * i + 1, a[i:] + p + b + a[i:] + p + b + a[i:] + p + b), (10 * i + 2, b + a[i:] + p + b)]
+    got = suffix_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), bytes(r["kept"])) for r in got) == _covered(texts, 50)
+
+
 def test_suffix_dedup_edges(spark, docs, empty):
     assert suffix_dedup.dedup(empty).count() == 0
     nulls = spark.createDataFrame([(None, "q" * 90), (1, "q" * 90), (None, None)], "doc_id long, text string")

@@ -12,6 +12,7 @@ places in it, so Spark moves few, large rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -486,7 +487,7 @@ def spans(places: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarr
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, starts, ends (removed runs), kept (bytes).
+    """One row per row of docs: doc_id, n_bytes, starts, ends (removed runs), kept (bytes), text_hash (of the whole text, 16 bytes).
 
     A null text is empty; a text shorter than a window loses nothing. A row with a null id loses nothing and takes
     nothing from others. Rows of equal id don't count as smaller than each other. An empty table gives no rows.
@@ -500,18 +501,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 doc = np.searchsorted(block.seen_offsets, place, "right") - 1
                 order = np.argsort(doc, kind="stable")
                 edges = np.searchsorted(doc[order], np.arange(len(block.texts) + 1))
-                out: list[list] = [[] for _ in range(5)]
+                out: list[list] = [[] for _ in range(6)]
                 for i, text in enumerate(block.texts):
                     mine = order[edges[i] : edges[i + 1]]
                     starts, ends = spans(place[mine] - block.seen_offsets[i], count[mine], length)
                     at = [0, *np.column_stack((starts, ends)).ravel().tolist(), len(text)]
                     kept = b"".join(text[a:b] for a, b in zip(at[::2], at[1::2]))
-                    for column, x in zip(out, (None if block.nulls[i] else int(block.ids[i]), len(text), starts.tolist(), ends.tolist(), kept)):
+                    for column, x in zip(out, (None if block.nulls[i] else int(block.ids[i]), len(text), starts.tolist(), ends.tolist(), kept, hashlib.md5(text, usedforsecurity=False).digest())):
                         column.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "n_bytes", "starts", "ends", "kept"])
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "n_bytes", "starts", "ends", "kept", "text_hash"])
 
-    return covered_windows(docs, id_col, text_col, length).mapInArrow(cut, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return covered_windows(docs, id_col, text_col, length).mapInArrow(cut, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, text_hash binary")
 
 
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
@@ -525,10 +526,10 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [k.decode("utf-8", "ignore") for k in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["__id", "__bytes", "__text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["__id", "__hash", "__text"])
 
-    changed = cut.select("doc_id", "n_bytes", "kept").mapInArrow(repair, "__id long, __bytes long, __text string").dropDuplicates(["__id", "__bytes"])
-    on = (docs[id_col] == changed["__id"]) & (F.octet_length(docs[text_col]) == changed["__bytes"])
+    changed = cut.select("doc_id", "text_hash", "kept").mapInArrow(repair, "__id long, __hash binary, __text string").dropDuplicates(["__id", "__hash"])
+    on = (docs[id_col] == changed["__id"]) & (F.unhex(F.md5(docs[text_col].cast("binary"))) == changed["__hash"])
     joined = docs.join(changed, on, "left")
     text = F.coalesce(F.col("__text"), docs[text_col])
     columns = [text.alias(c) if c == text_col else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == chars_col else docs[c] for c in docs.columns]

@@ -257,6 +257,14 @@ def test_suffix_dedup_edges(spark, docs, empty):
     assert {r["text"] for r in out.where("doc_id = 3").collect()} == {""} and out.where("doc_id = 1 AND text IS NULL").count() == 1
 
 
+def test_rewrite_of_equal_ids_and_sizes(spark):
+    rng = random.Random(6)
+    p, q, r = ("".join(rng.choices(string.ascii_letters, k=100)) for _ in range(3))
+    rows = [(0, p), (1, p + "mine"), (1, q + "then"), (1, r[:50] + p[:50] + "last")]
+    out = suffix_dedup.rewrite(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, out.collect())) == sorted([(0, p), (1, "mine"), (1, q + "then"), (1, r[:50] + "last")])
+
+
 def test_multikey_order():
     rng = np.random.default_rng(0)
     keys = [rng.integers(0, 4, 500) for _ in range(4)]

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from genolake.llm import chat, common, decontaminate, licenses, multiset_hash, sentencepiece_lattice, sharding, simhash, suffix_dedup, token_files, toxicity
+from genolake.llm import chat, common, decontaminate, licenses, multiset_hash, sentencepiece_lattice, sharding, shingle_dedup, simhash, suffix_dedup, token_files, toxicity
 
 DOCS = "doc_id long, text string, lang string, row int, hits string"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -354,6 +354,44 @@ def test_simhash_links(spark, monkeypatch, pairwise):
 # 9
 
 
+@pytest.mark.parametrize("leaders", [16, 1])
+def test_near_copies_by_shingles(spark, empty, monkeypatch, leaders):
+    """Recall and precision at similarity 0.8 against brute force; also a line that all have, and many copies of one text."""
+    monkeypatch.setattr(shingle_dedup, "LEADERS", leaders)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
+    rows = [(900, ""), (901, None), (902, "one two"), (903, "One  two"), (904, "a b c d e f")]
+    for base in range(40):
+        text = [word() for _ in range(rng.randrange(60, 300))]
+        for copy in range(12 if base == 0 else 3):
+            changed = list(text)
+            for _ in range(copy and rng.randrange(1, max(2, len(text) // 30))):
+                changed[rng.randrange(len(text))] = word()
+            rows.append((20 * base + copy, "all of the texts have this line in common " + " ".join(changed)))
+    rng.shuffle(rows)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in ((i, (t or "").lower().split()) for i, t in rows)}
+    root = {i: i for i in sets}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    n_links = 0
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            n_links += a < 800
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    assert n_links > 60
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in shingle_dedup.near_duplicates(given).collect()}
+    assert got == {i: top(i) for i in sets}
+    assert {r["doc_id"] for r in shingle_dedup.representatives(given).collect()} == {i for i in sets if top(i) == i}
+    import corpus_pipeline
+
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, given, "").collect()} == {i for i in sets if top(i) == i}
+    assert shingle_dedup.near_duplicates(empty).count() == 0
+
+
 def test_perfect_hash():
     for n in (0, 1, 2, 37, 5000):
         hashes = np.array([token_files.key_hash(i) for i in range(n)], np.uint64)

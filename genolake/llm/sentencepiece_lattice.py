@@ -35,8 +35,15 @@ RANK_SHIFT = 2.7
 REMEMBERED = 150_000
 #: Units of which a worker also remembers the lattice.
 LATTICES = 4_000
-#: Code points up to which a unit's weights are multiplied as they are; longer ones are added up as logarithms.
+#: Code points up to which a unit's weights are multiplied as they are, if none can underflow; others are added up as logarithms.
 SHORT = 40
+#: Logarithm above which the least weight that a way of a unit may have is far from underflow.
+LEAST_LOG = -650.0
+
+
+def _log_sum(*logs: float) -> float:
+    most = max(logs)
+    return most + math.log(math.fsum([math.exp(x - most) for x in logs])) if most > -math.inf else most
 
 
 class Lattice:
@@ -67,10 +74,13 @@ class Lattice:
                 self.single.add(piece)
             rank += 1
         self.finder.make_automaton()
+        #: The least logarithm of a piece's weight.
+        self.least_log = -alpha * math.log(max(1.0, (rank - 1 + RANK_SHIFT) * harmonic))
         self.number: dict[str, int] = {}
         self.units: list[str] = []
         self.best: list[bytes] = []
         self.best_log: list[float] = []
+        self.other_log: list[float] = []
         self.others: dict[int, tuple] = {}
 
     def edges(self, unit: str) -> list[tuple[int, tuple[int, bytes, float]]]:
@@ -87,11 +97,11 @@ class Lattice:
     def _lattice(self, unit: str) -> tuple[list, list]:
         """For each place the edges that end there (start, ids, weight) and the sum of their weights.
 
-        A weight is the mass of all ways to the place over that edge; long units' weights are scaled to sum up to 1.
+        A weight is the mass of all ways to the place over that edge; where it could underflow, weights are scaled to sum up to 1.
         """
         n = len(unit)
         into: list[list] = [[] for _ in range(n + 1)]
-        if n <= SHORT:
+        if self._safe(unit):
             mass = [1.0] + [0.0] * n
             for last, (size, ids, w) in self.finder.iter(unit) if self.single.issuperset(unit) else self.edges(unit):
                 i = last + 1 - size
@@ -109,44 +119,56 @@ class Lattice:
             into[j] = [(e[0], e[1], math.exp(x - log_mass[j])) for e, x in zip(into[j], logs)]
         return into, [1.0] * (n + 1)
 
-    @staticmethod
-    def _best_way(into: list, mass: list) -> tuple[bytes, float]:
-        top, back = [0.0] * len(into), [()] * len(into)
-        for j in range(1, len(into)):
-            ways = [math.log(e[2] / mass[j]) + top[e[0]] if e[2] > 0 else -math.inf for e in into[j]]
-            top[j] = max(ways)
-            back[j] = into[j][ways.index(top[j])]
-        parts, at = [], len(into) - 1
-        while at:
-            parts.append(back[at][1])
-            at = back[at][0]
-        return b"".join(reversed(parts)), top[-1]
+    def _safe(self, unit: str) -> bool:
+        """True if no way of the unit can underflow: then its weights are multiplied as they are."""
+        if len(unit) > SHORT:
+            return False
+        if self.single.issuperset(unit):
+            return len(unit) * self.least_log > LEAST_LOG
+        return sum(self.least_log if sign in self.single else len(sign.encode()) * self.byte_log_p for sign in unit) > LEAST_LOG
 
     def _add(self, unit: str) -> int:
-        """Number of a new unit; its best segmentation is kept with its probability among all of the unit."""
+        """Number of a new unit; its best segmentation is kept with the logarithms of its probability and of all others'.
+
+        The best way's mass and that of the other ways are added up apart, so neither is the other's rounding.
+        """
         n = len(unit)
         self.number[unit] = k = len(self.units)
         self.units.append(unit)
-        if n > SHORT:
-            ids, log_p = self._best_way(*self._lattice(unit))
-            self.best.append(ids)
-            self.best_log.append(min(0.0, log_p))
-            return k
-        mass, top, back = [1.0] + [0.0] * n, [1.0] + [0.0] * n, [(0, b"")] * (n + 1)
-        for last, (size, ids, w) in self.finder.iter(unit) if self.single.issuperset(unit) else self.edges(unit):
-            j = last + 1
-            i = j - size
-            mass[j] += mass[i] * w
-            x = top[i] * w
-            if x > top[j]:
-                top[j], back[j] = x, (i, ids)
+        back: list[tuple] = [(0, b"")] * (n + 1)
+        if self._safe(unit):
+            top, rest = [1.0] + [0.0] * n, [0.0] * (n + 1)
+            for last, (size, ids, w) in self.finder.iter(unit) if self.single.issuperset(unit) else self.edges(unit):
+                j = last + 1
+                i = j - size
+                x = top[i] * w
+                if x > top[j]:
+                    rest[j] += top[j] + rest[i] * w
+                    top[j], back[j] = x, (i, ids)
+                else:
+                    rest[j] += x + rest[i] * w
+            ratio = math.log(rest[n] / top[n]) if rest[n] else -math.inf
+        else:
+            top, rest = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1)
+            for last, (size, ids, w) in self.edges(unit):
+                j = last + 1
+                i, log_w = j - size, math.log(w)
+                x = top[i] + log_w
+                if x > top[j]:
+                    rest[j] = _log_sum(rest[j], top[j], rest[i] + log_w)
+                    top[j], back[j] = x, (i, ids)
+                else:
+                    rest[j] = _log_sum(rest[j], x, rest[i] + log_w)
+            ratio = rest[n] - top[n]
         parts, at = [], n
         while at:
             at, ids = back[at]
             parts.append(ids)
         parts.reverse()
         self.best.append(b"".join(parts))
-        self.best_log.append(min(0.0, math.log(top[n] / mass[n])))
+        log_p = -_log_sum(0.0, ratio)
+        self.best_log.append(log_p)
+        self.other_log.append(ratio + log_p)
         return k
 
     def numbers(self, text: str) -> np.ndarray:
@@ -158,51 +180,65 @@ class Lattice:
     def forget(self) -> None:
         """Called between texts: keep memory bounded."""
         if len(self.units) > REMEMBERED:
-            self.number, self.units, self.best, self.best_log, self.others = {}, [], [], [], {}
+            self.number, self.units, self.best, self.best_log, self.other_log, self.others = {}, [], [], [], [], {}
 
     @staticmethod
-    def _steps(into: list, mass: list, ids: bytes) -> list[tuple[int, float]]:
-        """The start of each edge of a segmentation, from the end, and the probability of all from that edge on."""
-        at, end, out = len(into) - 1, len(ids), []
-        while at:
-            for start, part, x in into[at]:
-                if ids.endswith(part, 0, end):
-                    break
-            out.append((start, x / mass[at]))
-            at, end = start, end - len(part)
-        tail, steps = 1.0, []
-        for start, p in reversed(out):
-            tail *= p
-            steps.append((start, tail))
-        steps.reverse()
-        return steps
+    def _barred(into: list, mass: list, barred: frozenset[bytes]) -> list:
+        """The tree of some segmentations from the end: place, nodes by edge, and each edge's mass without theirs, and the sum of that.
 
-    def draw(self, k: int, rng: np.random.Generator, without: frozenset[bytes] | None = None) -> tuple[bytes, float]:
-        """A segmentation of unit k other than those in without (by default its best), by its probability; and the logarithm of that."""
+        The mass left is added up from what is left behind each edge, never taken as a difference.
+        """
+        root: list = [len(into) - 1, {}, [], 0.0]
+        nodes = [root]
+        for ids in barred:
+            node, end = root, len(ids)
+            while node[0]:
+                for e, (start, part, _) in enumerate(into[node[0]]):
+                    if ids.endswith(part, 0, end):
+                        break
+                if e not in node[1]:
+                    node[1][e] = [start, {}, [], 0.0]
+                    nodes.append(node[1][e])
+                node, end = node[1][e], end - len(part)
+        for node in reversed(nodes):
+            if node[0]:
+                left = [e[2] for e in into[node[0]]]
+                for e, child in node[1].items():
+                    left[e] *= child[3] / mass[child[0]]
+                node[2], node[3] = left, sum(left)
+        return root
+
+    def _known(self, k: int) -> tuple[list, list, list]:
+        """The lattice of unit k and the tree of its best segmentation."""
         if k not in self.others:
             if len(self.others) >= LATTICES:
                 self.others.clear()
             into, mass = self._lattice(self.units[k])
-            self.others[k] = into, mass, self._steps(into, mass, self.best[k])
-        into, mass, best = self.others[k]
-        barred = [best] if without is None else [self._steps(into, mass, x) for x in without]
+            self.others[k] = into, mass, self._barred(into, mass, frozenset({self.best[k]}))
+        return self.others[k]
+
+    def left_log(self, k: int, without: frozenset[bytes]) -> float:
+        """The logarithm of the probability of all segmentations of unit k but some."""
+        into, mass, _ = self._known(k)
+        left = self._barred(into, mass, without)[3]
+        return math.log(left / mass[-1]) if left else -math.inf
+
+    def draw(self, k: int, rng: np.random.Generator, without: frozenset[bytes] | None = None) -> tuple[bytes, float]:
+        """A segmentation of unit k other than those in without (by default its best), by its probability; and the logarithm of that."""
+        into, mass, best = self._known(k)
+        barred = best if without is None else self._barred(into, mass, without)
         random = rng.random
         while True:
-            at, parts, p, log_p, met, i = len(into) - 1, [], 1.0, 0.0, barred, 0
+            at, parts, p, log_p, met = len(into) - 1, [], 1.0, 0.0, barred
             while at:
                 here = into[at]
-                if met:  # from each edge goes the mass of what is barred behind it
-                    lost: dict[int, float] = {}
-                    for steps in met:
-                        lost[steps[i][0]] = lost.get(steps[i][0], 0.0) + steps[i][1] * mass[at]
-                    open_ = [max(0.0, e[2] - lost[e[0]]) if e[0] in lost else e[2] for e in here]
-                    u = random() * sum(open_)
-                    for e, x in zip(here, open_):
+                if met is not None:  # from each edge goes the mass of what is barred behind it
+                    u = random() * met[3]
+                    for i, x in enumerate(met[2]):
                         u -= x
                         if u < 0:
                             break
-                    met = [steps for steps in met if steps[i][0] == e[0]]
-                    i += 1
+                    e, met = here[i], met[1].get(i)
                 elif len(here) == 1:
                     e = here[0]
                 else:
@@ -213,7 +249,7 @@ class Lattice:
                             break
                 parts.append(e[1])
                 p *= e[2] / mass[at]
-                if p < 1e-200:
+                if p < 1e-100:
                     log_p, p = log_p + math.log(p), 1.0
                 at = e[0]
             parts.reverse()
@@ -247,6 +283,7 @@ def top_k(lattice: Lattice, text: str, k: int, rng: np.random.Generator) -> tupl
     n = len(units)
     best_log = np.fromiter(map(lattice.best_log.__getitem__, units.tolist()), np.float64, n)
     best_p = np.exp(best_log)
+    other_log = np.fromiter(map(lattice.other_log.__getitem__, units.tolist()), np.float64, n)
     leaves: list[Leaf] = []
     #: Nodes by leaf: value and log-mass at each unit; extra ones, where a unit has lost two choices or more.
     nodes: list[np.ndarray] = []
@@ -258,12 +295,11 @@ def top_k(lattice: Lattice, text: str, k: int, rng: np.random.Generator) -> tupl
             i = int(i)
             other[i], log_p[i] = lattice.draw(int(units[i]), rng)
         before = np.cumsum(log_p) - log_p
-        with np.errstate(divide="ignore"):
-            log_mass = before + np.log(np.maximum(-np.expm1(log_p), 0.0))
-            # what has no mass but for rounding is no node
-            log_mass[best_log > -1e-12] = -np.inf
-            values = np.full(n, -np.inf)
-            values[start:] = _below(log_mass[start:], value, rng)
+        left, drawn = other_log.copy(), list(other)
+        left[drawn] = np.log(-np.expm1(log_p[drawn]))  # at least a half: a better one is left
+        log_mass = before + left
+        values = np.full(n, -np.inf)
+        values[start:] = _below(log_mass[start:], value, rng)
         values[np.isneginf(log_mass)] = -np.inf
         leaves.append(Leaf(other, log_p, value))
         nodes.append(values)
@@ -290,8 +326,9 @@ def top_k(lattice: Lattice, text: str, k: int, rng: np.random.Generator) -> tupl
         log_p = np.concatenate((leaf.log_p[:at], [log_q], best_log[at + 1 :]))
         descend(other, log_p, at + 1, value)
         rest = 1 - lost - math.exp(log_q)
-        if rest > 1e-12:
-            log_rest = float(leaf.log_p[:at].sum()) + math.log(rest)
+        log_rest = math.log(rest) if rest > 1e-3 else lattice.left_log(unit, taken | {choice})
+        if log_rest > -math.inf:
+            log_rest += float(leaf.log_p[:at].sum())
             extra.append((float(_below(np.array(log_rest), value, rng)), len(leaves) - 1, at, taken | {choice}, lost + math.exp(log_q)))
 
 

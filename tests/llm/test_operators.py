@@ -102,6 +102,30 @@ def test_samples_without_replacement():
     assert len(few) == len(_segmentations(lattice, "a")) and few[0][5] == 1.0
 
 
+@pytest.mark.parametrize("run", ["中文分词的结果应该保持不变", "ሀለሐመሠረሰሸቀበተቸ", "กขคงจฉช", "😀🦄🧬🫠", "𓀀𓀁𓀂", "é😀中ሀx", "ก"])
+def test_short_units_do_not_underflow(run, monkeypatch):
+    lattice = sentencepiece_lattice.Lattice(MODEL, 2.0)
+    texts = [(run * 40)[:n] for n in (6, 8, 20, 34, 35, 39, 40, 41)]
+    got = [sentencepiece_lattice.samples(lattice, i, t, 3) for i, t in enumerate(texts)]
+    for t, rows in zip(texts, got):
+        assert rows and all(lattice.decode(r[1]) == t and -math.inf < r[3] <= 0 for r in rows) and len({r[1] for r in rows}) == len(rows)
+    monkeypatch.setattr(sentencepiece_lattice, "SHORT", 0)
+    by_logs = sentencepiece_lattice.Lattice(MODEL, 2.0)
+    for i, (t, rows) in enumerate(zip(texts, got)):
+        again = sentencepiece_lattice.samples(by_logs, i, t, 3)
+        assert [r[1] for r in again] == [r[1] for r in rows] and np.allclose([r[3] for r in again], [r[3] for r in rows], rtol=1e-9, atol=1e-9)
+
+
+def test_all_segmentations_however_unlikely():
+    lattice = sentencepiece_lattice.Lattice(MODEL, 2.0)
+    for text in ("a", "of", "cat", "the", "a of", "dog's"):
+        p = _segmentations(lattice, text)
+        got = sentencepiece_lattice.samples(lattice, 3, text, len(p) + 5)
+        assert {r[1] for r in got} == set(p) and len(got) == len(p)
+        assert all(math.isclose(math.exp(r[3]), p[r[1]], rel_tol=1e-9) and r[5] == 1.0 for r in got)
+    assert min(_segmentations(lattice, "a").values()) < 1e-12
+
+
 def test_encode_and_decode(docs, empty):
     got = sentencepiece_lattice.decode(sentencepiece_lattice.encode_samples(docs, MODEL), MODEL).collect()
     allowed = {(i, t or "") for i, t in TEXTS}

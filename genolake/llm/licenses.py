@@ -1,6 +1,6 @@
 """License scans: sparse TF-IDF cosine of a file's lines to licence templates, then inheritance along directories.
 
-Every line of every file is a header candidate, and a short file also counts as a whole. The weights' document
+Every line of every file and every run of up to WINDOW lines is a header candidate, and every file also counts as a whole. The weights' document
 frequencies are counted over all files. A file without a licence of its own takes that of the nearest directory
 above it (its own first) that holds a licence file; directories are met by equi-joins on their ancestors' paths.
 """
@@ -28,8 +28,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 LEAST = 0.6
-#: Words up to which a file is also compared as a whole.
-WHOLE = 400
+#: Lines up to which a run of them is compared as one.
+WINDOW = 4
 #: Directories with a licence up to which their table is broadcast.
 BROADCAST_ROWS = 200_000
 WORD = re.compile(r"[^\W_]+")
@@ -73,7 +73,9 @@ class Matcher:
         """The highest cosine and its template (ties: the first by name); 0 and None if no word is shared."""
         if self.known.isdisjoint(words):
             return 0.0, None
-        counts = Counter(words)
+        return self.best_of(Counter(words))
+
+    def best_of(self, counts: Counter) -> tuple[float, str | None]:
         weights = {t: k * self.idf[t] for t, k in counts.items() if t in self.idf}
         other = sum(k * k for t, k in counts.items() if t not in self.idf)
         norm = math.sqrt(sum(w * w for w in weights.values()) + other * self.rare**2)
@@ -82,17 +84,23 @@ class Matcher:
         return top, next(name for s, name in scores if s == top)
 
     def file(self, text: str | None) -> tuple[float, str | None, int | None]:
-        """The best line (or the whole of a short file, line 0) with its cosine, template and number from 1."""
+        """The best line, run of lines or whole file (line 0) with its cosine, template and number (of its first line) from 1.
+
+        A run starts and ends with a line that shares a word with a template; others could only lengthen it.
+        """
         found: tuple[float, str | None, int | None] = (0.0, None, None)
-        size = 0
-        for i, line in enumerate((text or "").split("\n"), 1):
-            words = terms(line)
-            size += len(words)
-            score, name = self.best(words)
-            if score > found[0]:
-                found = (score, name, i)
-        if 0 < size <= WHOLE:
-            score, name = self.best(terms(text or ""))
+        lines = [terms(line) for line in (text or "").split("\n")]
+        sharing = [not self.known.isdisjoint(words) for words in lines]
+        for i in (i for i, shares in enumerate(sharing) if shares):
+            words: list[str] = []
+            for j in range(i, min(i + WINDOW, len(lines))):
+                words = words + lines[j]
+                if sharing[j]:
+                    score, name = self.best(words)
+                    if score > found[0]:
+                        found = (score, name, i + 1)
+        if any(sharing):
+            score, name = self.best_of(Counter(w for words in lines for w in words))
             if score > found[0]:
                 found = (score, name, 0)
         return found

@@ -180,6 +180,18 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_whole_licences_and_wrapped_notices(spark):
+    """A full licence of over 400 words counts as a whole, and a notice that is wrapped over lines of a long file as one."""
+    full = words(900, 4).replace(" big", "\nbig")
+    header = "This Source Code Form is subject\nto the terms of the\nMozilla Public\nLicense, v. 2.0."
+    rows = [("a/LICENSE", full), ("b/x.py", "\n".join(["code here"] * 300) + "\n" + header + "\n" + "\n".join(["more code"] * 300)), ("c/y.py", words(600, 8))]
+    got = licenses.scan(spark.createDataFrame(rows, "path string, text string"), templates={**licenses.TEMPLATES, "Full": full.upper()}).collect()
+    by = {r["path"]: (r["own_license"], r["line"], r["cosine"]) for r in got}
+    assert by["a/LICENSE"][:2] == ("Full", 0) and by["a/LICENSE"][2] > 0.999
+    alone = {r["path"]: (r["own_license"], r["line"]) for r in licenses.scan(spark.createDataFrame(rows[1:2], "path string, text string")).collect()}
+    assert by["b/x.py"][:2] == ("MPL-2.0", 301) and alone["b/x.py"] == ("MPL-2.0", 301)
+
+
 # 4
 
 

@@ -88,7 +88,7 @@ def test_samples_without_replacement():
     p = _segmentations(lattice, "the cat")
     n, first, weight = 1500, dict.fromkeys(p, 0), dict.fromkeys(p, 0.0)
     for key in range(n):
-        got = sentencepiece_lattice.samples(lattice, key, "the cat", 3)
+        got = sentencepiece_lattice.samples(lattice, [key], ["the cat"], 3)[0]
         assert len({x[1] for x in got}) == 3 and [x[4] for x in got] == sorted((x[4] for x in got), reverse=True)
         first[got[0][1]] += 1
         for _, ids, size, log_p, _, inclusion in got:
@@ -96,9 +96,9 @@ def test_samples_without_replacement():
             weight[ids] += p[ids] / inclusion / n
     top = sorted(p, key=p.get)[-3:]
     assert all(abs(first[x] / n - p[x]) < 0.05 and abs(weight[x] - p[x]) < 0.03 for x in top)
-    assert len(sentencepiece_lattice.samples(lattice, 1, "", 5)) == 1
-    assert sentencepiece_lattice.samples(lattice, 7, "dog mat", 2) == sentencepiece_lattice.samples(lattice, 7, "dog mat", 2)
-    few = sentencepiece_lattice.samples(lattice, 1, "a", 500)
+    assert len(sentencepiece_lattice.samples(lattice, [1], [""], 5)[0]) == 1
+    assert sentencepiece_lattice.samples(lattice, [7], ["dog mat"], 2)[0] == sentencepiece_lattice.samples(lattice, [6, 7, 8], ["the", "dog mat", "of dogs"], 2)[1]
+    few = sentencepiece_lattice.samples(lattice, [1], ["a"], 500)[0]
     assert len(few) == len(_segmentations(lattice, "a")) and few[0][5] == 1.0
 
 
@@ -106,13 +106,13 @@ def test_samples_without_replacement():
 def test_short_units_do_not_underflow(run, monkeypatch):
     lattice = sentencepiece_lattice.Lattice(MODEL, 2.0)
     texts = [(run * 40)[:n] for n in (6, 8, 20, 34, 35, 39, 40, 41)]
-    got = [sentencepiece_lattice.samples(lattice, i, t, 3) for i, t in enumerate(texts)]
+    got = sentencepiece_lattice.samples(lattice, list(range(len(texts))), texts, 3)
     for t, rows in zip(texts, got):
         assert rows and all(lattice.decode(r[1]) == t and -math.inf < r[3] <= 0 for r in rows) and len({r[1] for r in rows}) == len(rows)
     monkeypatch.setattr(sentencepiece_lattice, "SHORT", 0)
     by_logs = sentencepiece_lattice.Lattice(MODEL, 2.0)
     for i, (t, rows) in enumerate(zip(texts, got)):
-        again = sentencepiece_lattice.samples(by_logs, i, t, 3)
+        again = sentencepiece_lattice.samples(by_logs, [i], [t], 3)[0]
         assert [r[1] for r in again] == [r[1] for r in rows] and np.allclose([r[3] for r in again], [r[3] for r in rows], rtol=1e-9, atol=1e-9)
 
 
@@ -120,7 +120,7 @@ def test_all_segmentations_however_unlikely():
     lattice = sentencepiece_lattice.Lattice(MODEL, 2.0)
     for text in ("a", "of", "cat", "the", "a of", "dog's"):
         p = _segmentations(lattice, text)
-        got = sentencepiece_lattice.samples(lattice, 3, text, len(p) + 5)
+        got = sentencepiece_lattice.samples(lattice, [3], [text], len(p) + 5)[0]
         assert {r[1] for r in got} == set(p) and len(got) == len(p)
         assert all(math.isclose(math.exp(r[3]), p[r[1]], rel_tol=1e-9) and r[5] == 1.0 for r in got)
     assert min(_segmentations(lattice, "a").values()) < 1e-12

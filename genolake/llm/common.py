@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most splitters that are kept on the driver, whatever the size of the table.
-MAX_SPLITTERS = 4096
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -21,10 +21,50 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    while any(name.lower() in (c.lower() for c in df.columns) for df in tables):
+        name += "_"
+    return name
+
+
+#: What this worker process keeps from task to task: that of one operator only, so stages don't add up.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What make() gave for the key in this process; anything kept for another key is let go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow whose worker gives freed memory back to the system, as a process outlives its tasks.
+
+    Arrays of a megabyte or more are mapped one by one, so they leave no gaps behind (where the C library has that switch).
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
+    """The folder that driver and executors share; a folder of our own only in a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="genolake-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -40,24 +80,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def splitters(df: DataFrame, col: str, buckets: int) -> list[int]:
     """At most buckets - 1 ascending values of the long column that cut its rows into ranges of like size.
 
-    They are approximate quantiles of all rows: a list of bounded length, whatever the table's size.
+    They are approximate quantiles of all rows. The list grows with the buckets asked for, 8 bytes for each.
     """
-    n = min(buckets, MAX_SPLITTERS)
-    if n < 2:
+    if buckets < 2:
         return []
-    cuts = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(col, cuts, 20 * n).alias("cuts")).first()
+    cuts = F.expr("array(" + ",".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")")
+    row = df.agg(F.percentile_approx(col, cuts, F.lit(max(20_000, 8 * buckets))).alias("cuts")).first()
     return sorted(set(row["cuts"] or []))
 
 
+def _longs(values: list[int]) -> Column:
+    return F.expr("array(" + ",".join(f"bigint('{x}')" for x in values) + ")")
+
+
 def range_of(col: Column, cuts: list[int]) -> Column:
-    """Number of splitters at or below the value, so ranges count from 0; null goes to range 0."""
+    """Number of splitters at or below the value, so ranges count from 0; null goes to range 0.
+
+    The splitters are a constant of the plan, searched in two steps of about the square root of their number.
+    """
     if not cuts:
         return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
-    heads = cuts[::step]
-    fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in cuts[i : i + step]]) for i in range(0, len(cuts), step)])
-    coarse = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in heads]), lambda s: s <= col))
+    fine = F.expr("array(" + ",".join("array(" + ",".join(f"bigint('{x}')" for x in cuts[i : i + step]) + ")" for i in range(0, len(cuts), step)) + ")")
+    coarse = F.size(F.filter(_longs(cuts[::step]), lambda s: s <= col))
     within = F.size(F.filter(F.element_at(fine, F.greatest(coarse, F.lit(1))), lambda s: s <= col))
     return F.when(col.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * step + within)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents
+from .common import checkpoint, documents, lean
 
 #: Short notices as they stand in file headers.
 TEMPLATES = {
@@ -53,7 +53,7 @@ def document_frequencies(files: DataFrame, templates: dict[str, str], text_col:
         counts[""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
-    counted = files.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = files.select(F.col(text_col).cast("string")).mapInArrow(lean(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = {r["term"]: r["n"] for r in counted.collect()}  # at most as many rows as the templates have words
     return found.pop("", 0), found
 
@@ -124,7 +124,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
             cosines, names, lines = (list(x) for x in zip(*kept)) if kept else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(cosines, pa.float64()), pa.array(lines, pa.int32())], ["path", "is_licence", "own_license", "cosine", "line"])
 
-    own = checkpoint(given.mapInArrow(run, "path string, is_licence boolean, own_license string, cosine double, line int"))
+    own = checkpoint(given.mapInArrow(lean(run), "path string, is_licence boolean, own_license string, cosine double, line int"))
     folder = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))
     placed = own.withColumn("dir", folder)
     licensed = placed.where("is_licence AND own_license IS NOT NULL AND dir IS NOT NULL").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "own_license")).alias("x"))

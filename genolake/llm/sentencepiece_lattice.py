@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, kept, lean, unused
 
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 SPACE = "▁"
@@ -217,40 +217,51 @@ class Ways:
         return self._joined(steps, len(unit), kind), logs
 
 
-class Lattice:
-    def __init__(self, model_file: str, alpha: float = 1.0) -> None:
-        import ahocorasick
+class Pieces:
+    """The bytes of each id of a model."""
+
+    def __init__(self, model_file: str) -> None:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = model.get_piece_size()
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.raw: list[bytes] = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" for i in range(size)]
+        #: Ids of pieces that are neither bytes nor control signs, by their order in the model.
+        self.plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
+        for i in self.plain:
+            self.raw[i] = model.id_to_piece(i).replace(SPACE, " ").encode()
+
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, self.kind).tolist())).decode("utf-8", "replace")[1:]
+
+
+class Lattice(Pieces):
+    def __init__(self, model_file: str, alpha: float = 1.0) -> None:
+        import ahocorasick
+
+        super().__init__(model_file)
+        model, size = self.model, len(self.raw)
         coded = [int(i).to_bytes(self.kind.itemsize, "little") for i in range(size)]
         harmonic = math.fsum(1 / (i + RANK_SHIFT) for i in range(size))
         self.byte_ids = [coded[model.piece_to_id(f"<0x{b:02X}>")] for b in range(256)]
         #: What a byte costs of a character that is no piece.
         self.byte_log_p = -alpha * (math.log(size * harmonic) + BYTE_COST)
-        self.raw: list[bytes] = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" for i in range(size)]
         self.single: set[str] = set()
         #: Finds all pieces in a unit: length, id, weight.
         self.finder = ahocorasick.Automaton()
         pieces: list[tuple[str, int, float]] = []
-        rank = 0
-        for i in range(size):
-            if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i):
-                continue
-            piece = model.id_to_piece(i).replace(SPACE, " ")
+        for rank, i in enumerate(self.plain):
+            piece = self.raw[i].decode()
             weight = ((rank + RANK_SHIFT) * harmonic) ** -alpha
             self.finder.add_word(piece, (len(piece), coded[i], weight))
             pieces.append((piece, i, weight))
-            self.raw[i] = piece.encode()
             if len(piece) == 1:
                 self.single.add(piece)
-            rank += 1
         self.finder.make_automaton()
         self.trie = Trie(pieces)
         #: The least logarithm of a piece's weight.
-        self.least_log = -alpha * math.log(max(1.0, (rank - 1 + RANK_SHIFT) * harmonic))
+        self.least_log = -alpha * math.log(max(1.0, (len(self.plain) - 1 + RANK_SHIFT) * harmonic))
         self.forget(0)
 
     def edges(self, unit: str) -> list[tuple[int, tuple[int, bytes, float]]]:
@@ -451,9 +462,6 @@ class Lattice:
                 ids[i] = x
         return ids, logs
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, self.kind).tolist())).decode("utf-8", "replace")[1:]
-
     def encode(self, text: str) -> bytes:
         """The likeliest segmentation."""
         return b"".join(map(self.best.__getitem__, self.numbers([text])[0].tolist()))
@@ -557,14 +565,9 @@ def search(lattice: Lattice, texts: list[str], k: int, rngs: list[np.random.Gene
     return every
 
 
-_LATTICES: dict[tuple[str, float], Lattice] = {}
-
-
 def lattice(model_file: str, alpha: float = 2.0) -> Lattice:
     """The lattice of this worker process, which outlives its tasks."""
-    if (model_file, alpha) not in _LATTICES:
-        _LATTICES[model_file, alpha] = Lattice(model_file, alpha)
-    return _LATTICES[model_file, alpha]
+    return kept(("lattice", model_file, alpha), lambda: Lattice(model_file, alpha))
 
 
 def samples(own: Lattice, keys: list[int | None], texts: list[str | None], k: int, seed: int = 0) -> list[list[tuple]]:
@@ -603,7 +606,8 @@ def encode_samples(docs: DataFrame, model_file: str, k: int = 2, alpha: float =
 
     ids are little-endian numbers (16 bits if the vocabulary allows). Draws are seeded by doc_id alone, so equal rows
     get equal rows whatever the partitions. A null text is empty and has one segmentation (of the space put before
-    it); fewer than k rows come where a text has fewer segmentations. An empty table gives no rows.
+    it); fewer than k rows come where a text has fewer segmentations. A very long text is one search of its own; what it
+    needs grows with its words. Other columns are ignored, so their names may be any. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -616,24 +620,27 @@ def encode_samples(docs: DataFrame, model_file: str, k: int = 2, alpha: float =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "rank", "ids", "n_tokens", "log_prob", "perturbed", "inclusion"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, rank int, ids binary, n_tokens long, log_prob double, perturbed double, inclusion double")
+    return kept.mapInArrow(lean(run), "doc_id long, rank int, ids binary, n_tokens long, log_prob double, perturbed double, inclusion double")
 
 
 def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """The rows with the text of their ids as a last column; null ids give null."""
-    given = rows.drop(text_col) if text_col in rows.columns else rows
-    names = [*given.columns, text_col]
+    """The rows with the text of their ids as a last column; null ids give null.
+
+    If the rows have a column of that name already, it stays, and the new one gets underscores after its name.
+    """
+    text_col = unused(text_col, rows)
+    names = [*rows.columns, text_col]
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lattice(model_file)
+        own = kept(("pieces", model_file), lambda: Pieces(model_file))
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
                 texts = pa.array([None if x is None else own.decode(x) for x in part.column(at).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names)
 
-    return given.mapInArrow(run, T.StructType([*given.schema.fields, T.StructField(text_col, T.StringType())]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

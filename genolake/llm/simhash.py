@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, documents
+from .common import checkpoint, components, documents, lean, unused
 
 SEED = 42
 BITS = 64
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, "doc_id long, fp long")
+    return kept.mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _chains(fp, distance: int):
@@ -127,10 +127,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
-    """docs without the documents that have a near-duplicate of smaller id; columns as they were."""
+    """docs without the documents that have a near-duplicate of smaller id; columns as they were, whatever their names.
+
+    Rows of one id stay or go together; a row with a null id stays; texts without words (null or empty ones too) count
+    as copies of each other. An empty table stays empty.
+    """
     found = near_duplicates(docs, id_col, text_col, words, distance)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    name = unused("gone_id", docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, partitions
+from .common import documents, kept, lean, partitions, unused
 
 LENGTH = 50
 ANCHOR = 16
@@ -29,28 +29,28 @@ ANCHOR = 16
 BLOCK = 2 << 20
 #: Bytes of text per bucket of suffixes.
 BUCKET = 16 << 20
-MAX_BUCKETS = 1 << 16
-#: Splitters come from this many documents at most, and this many records of each.
-SAMPLE_DOCS, SAMPLE_RECORDS = 2000, 32
+#: Splitters come from about this many documents at least and this many records of each; from one more document for each
+#: SAMPLE_BUCKETS buckets beyond what these can tell apart. They have no say in the result.
+SAMPLE_DOCS, SAMPLE_RECORDS, SAMPLE_BUCKETS = 2000, 32, 8
 
 #: Different stretches of one anchor up to which their bytes are brought together; beyond, single windows are dealt out.
 TOGETHER = 1000
 
 _MIX1, _MIX2, _MIX3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _BASE = 0x9DDFEA08EB382D69
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64."""
-    if len(_POWERS.get("up", ())) < n:
+    held = kept(("powers",), dict)
+    if len(held.get("up", ())) < n:
         size = max(n, 1 << 18)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             with np.errstate(over="ignore"):
-                _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+                held[name] = np.multiply.accumulate(steps)
+    return held["up"][:n], held["down"][:n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -188,7 +188,7 @@ def _buckets(cuts: list[tuple[int, int, int]], words: tuple[np.ndarray, np.ndarr
     tied = np.flatnonzero(out < np.searchsorted(heads, words[0], "right"))
     for head in np.unique(words[0][tied]) if len(tied) else ():
         rows = tied[words[0][tied] == head]
-        for _, second, third in (c for c in cuts if c[0] == int(head)):
+        for _, second, third in cuts[int(np.searchsorted(heads, head, "left")) : int(np.searchsorted(heads, head, "right"))]:
             w2, w3 = words[1][rows], words[2][rows]
             out[rows] += (w2 > second) | (w2 == second) & (w3 >= third)
     return out
@@ -298,7 +298,11 @@ def _dealt(df: DataFrame, n: int) -> DataFrame:
 
 
 def _text_blocks(base: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows (block, ids, data): the texts of some documents, compressed as one, and their other columns."""
+    """Rows (block, data): the texts of some documents, compressed as one, and their other columns.
+
+    Rows are sorted within their partition, so a task that runs again after an executor's loss gives the same blocks,
+    in whatever order a shuffle before it hands its rows over: places in a block keep their meaning.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -309,7 +313,7 @@ def _text_blocks(base: DataFrame, columns: list[str]) -> DataFrame:
             data = _pack([sizes, nulls, ids, np.frombuffer(b"".join(rows[0]), np.uint8)])
             yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + i], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
 
-    return base.mapInArrow(run, "block long, data binary")
+    return base.sortWithinPartitions(*columns, F.xxhash64("text")).mapInArrow(lean(run), "block long, data binary")
 
 
 class _Block:
@@ -328,7 +332,7 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     base = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     total = base.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes")).first()
-    n_buckets = min(MAX_BUCKETS, max(partitions(spark), -(-total["bytes"] // BUCKET)))
+    n_buckets = max(partitions(spark), -(-total["bytes"] // BUCKET))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, 1):
@@ -338,8 +342,8 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             at = np.flatnonzero(np.arange(len(doc)) % np.maximum(1, np.bincount(doc, minlength=1)[doc] // SAMPLE_RECORDS) == 0) if len(doc) else doc
             yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)) for w in words], ["a", "b", "c"])
 
-    share = min(1.0, SAMPLE_DOCS / max(1, total["n"]))
-    picked = base.select("text").sample(share, 1).mapInArrow(sample, "a long, b long, c long").toPandas().to_numpy(np.int64).view(np.uint64)
+    share = min(1.0, max(SAMPLE_DOCS, n_buckets // SAMPLE_BUCKETS) / max(1, total["n"]))
+    picked = base.select("text").sample(share, 1).mapInArrow(lean(sample), "a long, b long, c long").toPandas().to_numpy(np.int64).view(np.uint64)
     picked = picked[np.lexsort((picked[:, 2], picked[:, 1], picked[:, 0]))]
     places = [len(picked) * i // n_buckets for i in range(1, n_buckets)] if len(picked) else []
     cuts = sorted({tuple(map(int, picked[i])) for i in places})
@@ -382,7 +386,7 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for kind, rows in ((ASK_SINGLY, singly), (ASK, ask & ~singly)):
                 yield from _settled(kind, block[rows], place[rows], count[rows])
 
-    first = _dealt(blocks.mapInArrow(suffixes, SHIP), n_buckets).mapInArrow(sorted_buckets, SHIP)
+    first = _dealt(blocks.mapInArrow(lean(suffixes), SHIP), n_buckets).mapInArrow(lean(sorted_buckets), SHIP)
     kinds = {"hits": HIT, "asks": ASK, "asks_singly": ASK_SINGLY}
     by_block = first.groupBy("block").agg(*[F.collect_list(F.when(F.col("bucket") == kind, F.col("blob"))).alias(name) for name, kind in kinds.items()])
     asked = blocks.join(by_block, "block", "left").select("block", "data", *kinds)
@@ -438,7 +442,7 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             hit = order[ids[order] > _leasts(ids[order], _changes(key[order], check[order]))]
             yield from _settled(HIT, number[hit], place[hit], np.ones(len(hit), np.uint8))
 
-    hits = _dealt(asked.mapInArrow(windows, SHIP), second).mapInArrow(compared, SHIP)
+    hits = _dealt(asked.mapInArrow(lean(windows), SHIP), second).mapInArrow(lean(compared), SHIP)
     return blocks.join(hits.groupBy("block").agg(F.collect_list("blob").alias("hits")), "block", "left").select("block", "data", "hits")
 
 
@@ -512,26 +516,28 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "n_bytes", "starts", "ends", "kept", "text_hash"])
 
-    return covered_windows(docs, id_col, text_col, length).mapInArrow(cut, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, text_hash binary")
+    return covered_windows(docs, id_col, text_col, length).mapInArrow(lean(cut), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, text_hash binary")
 
 
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
     """docs with the covered bytes removed from the texts, and chars_col (if there) counted anew; other columns as they were.
 
-    Bytes of a character that was cut go too. A null text stays null. The rows' other columns travel with the blocks'
-    texts no further than one join by doc_id and the text's hash; rows that lose nothing stay as they are.
+    Bytes of a character that was cut go too. A null or empty text stays so, a row with a null id stays as it is, rows of
+    equal id are told apart by their texts' hash, and rows that are equal in both lose the same bytes. An empty table
+    stays empty. The rows' other columns travel no further than one join by doc_id and hash; their names may be any.
     """
     cut = dedup(docs, id_col, text_col, length).where(F.size("starts") > 0)
+    theirs, hashed, rewritten = (unused(c, docs) for c in ("cut_id", "cut_hash", "cut_text"))
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [k.decode("utf-8", "ignore") for k in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["__id", "__hash", "__text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [theirs, hashed, rewritten])
 
-    changed = cut.select("doc_id", "text_hash", "kept").mapInArrow(repair, "__id long, __hash binary, __text string").dropDuplicates(["__id", "__hash"])
-    on = (docs[id_col] == changed["__id"]) & (F.unhex(F.md5(docs[text_col].cast("binary"))) == changed["__hash"])
+    changed = cut.select("doc_id", "text_hash", "kept").mapInArrow(lean(repair), f"{theirs} long, {hashed} binary, {rewritten} string").dropDuplicates([theirs, hashed])
+    on = (docs[id_col] == changed[theirs]) & (F.unhex(F.md5(docs[text_col].cast("binary"))) == changed[hashed])
     joined = docs.join(changed, on, "left")
-    text = F.coalesce(F.col("__text"), docs[text_col])
+    text = F.coalesce(changed[rewritten], docs[text_col])
     columns = [text.alias(c) if c == text_col else F.char_length(text).cast(docs.schema[c].dataType).alias(c) if c == chars_col else docs[c] for c in docs.columns]
     return joined.select(*columns)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, filesystem, partitions, range_of, shared_dir, splitters
+from .common import documents, filesystem, kept, lean, partitions, range_of, shared_dir, splitters
 
 MAGIC = b"GLTOKEN1"
 FOOTER = struct.Struct("<8sQQQIII")  # magic, ids, start of the index, its bytes, documents, buckets, bytes of an id
@@ -72,14 +72,9 @@ class Encoder:
         return [b"".join([*map(known.__getitem__, each), end]) for each in runs]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process, which outlives its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def key_hash(doc_id: int | None, copy: int = 0) -> int:
@@ -227,7 +222,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 part = batch.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.encode(part.column(1).to_pylist(), end_id), pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, ids binary")
 
 
 def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> dict:
@@ -263,7 +258,7 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
 
     ids = encode(docs, path, id_col, text_col, end_id).withColumn("shard", range_of(F.col("doc_id"), cuts).cast("int"))
     dealt = ids.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    done = dealt.mapInArrow(run, "shard long, low long, high long, documents long, ids long").collect()  # a row per shard
+    done = dealt.mapInArrow(lean(run), "shard long, low long, high long, documents long, ids long").collect()  # a row per shard
     shards, start = [], 0
     for r in sorted(done):
         shards.append(r.asDict() | {"file": f"shard-{r['shard']:06d}.tok", "start": start})
@@ -297,7 +292,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                             out = [[] for _ in range(5)]
                     yield _batch(out, with_ids)
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(lean(run), schema)
 
 
 def _batch(out: list[list], with_ids: bool) -> pa.RecordBatch:

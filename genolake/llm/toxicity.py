@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out
+from .common import documents, held_out, lean
 
 #: Labelled documents of each class, at most, from which the model is fitted (chosen by a hash of their id).
 MAX_DOCS = 2500
@@ -31,6 +31,8 @@ THRESHOLD = 0.3
 SURPRISE = 13.0
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+#: Words whose scores a task remembers; beyond that it forgets all and starts anew.
+REMEMBERED = 100_000
 
 
 def word_features(word: str) -> list[str]:
@@ -112,7 +114,7 @@ class Model:
         """For each text the probability of the toxic tag of each of its words."""
         known = self.known
         words = [WORD.findall((t or "").lower()) for t in texts]
-        if len(known) > 300_000:
+        if len(known) > REMEMBERED:
             known.clear()
         for w in {w for each in words for w in each if w not in known}:
             known[w] = self._score(w)
@@ -246,13 +248,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if not ids:
         return []
     picked = docs.sparkSession.createDataFrame(ids, "id long, y int")  # at most 2 * MAX_DOCS rows, so it may be broadcast
-    mine = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), F.col("__id") == F.col("id"))
-    rows = mine.select("__id", "__text", "y").toPandas().drop_duplicates("__id").sort_values("__id")
-    return list(zip(rows["__text"].tolist(), rows["y"].tolist()))
+    mine = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
+    rows = mine.groupBy("id", "y").agg(F.min("text").alias("text")).toPandas().sort_values("id")
+    return list(zip(rows["text"].tolist(), rows["y"].tolist()))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, score (0 to 1), n_toxic_words, spans (starts and ends in code points). Null and empty texts have no words."""
+    """Per row: doc_id, score (0 to 1), n_toxic_words, spans (starts and ends in code points).
+
+    Null and empty texts have no words and the score of none. Repeated rows and rows with a null id are scored like any
+    other; a very long text is scored whole, in blocks of words that are chained; other columns are ignored, so their
+    names may be any. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,11 +273,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "n_toxic_words", "spans"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, score double, n_toxic_words long, spans array<struct<start:int,end:int>>")
+    return kept.mapInArrow(lean(run), "doc_id long, score double, n_toxic_words long, spans array<struct<start:int,end:int>>")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows with a score below the threshold, all columns as they were."""
+    """The rows with a score below the threshold, all columns as they were; cases as in score()."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +286,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
                 part = batch.slice(i, 64)
                 yield part.filter(pa.array(model.document_scores(model.marginals(part.column(at).to_pylist())) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

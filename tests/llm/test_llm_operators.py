@@ -390,10 +390,12 @@ def test_simhash_links(spark, monkeypatch, pairwise):
 # 9
 
 
-@pytest.mark.parametrize("leaders", [16, 1])
-def test_near_copies_by_shingles(spark, empty, monkeypatch, leaders):
+@pytest.mark.parametrize("bound", [1_000_000, 1])
+def test_near_copies_by_shingles(spark, empty, monkeypatch, bound):
     """Recall and precision at similarity 0.8 against brute force; also a line that all have, and many copies of one text."""
-    monkeypatch.setattr(shingle_dedup, "LEADERS", leaders)
+    monkeypatch.setattr(shingle_dedup, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(shingle_dedup, "REMEMBERED", bound)
+    monkeypatch.setattr(shingle_dedup, "LEADERS", min(bound, 16))
     rng = random.Random(3)
     word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
     rows = [(900, ""), (901, None), (902, "one two"), (903, "One  two"), (904, "a b c d e f")]

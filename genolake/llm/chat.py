@@ -50,53 +50,100 @@ def parse_turns(formatted: Column) -> Column:
     return F.aggregate(pieces, zero, step, lambda acc: acc["turns"])
 
 
-def reply_paths(nodes: DataFrame) -> DataFrame:
-    """All root-to-leaf paths of reply trees.
+def _match(left: Column, right: Column) -> Column:
+    return left.eqNullSafe(right)
 
-    nodes: tree, node, parent (null for a root), and any score. Returns tree, leaf, path (nodes, root first),
-    n_nodes, and path_score (sum of the scores, null counts 0) with rank in the tree (ties: by the leaf).
-    The self-joins double the length of the known part of each path in each round, so a chain of n nodes takes
-    log2(n) rounds; only leaves carry paths. A node whose parent is missing is a root; nodes on a cycle hang on no
-    root and are in no path; repeated rows of a node count once (the least row).
+
+def _ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Leaves (tree, leaf, path_score, n_nodes), and for each k a table (tree, node, above): the node 2^k steps up.
+
+    Each round joins the last table with itself, so a chain of n nodes takes log2(n) rounds of at most a row a node;
+    scores and counts are summed up on the way. What lies below a cycle never ends and is told by a way as long as its tree.
     """
     own = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     own = own.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("x")).select("tree", "node", "x.*")
+    own = checkpoint(own)
     known = own.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    up = own.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left").select("tree", "node", F.col("n").alias("above"), F.array(F.struct("node", "score")).alias("part"))
+    here = _match(F.col("tree"), F.col("t"))
+    up = own.join(known, here & (F.col("parent") == F.col("n")), "left").select("tree", "node", F.col("n").alias("above"), "score", F.lit(1).cast("long").alias("steps"))
     up = checkpoint(up)
-    parents = up.where("above IS NOT NULL").select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
-    leaves = up.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
-    # up: from each node some way up to "above"; leaves: the same, for leaves only. Each round joins the two ways.
-    while leaves.where("above IS NOT NULL").limit(1).count():
-        step = up.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("next"), F.col("part").alias("more"))
-        on = F.col("tree").eqNullSafe(F.col("t")) & (F.col("above") == F.col("n"))
-        joined = ["tree", "node", F.col("next").alias("above"), F.concat("part", F.coalesce("more", F.array().cast("array<struct<node:bigint,score:double>>"))).alias("part")]
+    largest = own.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    tables = []
+    while up.where("above IS NOT NULL").limit(1).count() and 1 << len(tables) < largest:
+        tables.append(up.where("above IS NOT NULL").select("tree", "node", "above"))
+        step = up.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("next"), F.col("score").alias("more"), F.col("steps").alias("further"))
+        met = up.join(step, here & (F.col("above") == F.col("n")), "left")
+        up = checkpoint(met.select("tree", "node", F.col("next").alias("above"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps")))
+    parents = (tables[0] if tables else up.where("above IS NOT NULL")).select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
+    leaves = up.where("above IS NULL").join(parents, here & (F.col("node") == F.col("n")), "left_anti")
+    return leaves.select("tree", F.col("node").alias("leaf"), F.col("score").alias("path_score"), F.col("steps").alias("n_nodes")), tables
+
+
+def _ranked(leaves: DataFrame) -> DataFrame:
+    """Add rank: the place of a leaf in its tree by descending score, ties by the leaf.
+
+    Leaves are dealt out by ranges of this order and counted from the ranges before, so a large tree is not one task.
+    """
+    order = [F.desc("path_score"), F.col("leaf")]
+    dealt = checkpoint(leaves.repartitionByRange("tree", *order).withColumn("part", F.spark_partition_id()))
+    before = dealt.groupBy("tree", "part").count()
+    before = before.withColumn("before", F.sum("count").over(W.partitionBy("tree").orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
+    before = before.select(F.col("tree").alias("t"), F.col("part").alias("p"), "before")
+    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("part", "tree").orderBy(*order)))
+    met = ranked.join(before, _match(F.col("tree"), F.col("t")) & (F.col("part") == F.col("p")))
+    return met.select("tree", "leaf", "path_score", "n_nodes", (F.col("rank") + F.coalesce("before", F.lit(0))).alias("rank"))
+
+
+def _steps(leaves: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """A row (tree, leaf, node, up) for each node on each leaf's path; up is its distance from the leaf.
+
+    Distances are put together from powers of two, the largest first, so each comes up once and rows are what the paths hold.
+    """
+    steps = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("up"))
+    for k in range(len(tables) - 1, -1, -1):
+        table = tables[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "above")
+        further = steps.join(table, _match(F.col("tree"), F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        steps = checkpoint(steps.unionByName(further))
+    return steps
 
-        def longer(ways: DataFrame) -> DataFrame:
-            met = ways.where("above IS NOT NULL").join(step, on).select(*joined)  # what hangs on a cycle finds no way up and goes
-            onward = met.where(~F.coalesce(F.exists("part", lambda x: x["node"] == F.col("above")), F.lit(False)))
-            return checkpoint(ways.where("above IS NULL").unionByName(onward))
 
-        leaves, up = longer(leaves), longer(up)
-    whole = leaves.where("above IS NULL").select("tree", F.col("node").alias("leaf"), F.reverse("part").alias("part"))
-    scored = whole.select("tree", "leaf", F.transform("part", lambda x: x["node"]).alias("path"), F.size("part").alias("n_nodes"), F.aggregate("part", F.lit(0.0), lambda a, x: a + x["score"]).alias("path_score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
+def reply_paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
+    """All root-to-leaf paths of reply trees, or the best few of each tree.
+
+    nodes: tree, node, parent (null for a root), and any score. Returns tree, leaf, path (nodes, root first),
+    n_nodes, and path_score (sum of the scores, null counts 0) with rank in the tree (ties: by the leaf).
+    A row with a null node is no node and is left out; a node whose parent is missing is a root; nodes on a cycle, or
+    below one, hang on no root and are in no path; of repeated rows of a node the least counts; a null tree is a tree of
+    its own. Other columns are ignored. A chain of any length takes log2 rounds; only a path itself must fit one row.
+    An empty table gives no paths.
+    """
+    leaves, tables = _ancestors(nodes)
+    leaves = _ranked(leaves)
+    if best is not None:
+        leaves = leaves.where(F.col("rank") <= best)
+    leaves = checkpoint(leaves)
+    paths = _steps(leaves, tables).groupBy(F.col("tree").alias("t"), F.col("leaf").alias("l")).agg(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("up", "node"))), lambda x: x["node"])).alias("path"))
+    met = leaves.join(paths, _match(F.col("tree"), F.col("t")) & (F.col("leaf") == F.col("l")))
+    return met.select("tree", "leaf", "path", F.col("n_nodes").cast("int").alias("n_nodes"), "path_score", "rank")
 
 
 def format_trees(nodes: DataFrame, best: int | None = None) -> DataFrame:
     """Each path (or the best few of a tree) as one conversation: tree, leaf, rank, path_score, formatted.
 
-    nodes also holds role and text; null texts and roles are empty. A tree may not exceed what one row can hold
-    on any single path; paths of one tree are rows of their own.
+    nodes also holds role and text; null texts and roles are empty. Cases as in reply_paths(). A path's texts must fit
+    one row; paths of one tree are rows of their own.
     """
-    paths = reply_paths(nodes)
+    leaves, tables = _ancestors(nodes)
+    leaves = _ranked(leaves)
     if best is not None:
-        paths = paths.where(F.col("rank") <= best)
-    steps = paths.select("tree", "leaf", "rank", "path_score", F.posexplode("path").alias("at", "n"))
-    words = nodes.groupBy("tree", "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("x")).select(F.col("tree").alias("t"), F.col("node").alias("m"), "x.role", "x.text")
-    told = steps.join(words, F.col("tree").eqNullSafe(F.col("t")) & (F.col("n") == F.col("m")))
-    gathered = told.groupBy("tree", "leaf", "rank", "path_score").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
-    return gathered.withColumn("formatted", format_turns(F.col("turns"))).drop("turns")
+        leaves = leaves.where(F.col("rank") <= best)
+    leaves = checkpoint(leaves)
+    words = nodes.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("x"))
+    words = words.select(F.col("tree").alias("t"), F.col("node").alias("m"), "x.role", "x.text")
+    told = _steps(leaves, tables).join(words, _match(F.col("tree"), F.col("t")) & (F.col("node") == F.col("m")))
+    turns = told.groupBy(F.col("tree").alias("a"), F.col("leaf").alias("b")).agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
+    met = leaves.join(turns, _match(F.col("tree"), F.col("a")) & (F.col("leaf") == F.col("b")))
+    return met.select("tree", "leaf", "rank", "path_score", format_turns(F.col("turns")).alias("formatted"))
 
 
 def loss_mask(formatted: Column) -> Column:

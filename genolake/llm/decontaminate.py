@@ -13,11 +13,12 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import checkpoint, documents, unused
 
 WINDOW = 10
-#: Rows of the benchmark's window table up to which it is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows of the benchmark's window table, and bytes of its windows and item ids, up to which it is broadcast; a larger one
+#: is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 128 << 20
 #: ASCII signs that words can't hold.
 SEPARATORS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
 
@@ -45,22 +46,24 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     return each.groupBy("n", F.xxhash64("run").alias("hash"), F.array_join("run", " ").alias("window")).agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", row: str | None = None) -> DataFrame:
     """One row for each document row: row, doc_id, n_words, hits (starts and lengths of the windows found), items.
 
-    Each row of docs is a document of its own, even if rows repeat; null ids stay; no words: no hits. An empty
-    benchmark gives no hits.
+    Each row of docs is a document of its own, even if rows repeat; null ids stay; null and empty texts have no words and
+    no hits; very long texts are scanned whole; other columns are ignored. An empty benchmark gives no hits, an empty
+    table no rows. row: a column that numbers the rows of docs and stays the same however often it is read; without it
+    the rows are numbered here.
     """
     table = benchmark_windows(items, item_id, item_text, window)
-    sizes = table.groupBy("n").agg(F.count("*").alias("rows")).collect()  # at most as many rows as a window has words
-    rows = sum(r["rows"] for r in sizes) * window
+    size = F.octet_length("window") + F.aggregate("item_ids", F.lit(0), lambda n, x: n + F.octet_length(x))
+    sizes = table.groupBy("n").agg(F.count("*").alias("rows"), F.sum(size).alias("bytes")).collect()  # at most as many rows as a window has words
+    small = sum(r["rows"] for r in sizes) * window <= BROADCAST_ROWS and sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
+    bounded = F.broadcast if small else lambda df: df
     lengths = sorted(r["n"] for r in sizes)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    base = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
     base = base.withColumn("n_words", F.size("w").cast("long"))
+    if not small:
+        base = checkpoint(base)  # rows are met again by their number
     none = F.array(F.struct(F.lit(0).alias("len"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("anchor")))
 
     def anchors(n: int) -> Column:
@@ -76,14 +79,19 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
         runs = parts if runs is None else runs.unionByName(parts)
     if runs is None:
         return base.select("row", "doc_id", "n_words", F.array().cast("array<struct<at:int,len:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    found = scanned.join(_bounded(runs.distinct().withColumn("known", F.lit(True)), rows), ["len", "anchor"], "left").where("known OR len = 0")
+    known = bounded(runs.distinct().withColumn("known", F.lit(True)))
+    if small:
+        found = scanned.join(known, ["len", "anchor"], "left").where("known OR len = 0")
+    else:  # anchors travel without their document's words, which only those found meet again
+        anchored = scanned.where("len > 0").select("row", "len", "at", "anchor").join(known, ["len", "anchor"]).select("row", "len", "at")
+        found = base.join(anchored.unionByName(base.select("row", F.lit(0).alias("len"), F.lit(0).alias("at"))), "row")
     length = F.col("len")
     first = F.greatest(F.lit(0), F.col("at") - (length - F.greatest(F.lit(1), F.floor(length / 2).cast("int"))))
     last = F.least(F.col("at"), F.size("w") - length)
     tries = F.when(length == 0, F.array(F.lit(-1))).when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
     tried = found.select("row", "doc_id", "n_words", "len", F.inline(F.transform(tries, lambda s: F.struct(s.alias("start"), F.when(s >= 0, F.slice("w", s + 1, length)).alias("run")))))
     tried = tried.select("row", "doc_id", "n_words", F.col("len").alias("n"), "start", F.xxhash64("run").alias("hash"), F.array_join("run", " ").alias("window"))
-    hit = tried.join(_bounded(table, rows), ["n", "hash", "window"], "left").where("start < 0 OR item_ids IS NOT NULL")
+    hit = tried.join(bounded(table), ["n", "hash", "window"], "left").where("start < 0 OR item_ids IS NOT NULL")
     return hit.groupBy("row", "doc_id", "n_words").agg(
         F.collect_set(F.when(F.col("start") >= 0, F.struct(F.col("start").alias("at"), F.col("n").alias("len")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items"),
@@ -107,16 +115,24 @@ def contamination(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
-    """The rows without any window of the benchmark, all columns as they were; rows with a null id are judged like others."""
-    marked = docs.withColumn("__clean", F.lit(True))
-    dirty = contamination(docs, items, id_col=id_col, **columns).where("contaminated").select(F.col("doc_id").alias("__dirty")).distinct()
-    return marked.join(dirty, marked[id_col].eqNullSafe(dirty["__dirty"]), "left_anti").drop("__clean")
+    """The rows without any window of the benchmark, all columns as they were, whatever their names.
+
+    Rows of one id go together, rows with a null id likewise; a null or empty text has no window. An empty benchmark
+    leaves all rows.
+    """
+    name = unused("dirty_id", docs)
+    dirty = contamination(docs, items, id_col=id_col, **columns).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dirty, docs[id_col].eqNullSafe(dirty[name]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
-    """Per document: doc_id and text without the words inside occurring windows; what separates words stays."""
-    found = window_hits(docs, items, id_col=id_col, text_col=text_col, **columns)
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """Per document row: doc_id and text without the words inside occurring windows; what separates words stays.
+
+    Null ids stay and null texts become empty; repeated rows are rewritten each. Rows are numbered once and written down,
+    so the words found and the text that they are cut from belong to one row.
+    """
+    texts = checkpoint(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
+    found = window_hits(texts, items, row="row", **columns).select("row", "hits")
     both = texts.join(found, "row")
     raw = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     gaps = F.split("text", raw)  # only here, for the few rows that are rewritten, are the words cut from the raw text

@@ -3,12 +3,15 @@
 A shard file holds, in this order: the ids of its documents one after the other (16 or 32 bits, little-endian),
 the index, and a footer. The index is a minimal perfect hash by displacement: a key's hash names a bucket, the
 bucket's displacement names a slot, and the slot holds a 32-bit fingerprint of the key and the place of its ids,
-so a document is found in constant time and an absent key is told by the fingerprint. A directory lists the keys
-in the order of the payload. Shards are ranges of ascending doc_id, and the manifest gives each shard's range.
+so a document is found in constant time and an absent key is told by the fingerprint: the shard by the manifest, then
+the footer, one displacement and one slot are read by their offsets. A directory lists the keys in the order of the
+payload. Shards are ranges of ascending doc_id, and the manifest gives each shard's range.
 """
 
 from __future__ import annotations
 
+import atexit
+import bisect
 import json
 import os
 import struct
@@ -24,22 +27,41 @@ from pyspark.sql import functions as F
 
 from .common import documents, filesystem, kept, lean, partitions, range_of, shared_dir, splitters
 
-MAGIC = b"GLTOKEN1"
-FOOTER = struct.Struct("<8sQQQIII")  # magic, ids, start of the index, its bytes, documents, buckets, bytes of an id
+MAGIC = b"GLTOKEN2"
+FOOTER = struct.Struct("<8sQQQIIII")  # magic, ids, start of the index, its bytes, documents, buckets, bytes of an id, salt
+#: What a slot holds: the key's fingerprint, the place of its first id and their number.
+SLOT = np.dtype([("print", "<u4"), ("start", "<u8"), ("count", "<u8")])
 END_ID = 2
 #: Bytes of text for which a shard is meant.
-SHARD = 32 << 20
+SHARD = 64 << 20
 #: Different chunks of text whose ids a worker remembers; beyond that it forgets all and starts anew.
 REMEMBERED = 1_200_000
 PER_BUCKET = 4
 DIRECT = 1 << 31
 
 
-class Encoder:
-    """Encodes whole texts; the ids of each run without ASCII white space are remembered.
+def splits_at_space(tokenizer: dict) -> bool:
+    """True if a tokenizer of this description gives a text the ids of its runs without white space, one after the other.
 
-    The tokenizer lower-cases, drops white space and joins nothing across it, so a text's ids are those of its runs.
+    That holds if it only composes, folds spaces and lower-cases, and then cuts out matches of a pattern that match no
+    space; of the patterns, the one below is known to do so.
     """
+    normalizer, cutter = tokenizer.get("normalizer") or {}, tokenizer.get("pre_tokenizer") or {}
+    steps = normalizer.get("normalizers", [normalizer] if normalizer else [])
+    plain = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in steps)
+    cuts = cutter.get("pretokenizers", [cutter] if cutter else [])
+    spaceless = [x for x in cuts if x["type"] == "Split" and x["pattern"].get("Regex") == SPACELESS and x["behavior"] == "Removed" and x["invert"]]
+    others = [x for x in cuts if x not in spaceless and not (x["type"] == "ByteLevel" and not x["add_prefix_space"])]
+    no_space = all(not any(c.isspace() for c in x["content"]) for x in tokenizer.get("added_tokens", []))
+    return bool(plain and spaceless and not others and no_space and cuts[0] in spaceless)
+
+
+#: Fixed value: the pattern by which the public tokenizer cuts words out of a text.
+SPACELESS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Encoder:
+    """Encodes whole texts. Where the tokenizer joins nothing across white space, the ids of each run without are remembered."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,15 +71,20 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.known: dict[bytes, bytes] = {}
+        self.by_runs = splits_at_space(json.loads(self.tokenizer.to_str()))
+        kinds = [x["type"] for x in (json.loads(self.tokenizer.to_str()).get("normalizer") or {}).get("normalizers", [])]
+        self.lowers = "Lowercase" in kinds
 
-    @staticmethod
-    def _runs(text: str) -> list[bytes]:
+    def _runs(self, text: str) -> list[bytes]:
         raw = text.encode()
-        if text.isascii() and "<|" not in text:  # the tokenizer would lower-case it; other texts it first composes
+        if self.lowers and text.isascii() and "<|" not in text:  # the tokenizer would lower-case it; other texts it first composes
             raw = raw.lower()
         return raw.split()
 
     def encode(self, texts: list[str | None], end_id: int | None = END_ID) -> list[bytes]:
+        end = b"" if end_id is None else int(end_id).to_bytes(self.width, "little")
+        if not self.by_runs:
+            return [np.array(got.ids, self.kind).tobytes() + end for got in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         runs = [self._runs(t or "") for t in texts]
         known = self.known
         new = list({r for each in runs for r in each if r not in known})
@@ -68,7 +95,6 @@ class Encoder:
             part = new[i : i + 4096]
             for run, got in zip(part, self.tokenizer.encode_batch([r.decode() for r in part], add_special_tokens=False)):
                 known[run] = np.array(got.ids, self.kind).tobytes()
-        end = b"" if end_id is None else int(end_id).to_bytes(self.width, "little")
         return [b"".join([*map(known.__getitem__, each), end]) for each in runs]
 
 
@@ -77,11 +103,22 @@ def encoder(path: str) -> Encoder:
     return kept(("encoder", path), lambda: Encoder(path))
 
 
-def key_hash(doc_id: int | None, copy: int = 0) -> int:
+def key_hash(doc_id: int | None, copy: int = 0, salt: int = 0) -> int:
     """Hash of a document's key: its id and, for repeated ids, its number among them."""
-    return xxhash.xxh64_intdigest(struct.pack("<?qI", doc_id is None, doc_id or 0, copy), 9)
+    return xxhash.xxh64_intdigest(struct.pack("<?qI", doc_id is None, doc_id or 0, copy), 9 + salt)
+
+
+def key_hashes(keys: list[int | None], salt: int = 0) -> np.ndarray:
+    """Of each key of a list, where a key that is repeated is told by its number."""
+    copies: dict[int | None, int] = {}
+    out = np.empty(len(keys), np.uint64)
+    for i, k in enumerate(keys):
+        copies[k] = copies.get(k, -1) + 1
+        out[i] = key_hash(k, copies[k], salt)
+    return out
 
 
+@np.errstate(over="ignore")
 def _slots(hashes: np.ndarray, seed: np.ndarray | int, n: int) -> np.ndarray:
     x = hashes ^ (np.uint64(0x9E3779B97F4A7C15) * (np.asarray(seed, np.uint64) + np.uint64(1)))
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
@@ -94,8 +131,10 @@ def _buckets(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def build_index(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Displacements of the buckets and the slot of each key; distinct hashes fill the slots 0 to n - 1."""
+    """Displacements of the buckets and the slot of each key; the hashes must be distinct and fill the slots 0 to n - 1."""
     n = len(hashes)
+    if len(np.unique(hashes)) < n:
+        raise ValueError("keys with equal hashes")
     n_buckets = max(1, -(-n // PER_BUCKET))
     bucket = _buckets(hashes, n_buckets)
     order = np.argsort(bucket, kind="stable")
@@ -119,8 +158,6 @@ def build_index(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 i = int(np.argmax(good))
                 break
             first += len(tries)
-            if first >= DIRECT:
-                raise ValueError("keys with equal hashes")
         seeds[b], slot[mine] = first + i, spots[i]
         taken[spots[i]] = True
     single = np.flatnonzero(sizes == 1)
@@ -141,71 +178,64 @@ class ShardWriter:
         self.ids += self.counts[-1]
 
     def close(self) -> None:
-        copies: dict[int | None, int] = {}
-        hashes = np.empty(len(self.keys), np.uint64)
-        for i, k in enumerate(self.keys):
-            copies[k] = copies.get(k, -1) + 1
-            hashes[i] = key_hash(k, copies[k])
+        salt = 0
+        while len(np.unique(hashes := key_hashes(self.keys, salt))) < len(self.keys):
+            salt += 1  # two of the keys have one hash
         seeds, slot = build_index(hashes)
         counts = np.array(self.counts, "<u8")
-        at = np.empty(len(slot), np.int64)
-        at[slot] = np.arange(len(slot))
-        starts = (np.cumsum(counts) - counts).astype("<u8")
-        prints = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
+        slots = np.empty(len(slot), SLOT)
+        slots["print"][slot], slots["start"][slot], slots["count"][slot] = hashes & np.uint64(0xFFFFFFFF), np.cumsum(counts) - counts, counts
         nulls = np.array([k is None for k in self.keys], "u1")
         keys = np.array([k or 0 for k in self.keys], "<i8")
-        index = b"".join(x.tobytes() for x in (seeds.astype("<u4"), prints[at], starts[at], counts[at], keys, nulls))
+        index = b"".join(x.tobytes() for x in (seeds.astype("<u4"), slots, keys, nulls))
         self.out.write(index)
-        self.out.write(FOOTER.pack(MAGIC, self.ids, self.ids * self.width, len(index), len(keys), len(seeds), self.width))
+        self.out.write(FOOTER.pack(MAGIC, self.ids, self.ids * self.width, len(index), len(keys), len(seeds), self.width, salt))
         self.out.close()
 
 
 class ShardReader:
-    """Keyed access to a shard file; only the index and what is asked for is read."""
+    """Keyed access to a shard file; only the footer, one displacement, one slot and the ids asked for are read."""
 
     def __init__(self, source) -> None:
         self.source = source
         size = source.size()
         source.seek(size - FOOTER.size)
-        magic, self.ids, start, length, n, n_buckets, self.width = FOOTER.unpack(source.read(FOOTER.size))
+        magic, self.ids, self.start, self.length, self.n, self.n_buckets, self.width, self.salt = FOOTER.unpack(source.read(FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        source.seek(start)
-        data, at = source.read(length), 0
-        self.parts = []
-        for kind, count in (("<u4", n_buckets), ("<u4", n), ("<u8", n), ("<u8", n), ("<i8", n), ("u1", n)):
-            self.parts.append(np.frombuffer(data, kind, count, at))
-            at += self.parts[-1].nbytes
-        self.n = n
+
+    def _at(self, offset: int, size: int) -> bytes:
+        self.source.seek(self.start + offset)
+        return self.source.read(size)
 
     def place(self, doc_id: int | None, copy: int = 0) -> tuple[int, int] | None:
         """First id and number of ids of a document; None if the shard doesn't hold it."""
         if not self.n:
             return None
-        seeds, prints, starts, counts = self.parts[:4]
-        h = np.array([key_hash(doc_id, copy)], np.uint64)
-        seed = int(seeds[_buckets(h, len(seeds))[0]])
-        slot = seed - DIRECT if seed >= DIRECT else int(_slots(h, seed, self.n)[0])
-        if int(prints[slot]) != int(h[0]) & 0xFFFFFFFF:
+        h = np.array([key_hash(doc_id, copy, self.salt)], np.uint64)
+        seed = int.from_bytes(self._at(4 * int(_buckets(h, self.n_buckets)[0]), 4), "little")
+        at = seed - DIRECT if seed >= DIRECT else int(_slots(h, seed, self.n)[0])
+        slot = np.frombuffer(self._at(4 * self.n_buckets + SLOT.itemsize * at, SLOT.itemsize), SLOT)[0]
+        if int(slot["print"]) != int(h[0]) & 0xFFFFFFFF:
             return None
-        return int(starts[slot]), int(counts[slot])
+        return int(slot["start"]), int(slot["count"])
 
     def places(self) -> Iterator[tuple[int | None, int, int]]:
         """Key, first id and number of ids of all documents, in the order of the payload, each found by its key."""
-        seeds, prints, starts, counts, keys, nulls = self.parts
-        ids = [None if null else int(k) for k, null in zip(keys, nulls)]
-        copies: dict[int | None, int] = {}
-        hashes = np.empty(self.n, np.uint64)
-        for i, k in enumerate(ids):
-            copies[k] = copies.get(k, -1) + 1
-            hashes[i] = key_hash(k, copies[k])
         if not self.n:
             return
+        data, at, parts = self._at(0, self.length), 0, []
+        for kind, count in ((np.dtype("<u4"), self.n_buckets), (SLOT, self.n), (np.dtype("<i8"), self.n), (np.dtype("u1"), self.n)):
+            parts.append(np.frombuffer(data, kind, count, at))
+            at += parts[-1].nbytes
+        seeds, slots, keys, nulls = parts
+        ids = [None if null else int(k) for k, null in zip(keys, nulls)]
+        hashes = key_hashes(ids, self.salt)
         seed = seeds[_buckets(hashes, len(seeds))].astype(np.int64)
         slot = np.where(seed >= DIRECT, seed - DIRECT, _slots(hashes, seed & (DIRECT - 1), self.n))
-        if (prints[slot] != (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)).any():
+        if (slots["print"][slot] != (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)).any():
             raise ValueError("the index doesn't match the directory")
-        yield from zip(ids, starts[slot].tolist(), counts[slot].tolist())
+        yield from zip(ids, slots["start"][slot].tolist(), slots["count"][slot].tolist())
 
     def read(self, start: int, count: int) -> np.ndarray:
         self.source.seek(start * self.width)
@@ -270,7 +300,10 @@ def write(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_
 
 
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
-    """One row per document of the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
+    """One row per document of the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids.
+
+    Null and repeated ids come back as they were written, a row each; an empty folder's manifest gives no rows.
+    """
     fs, root = filesystem(folder)
     manifest = json.loads(fs.open_input_file(f"{root}/manifest.json").read())
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
@@ -300,21 +333,49 @@ def _batch(out: list[list], with_ids: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
 
 
-def lookup(folder: str, doc_id: int | None, copy: int = 0) -> np.ndarray | None:
-    """The ids of one document, by the manifest's ranges and the shard's index; None if there is none."""
+def remove(folder: str) -> None:
+    """Delete a folder of shard files, if it is there."""
     fs, root = filesystem(folder)
-    for s in json.loads(fs.open_input_file(f"{root}/manifest.json").read())["shards"]:
-        if s["low"] is None or doc_id is None or s["low"] <= doc_id <= (s["high"] if s["high"] is not None else doc_id):
-            with fs.open_input_file(f"{root}/{s['file']}") as source:
-                reader = ShardReader(source)
-                if found := reader.place(doc_id, copy):
-                    return reader.read(*found).copy()
-    return None
+    try:
+        fs.delete_dir(root)
+    except FileNotFoundError:
+        pass
+
+
+class TokenFiles:
+    """Keyed access to a folder of shard files; the manifest is read once, and each key costs a fixed number of small reads."""
+
+    def __init__(self, folder: str) -> None:
+        self.fs, self.root = filesystem(folder)
+        shards = json.loads(self.fs.open_input_file(f"{self.root}/manifest.json").read())["shards"]
+        self.shards = [s for s in shards if s["documents"]]
+        least = -(1 << 63) - 1  # null ids come before all others
+        self.lows = [least if s["low"] is None else s["low"] for s in self.shards]
+
+    def lookup(self, doc_id: int | None, copy: int = 0) -> np.ndarray | None:
+        """The ids of one document, None if there is none; a null id is a key like any other.
+
+        Rows of one id are told apart by copy, their number from 0 in the order of their ids.
+        """
+        at = bisect.bisect_right(self.lows, -(1 << 63) - 1 if doc_id is None else doc_id) - 1
+        if at < 0:
+            return None
+        with self.fs.open_input_file(f"{self.root}/{self.shards[at]['file']}") as source:
+            reader = ShardReader(source)
+            found = reader.place(doc_id, copy)
+            return reader.read(*found).copy() if found else None
+
+
+def lookup(folder: str, doc_id: int | None, copy: int = 0) -> np.ndarray | None:
+    """The ids of one document of a folder; for more than one, open TokenFiles once."""
+    return TokenFiles(folder).lookup(doc_id, copy)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    """Writes the files into a folder of their own beside the checkpoints, which goes when the driver ends."""
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    atexit.register(remove, folder)
     write(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"))
     return read(spark, folder)

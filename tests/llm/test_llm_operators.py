@@ -437,6 +437,18 @@ def test_perfect_hash():
         assert sorted(slots.tolist()) == list(range(n))
 
 
+def test_other_tokenizers_encode_whole_texts(monkeypatch):
+    """A tokenizer that keeps spaces is not asked run by run."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = token_files.Encoder(path)
+    assert not own.by_runs and token_files.Encoder(public_tokenizers.path("word_bpe_49k.json")).by_runs
+    texts = ["Two  words", " a\n b", None, "é 漢"]
+    want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, own.kind).tolist() for x in own.encode(texts, None)] == want
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
@@ -451,6 +463,19 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert all(r["start"] == sum(x["n_tokens"] for x in got[:k]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for k, r in enumerate(got))
     assert token_files.lookup(folder, 6).tolist() == next(x for i, x in want if i == 6) and token_files.lookup(folder, 777) is None
     assert token_files.lookup(folder, 5, 1) is not None and token_files.lookup(folder, 5, 2) is None
+    files = token_files.TokenFiles(folder)
+    rows = {}
+    for r in got:
+        rows.setdefault(r["doc_id"], []).append(r["ids"])
+    assert all(files.lookup(i, k).tolist() == ids for i, all_ in rows.items() for k, ids in enumerate(all_))
+    assert all(files.lookup(i) is None for i in (-10, 11, 10**12, None))
+    nulls = spark.createDataFrame([(None, "x"), (None, "y z"), (4, "q"), (-(1 << 63), "least")], "doc_id long, text string")
+    token_files.write(nulls, f"{folder}-nulls", path)
+    again = token_files.TokenFiles(f"{folder}-nulls")
+    assert {tuple(again.lookup(None, k).tolist()) for k in (0, 1)} == {(*tokenizer.encode(t, add_special_tokens=False).ids, 2) for t in ("x", "y z")}
+    assert again.lookup(-(1 << 63)).tolist() == [*tokenizer.encode("least", add_special_tokens=False).ids, 2] and again.lookup(None, 2) is None
+    token_files.remove(f"{folder}-nulls")
+    assert not (tmp_path / "tokens-nulls").exists()
     token_files.write(empty, f"{folder}-empty", path)
     assert token_files.read(spark, f"{folder}-empty").count() == 0
 
@@ -479,7 +504,9 @@ def _contamination(texts, items):
     return sorted(out)
 
 
-def test_decontamination(spark, docs, empty):
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_decontamination(spark, docs, empty, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
     items = [(1, PASSAGE), (2, "ALPHA beta"), (3, None), (4, ""), (5, "zz zz zz"), (10, words(40, 1)), (11, "nowhere to be seen at all in any of these texts")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(docs, bench).collect()

@@ -180,6 +180,48 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def _cosines(files, templates, window=4):
+    """Brute force: every run of lines and every whole file against every template, by dictionaries."""
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    n = len(files)
+    seen = {w: sum(w in set(cut(t)) for t in files) for _, x in licenses.texts_of(templates) for w in cut(x)}
+    weight = lambda w: math.log((n + 1) / (seen.get(w, 0) + 1)) + 1
+
+    def vector(words_):
+        return {w: words_.count(w) * weight(w) for w in set(words_)}
+
+    def cosine(x, y):
+        norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return sum(v * y.get(w, 0) for w, v in x.items()) / norm if norm else 0.0
+
+    out = []
+    for t in files:
+        lines = [cut(x) for x in (t or "").split("\n")]
+        runs = [sum(lines[i : i + k], []) for i in range(len(lines)) for k in range(1, window + 1)] + [sum(lines, [])]
+        out.append(max((cosine(vector(r), vector(cut(x))), name) for r in runs for name, x in licenses.texts_of(templates)))
+    return out
+
+
+def test_licences_against_brute_force(spark):
+    rng = random.Random(11)
+    notices = [x for _, x in licenses.texts_of(licenses.TEMPLATES)]
+    files = [None, "", "\n\n", "the the the", "MIT", words(200, 5)]
+    for k in range(60):
+        notice = rng.choice(notices).split()
+        changed = [w for w in notice if rng.random() > 0.02 * (k % 15)] + words(rng.randrange(1 + k % 7), k).split()
+        for _ in range(rng.randrange(3)):
+            changed.insert(rng.randrange(len(changed) + 1), "\n")
+        files.append("\n".join([words(rng.randrange(1, 12), k + j) for j in range(k % 4)] + [" ".join(changed)] + [words(6, -k)] * (k % 3)))
+    rows = [(f"d{k}/x{k}.c", t) for k, t in enumerate(files)]
+    got = {r["path"]: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string").repartition(3)).collect()}
+    want = _cosines(files, licenses.TEMPLATES)
+    assert 20 < sum(c >= 0.6 for c, _ in want) < len(want)
+    for (path, _), (cosine, name) in zip(rows, want):
+        r = got[path]
+        assert abs(r["cosine"] - (cosine if cosine >= 0.6 else 0)) < 1e-9, path
+        assert (r["own_license"] is None) == (cosine < 0.6)
+
+
 def test_whole_licences_and_wrapped_notices(spark):
     """A full licence of over 400 words counts as a whole, and a notice that is wrapped over lines of a long file as one."""
     full = words(900, 4).replace(" big", "\nbig")

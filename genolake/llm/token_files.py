@@ -36,6 +36,7 @@ END_ID = 2
 SHARD = 64 << 20
 #: Different chunks of text whose ids a worker remembers; beyond that it forgets all and starts anew.
 REMEMBERED = 1_200_000
+MARK = "\x01"
 PER_BUCKET = 4
 DIRECT = 1 << 31
 
@@ -71,9 +72,12 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.known: dict[bytes, bytes] = {}
-        self.by_runs = splits_at_space(json.loads(self.tokenizer.to_str()))
-        kinds = [x["type"] for x in (json.loads(self.tokenizer.to_str()).get("normalizer") or {}).get("normalizers", [])]
-        self.lowers = "Lowercase" in kinds
+        described = json.loads(self.tokenizer.to_str())
+        self.by_runs = splits_at_space(described)
+        self.lowers = any(x["type"] == "Lowercase" for x in (described["normalizer"] or {}).get("normalizers", []))
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        #: The id of a sign that is a word of its own, put between runs that are encoded together.
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def _runs(self, text: str) -> list[bytes]:
         raw = text.encode()
@@ -85,17 +89,33 @@ class Encoder:
         end = b"" if end_id is None else int(end_id).to_bytes(self.width, "little")
         if not self.by_runs:
             return [np.array(got.ids, self.kind).tobytes() + end for got in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        runs = [self._runs(t or "") for t in texts]
         known = self.known
-        new = list({r for each in runs for r in each if r not in known})
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) > REMEMBERED:
             known.clear()
-            new = list({r for each in runs for r in each})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        runs = [self._runs(t or "") for t in texts]
+        found = [list(map(known.get, each)) for each in runs]
+        short = [i for i, x in enumerate(found) if None in x]
+        if short:
+            self._learn(list({r for i in short for r, x in zip(runs[i], found[i]) if x is None}))
+            for i in short:
+                found[i] = list(map(known.__getitem__, runs[i]))
+        return [b"".join([*x, end]) for x in found]
+
+    def _learn(self, runs: list[bytes]) -> None:
+        plain = [r for r in runs if MARK.encode() not in r and b"<|" not in r] if self.mark is not None else []
+        for i in range(0, len(plain), 512):
+            part = plain[i : i + 512]
+            ids = np.array(self.tokenizer.encode(f" {MARK} ".join([r.decode() for r in part] + [""]), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer doesn't keep words apart")
+            raw, width = ids.tobytes(), self.width
+            self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *((ends[:-1] + 1) * width).tolist()], (ends * width).tolist())]))
+        others = [r for r in runs if r not in self.known]
+        for i in range(0, len(others), 4096):
+            part = others[i : i + 4096]
             for run, got in zip(part, self.tokenizer.encode_batch([r.decode() for r in part], add_special_tokens=False)):
-                known[run] = np.array(got.ids, self.kind).tobytes()
-        return [b"".join([*map(known.__getitem__, each), end]) for each in runs]
+                self.known[run] = np.array(got.ids, self.kind).tobytes()
 
 
 def encoder(path: str) -> Encoder:

@@ -31,6 +31,7 @@ TEXTS = [
     (0, "Alpha beta. " + PASSAGE + " tail one.\nnext line"), (1, None), (2, ""), (3, "Alpha beta. " + PASSAGE + " tail one.\nnext line"), (4, "x"),
     (5, "Other start, " + PASSAGE + " ünd anders"), (6, words(900, 1)), (7, words(900, 1).replace("cat", "cot", 1)), (8, "  \n\t "), (9, "a" * 300), (10, "b" + "a" * 120), (5, "Repeated id, " + PASSAGE),
     (12, "<|startoftext|> odd ’s 漢字 Å J̌"), (-3, "same"), (14, "same"), (15, "Zz " * 40),
+    (16, "\x01 a\x01b \x01\x01 x<|endoftext|>y don't <| 7th\x00\x01 \x85 \u2003x"),
 ]
 
 

@@ -22,3 +22,20 @@ def show(kind: Column, side: Column, base: Column, offset: Column) -> Column:
     """Print a position; base is 0-based, side is "", "-" (before the CDS) or "*" (after it)."""
     tail = F.when(offset > 0, F.concat(F.lit("+"), offset.cast("string"))).when(offset < 0, offset.cast("string")).otherwise("")
     return F.concat(kind, F.lit("."), side, (base + 1).cast("string"), tail)
+
+
+def show_range(kind: Column, first: Column, last: Column) -> Column:
+    """Print a range of two printed positions of one kind, as kind.a_b; a single position if they are equal."""
+    body = lambda t: F.substring_index(t, ".", -1)
+    return F.concat(kind, F.lit("."), F.when(first == last, body(first)).otherwise(F.concat(body(first), F.lit("_"), body(last))))
+
+
+def order_key(position: Column, side: Column | None = None) -> Column:
+    """A sort key of positions (base, offset): at one base what comes before it, it, and what comes after it; with a side (-, empty, *) before, within and after the coding sequence.
+
+    Before the coding sequence bases count away from it, so there the order is reversed.
+    """
+    side = F.lit("") if side is None else side
+    back = F.when(side == "-", -1).otherwise(1)
+    rank = F.when(side == "-", -1).when(side == "*", 1).otherwise(0)
+    return F.struct(rank.alias("part"), (back * position["base"]).alias("base"), (back * position["offset"]).alias("offset"))

@@ -1,7 +1,9 @@
 """Sequencing-error profile: aligned reads against the reference.
 
-A CIGAR is walked by column functions: its operations become an array with reference and read offsets, aligned
-bases are exploded next to reference bases, and each counter is one grouped count.
+A CIGAR is walked by column functions: its operations become an array with reference and read offsets. The reference is
+cut into chunks with a few bases of their neighbours, and operations that meet it are cut at the same places, so reads
+and reference are joined on (contig, chunk): what a read ships is its own bases, and a long contig is many keys. Each
+counter is one grouped count.
 """
 
 from __future__ import annotations
@@ -9,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.seq import reverse_complement
+from ..functions.seq import bases, reverse_complement
+from .intervals import exclude_known, points_in
+
+#: Bases of a chunk of the reference, and bases after it that it holds besides (one before).
+CHUNK, FLANK = 1024, 64
 
 
 def cigar_ops(cigar: Column) -> Column:
@@ -33,17 +39,63 @@ def walked(reads: DataFrame, min_mapq: int = 20) -> DataFrame:
     return ops.select("rec_idx", "flag", F.col("rname").alias("chrom"), F.col("pos").alias("read_pos"), "seq", "x.op", "x.len", (F.col("pos") + F.col("x.ref_at")).cast("long").alias("pos"), "x.seq_at")
 
 
-def aligned_bases(reads: DataFrame, reference: DataFrame, min_mapq: int = 20) -> DataFrame:
+def reference_chunks(reference: DataFrame) -> DataFrame:
+    """chrom, chunk, padded: the upper-case bases from one before the chunk to FLANK after it; N beyond the contig's ends.
+
+    reference: name and seq, in one row per contig or in pieces with at, the 0-based place of a piece's first base.
+    """
+    given = reference if "at" in reference.columns else reference.withColumn("at", F.lit(0).cast("long"))
+    given = given.where(F.octet_length("seq") > 0)
+    size = F.octet_length("seq")
+    low = F.floor(F.greatest(F.col("at") - FLANK - CHUNK + 1, F.lit(0)) / CHUNK)
+    each = given.withColumn("chunk", F.explode(F.sequence(low, F.floor((F.col("at") + size) / CHUNK))))
+    start = F.greatest(F.col("at"), F.col("chunk") * CHUNK - 1)
+    end = F.least(F.col("at") + size, (F.col("chunk") + 1) * CHUNK + FLANK)
+    each = each.where(start < end).select(F.col("name").alias("chrom"), "chunk", start.alias("from"), F.upper(bases(F.col("seq"), start - F.col("at"), end - start)).alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from", "part"))), lambda x: x["part"]), "")
+    met = each.groupBy("chrom", "chunk").agg(joined.alias("got"), F.min("from").alias("from"))
+    got = F.when(F.col("chunk") == 0, F.concat(F.lit("N"), F.col("got"))).otherwise(F.col("got"))
+    return met.select("chrom", "chunk", F.rpad(got, CHUNK + FLANK + 1, "N").alias("padded"))
+
+
+def _cut(ops: DataFrame) -> DataFrame:
+    """Operations cut at the chunks' edges: chunk, and the piece's start and end on the reference."""
+    first, last = F.floor(F.col("pos") / CHUNK), F.floor((F.col("pos") + F.col("len") - 1) / CHUNK)
+    each = ops.withColumn("chunk", F.explode(F.sequence(first, last)))
+    return each.withColumns({"start": F.greatest("pos", F.col("chunk") * CHUNK), "end": F.least(F.col("pos") + F.col("len"), (F.col("chunk") + 1) * CHUNK)})
+
+
+def aligned_pieces(reads: DataFrame, reference: DataFrame, min_mapq: int = 20) -> DataFrame:
+    """chrom, flag, start, own (read bases), near (reference bases with one on each side), a row for each aligned run in a chunk."""
+    ops = walked(reads, min_mapq).where(F.col("op").isin("M", "=", "X") & (F.col("len") > 0))
+    pieces = _cut(ops).select("chrom", "chunk", "flag", "start", F.upper(bases(F.col("seq"), F.col("seq_at") + F.col("start") - F.col("pos"), F.col("end") - F.col("start"))).alias("own"))
+    met = pieces.join(reference_chunks(reference), ["chrom", "chunk"])
+    return met.select("chrom", "flag", "start", "own", bases(F.col("padded"), F.col("start") - F.col("chunk") * CHUNK, F.octet_length("own") + 2).alias("near"))
+
+
+def aligned_bases(reads: DataFrame, reference: DataFrame, min_mapq: int = 20, known: DataFrame | None = None, regions: DataFrame | None = None, mismatched: bool = False) -> DataFrame:
     """chrom, pos, flag, ref (base), triplet (reference with one base on each side, N beyond its ends), base.
 
-    reference: name and seq, one row per contig. Contigs are few; a large set is joined by a shuffle on its name.
+    reference: name and seq, one row per contig (or pieces, as in reference_chunks()). known: variants (chrom, pos, ref, alt) at whose positions nothing counts;
+    regions: intervals (chrom, start, end) outside of which nothing counts. mismatched: only the bases that differ.
     """
-    ops = walked(reads, min_mapq).where(F.col("op").isin("M", "=", "X"))
-    padded = reference.select(F.col("name").alias("chrom"), F.concat(F.lit("N"), F.upper("seq"), F.lit("N")).alias("padded"))
-    met = ops.join(padded, "chrom")
-    local = met.withColumns({"piece": F.substring("padded", (F.col("pos") + 1).cast("int"), F.col("len") + 2), "own": F.upper(F.substring("seq", F.col("seq_at") + 1, F.col("len")))}).drop("padded", "seq")
-    each = local.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("len") - 1)))
-    return each.select("chrom", (F.col("pos") + F.col("i")).alias("pos"), "flag", F.substring("piece", F.col("i") + 2, F.lit(1)).alias("ref"), F.substring("piece", F.col("i") + 1, F.lit(3)).alias("triplet"), F.substring("own", F.col("i") + 1, F.lit(1)).alias("base"))
+    pieces = aligned_pieces(reads, reference, min_mapq)
+    if mismatched:
+        pieces = pieces.where(bases(F.col("near"), F.lit(1), F.octet_length("own")) != F.col("own"))
+    base = lambda i: bases(F.col("own"), i, 1)
+    places = F.sequence(F.lit(0), F.octet_length("own") - 1)
+    if mismatched:
+        places = F.filter(places, lambda i: bases(F.col("near"), i + 1, 1) != base(i))
+    each = pieces.select("chrom", "flag", "start", F.inline(F.transform(places, lambda i: F.struct(i.alias("i"), bases(F.col("near"), i, 3).alias("triplet"), base(i).alias("base")))))
+    each = each.select("chrom", (F.col("start") + F.col("i")).alias("pos"), "flag", F.substring("triplet", 2, 1).alias("ref"), "triplet", "base")
+    return gated(each, known, regions)
+
+
+def gated(at: DataFrame, known: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
+    """Rows (chrom, pos) that lie in a region, if any are given, and on no known variant."""
+    if regions is not None:
+        at = points_in(at, regions, how="left_semi")
+    return at if known is None else exclude_known(at, known)
 
 
 def stranded(seq: Column) -> Column:
@@ -71,3 +123,49 @@ def triplet_counts(bases: DataFrame) -> DataFrame:
 def lengths(ops: DataFrame, op: str) -> DataFrame:
     """Counts of insertions (I), deletions (D), soft (S) or hard clips (H) by length."""
     return ops.where(F.col("op") == op).groupBy(F.col("len").alias("length")).agg(F.count("*").alias("n"))
+
+
+def short_insertions(ops: DataFrame, longest: int = 3) -> DataFrame:
+    """Counts of the inserted bases, as the read saw them, of insertions of at most longest bases."""
+    short = ops.where((F.col("op") == "I") & (F.col("len") <= longest))
+    return short.groupBy(stranded(F.upper(bases(F.col("seq"), F.col("seq_at"), F.col("len")))).alias("sequence")).agg(F.count("*").alias("n"))
+
+
+def short_deletions(ops: DataFrame, reference: DataFrame, longest: int = 3) -> DataFrame:
+    """Counts of the reference's deleted bases, as the read saw them, of deletions of at most longest bases (FLANK at most)."""
+    if longest > FLANK:
+        raise ValueError("longer deletions than a chunk's flank")
+    short = ops.where((F.col("op") == "D") & (F.col("len") <= longest)).select("chrom", F.floor(F.col("pos") / CHUNK).alias("chunk"), "pos", "len", "flag")
+    met = short.join(reference_chunks(reference), ["chrom", "chunk"])
+    gone = bases(F.col("padded"), F.col("pos") - F.col("chunk") * CHUNK + 1, F.col("len"))
+    return met.groupBy(stranded(gone).alias("sequence")).agg(F.count("*").alias("n"))
+
+
+def totals(reads: DataFrame, min_mapq: int = 20) -> DataFrame:
+    """sequenced: all bases of the mapped reads, clipped ones too; reference: the bases that their alignments span."""
+    kept = reads.where((F.col("rname") != "*") & (F.col("mapq") >= min_mapq))
+    span = F.aggregate(F.filter(cigar_ops(F.col("cigar")), lambda x: x["op"].isin("M", "D", "N", "=", "X")), F.lit(0).cast("long"), lambda n, x: n + x["len"])
+    return kept.agg(F.coalesce(F.sum(F.octet_length("seq")), F.lit(0)).alias("sequenced"), F.coalesce(F.sum(span), F.lit(0)).alias("reference"))
+
+
+def profile(reads: DataFrame, reference: DataFrame, min_mapq: int = 20, known: DataFrame | None = None, regions: DataFrame | None = None, longest: int = 3) -> DataFrame:
+    """All counters as rows (Category, Reference, Sequenced, Count). Reads of contigs without a region count nowhere."""
+    if regions is not None:
+        reads = reads.join(F.broadcast(regions.select(F.col("chrom").alias("rname")).distinct()), "rname", "left_semi")  # contigs are few
+    seen = aligned_bases(reads, reference, min_mapq, known, regions)
+    ops = gated(walked(reads, min_mapq), known, regions)
+    none = F.lit("")
+    row = lambda df, name, ref, own, n="n": df.select(F.lit(name).alias("Category"), ref.alias("Reference"), own.alias("Sequenced"), F.col(n).alias("Count"))
+    total = totals(reads, min_mapq)
+    parts = [
+        row(total, "Total Sequenced Bases", none, none, "sequenced"), row(total, "Total Reference Bases", none, none, "reference"),
+        row(base_counts(seen), "Total Reference Base", F.col("base"), none), row(triplet_counts(seen), "Total Reference Triplet", F.col("triplet"), none),
+        row(mismatches(seen), "Mismatch", F.col("reference"), F.col("sequenced")), row(mismatch_triplets(seen), "Mismatch Triplet", F.col("reference"), F.col("sequenced")),
+        row(lengths(ops, "I"), "Insertion Length", none, F.col("length").cast("string")), row(short_insertions(ops, longest), "Insertion", none, F.col("sequence")),
+        row(lengths(ops, "D"), "Deletion Length", none, F.col("length").cast("string")), row(short_deletions(ops, reference, longest), "Deletion", none, F.col("sequence")),
+        row(lengths(ops, "S"), "Softclip Length", none, F.col("length").cast("string")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

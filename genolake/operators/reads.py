@@ -50,10 +50,10 @@ def read_groups(df: DataFrame) -> DataFrame:
 def rename_reads(df: DataFrame) -> DataFrame:
     """Names R1, R2, ... by first appearance; mates share theirs. Ranks come from ranges of the first place, not one task."""
     firsts = df.groupBy("qname").agg(F.min("rec_idx").alias("first"))
-    n = firsts.agg(F.min("first").alias("a"), F.max("first").alias("b")).first()
-    width = max(1, ((n["b"] or 0) - (n["a"] or 0)) // 256 + 1)
+    n = firsts.agg(F.min("first").alias("a"), F.max("first").alias("b"), F.count("*").alias("rows")).first()
+    width = max(1, ((n["b"] or 0) - (n["a"] or 0)) // max(256, (n["rows"] or 0) // 1_000_000) + 1)
     ranged = firsts.withColumn("part", F.floor((F.col("first") - (n["a"] or 0)) / width))
-    before = ranged.groupBy("part").count().withColumn("before", F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))  # at most 257 rows
+    before = ranged.groupBy("part").count().withColumn("before", F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))  # a row for each part
     ranked = ranged.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy("first")))
     named = ranked.join(F.broadcast(before), "part").select("qname", F.concat(F.lit("R"), (F.coalesce("before", F.lit(0)) + F.col("r")).cast("string")).alias("new_name"))
     return df.join(named, "qname")
@@ -72,28 +72,34 @@ def sample_names(df: DataFrame, rate: float, seed: int = 0, name: str = "qname")
     return df.where(in_sample(F.col(name), rate, seed))
 
 
-def order_breaks(df: DataFrame, keys: list[str], idx: str = "rec_idx", chunk: int = 100_000) -> DataFrame:
-    """Rows that don't come strictly after the row before them by the keys.
+def _with_before(df: DataFrame, value: Column, idx: str, chunk: int) -> DataFrame:
+    """idx, k (the value) and before: the value of the row before, null for the first row.
 
-    Rows are compared within chunks of the index; a chunk's first row is met by a copy of the last row of the one before.
+    Rows are compared within chunks of the index; the last row of the nearest chunk before that has any comes from a
+    table with a row per chunk, so gaps in the index hide nothing.
     """
-    pos = F.col(idx)
-    own = F.struct(F.floor(pos / chunk).alias("chunk"), F.lit(False).alias("ghost"))
-    copied = F.when((pos + 1) % chunk == 0, F.struct((F.floor(pos / chunk) + 1).alias("chunk"), F.lit(True).alias("ghost")))
-    dealt = df.select(idx, F.struct(*keys).alias("k"), F.inline(F.filter(F.array(own, copied), lambda x: x.isNotNull())))
-    before = F.lag("k").over(W.partitionBy("chunk").orderBy(idx))
-    return dealt.withColumn("before", before).where("NOT ghost AND before >= k").select(idx, "k.*")
+    given = df.select(idx, value.alias("k")).withColumn("chunk", F.floor(F.col(idx) / chunk))
+    lasts = given.groupBy("chunk").agg(F.max_by("k", idx).alias("last"))
+    carried = lasts.select("chunk", F.lag("last").over(W.orderBy("chunk")).alias("carried"))
+    inside = F.lag(F.struct("k")).over(W.partitionBy("chunk").orderBy(idx))
+    met = given.withColumn("inside", inside).join(carried, "chunk")
+    return met.select(idx, "k", F.when(F.col("inside").isNotNull(), F.col("inside.k")).otherwise(F.col("carried")).alias("before"))
+
+
+def order_breaks(df: DataFrame, keys: list[str], idx: str = "rec_idx", chunk: int = 100_000, start: tuple | None = None) -> DataFrame:
+    """Rows that don't come strictly after the row before them by the keys; the first is held against start, if given."""
+    met = _with_before(df, F.struct(*keys), idx, chunk)
+    before = F.col("before") if start is None else F.coalesce("before", F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for v, k in zip(start, keys)]))
+    return met.where(before >= F.col("k")).select(idx, "k.*")
 
 
 def group_starts(df: DataFrame, group: str, idx: str = "rec_idx", chunk: int = 100_000) -> DataFrame:
     """The order of groups: rows where the group differs from the row before; recurs tells a group that came earlier."""
-    pos = F.col(idx)
-    own = F.struct(F.floor(pos / chunk).alias("chunk"), F.lit(False).alias("ghost"))
-    copied = F.when((pos + 1) % chunk == 0, F.struct((F.floor(pos / chunk) + 1).alias("chunk"), F.lit(True).alias("ghost")))
-    dealt = df.select(idx, F.col(group), F.inline(F.filter(F.array(own, copied), lambda x: x.isNotNull())))
-    before = F.lag(group).over(W.partitionBy("chunk").orderBy(idx))
-    starts = dealt.withColumn("before", before).where(~F.col("ghost") & ~F.col("before").eqNullSafe(F.col(group)))
-    return starts.select(idx, group, (F.row_number().over(W.partitionBy(group).orderBy(idx)) > 1).alias("recurs"))
+    met = _with_before(df, F.struct(F.col(group)), idx, chunk)
+    starts = met.where(F.col("before").isNull() | ~F.col("before")[group].eqNullSafe(F.col("k")[group])).select(idx, F.col("k")[group].alias(group))
+    firsts = starts.groupBy(group).agg(F.min(idx).alias("first"))
+    met = starts.join(firsts.withColumnRenamed(group, "same"), F.col(group).eqNullSafe(F.col("same")))
+    return met.select(idx, group, (F.col(idx) > F.col("first")).alias("recurs"))
 
 
 def index_counts(df: DataFrame, name: str = "name") -> DataFrame:
@@ -117,11 +123,11 @@ def kmer_counts(df: DataFrame, ks: tuple[int, ...] = (1, 2, 3), seq: str = "seq"
 
 
 def zip_pairs(left: DataFrame, right: DataFrame, idx: str = "rec_idx") -> DataFrame:
-    """Reads of two files in lockstep; a missing partner is an error."""
+    """Reads of two files in lockstep; a missing partner is an error. Nulls in other columns are values like any."""
     names = [c for c in right.columns if c != idx]
-    met = left.join(right.withColumnsRenamed({c: f"{c}_2" for c in names}).withColumn("there", F.lit(True)), idx, "full")
+    met = left.withColumn("here", F.lit(True)).join(right.withColumnsRenamed({c: f"{c}_2" for c in names}).withColumn("there", F.lit(True)), idx, "full")
     broken = F.raise_error(F.lit("the files differ in length"))
-    return met.withColumn("there", F.when(F.col("there").isNull() | F.col(left.columns[-1]).isNull(), broken).otherwise(F.col("there"))).where("there").drop("there")
+    return met.withColumn("there", F.when(F.col("there").isNull() | F.col("here").isNull(), broken).otherwise(F.col("there"))).where("there").drop("here", "there")
 
 
 def reorder(df: DataFrame, *keys: str | Column) -> DataFrame:

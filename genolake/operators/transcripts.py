@@ -89,3 +89,35 @@ def with_loci(transcripts: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     return transcripts.withColumn("locus_no", F.row_number().over(W.partitionBy("tx_id").orderBy("rec_idx")))
+
+
+def chromosome(name: Column, known: list[str]) -> Column:
+    """The genome's name of a chromosome: itself, else without chr, else with it; null if the genome has none of them."""
+    listed = F.array(*[F.lit(k) for k in known]).cast("array<string>")
+    bare = F.when(name.startswith("chr"), F.substring(name, 4, 1 << 30))
+    tries = F.array(name, bare, F.concat(F.lit("chr"), name))
+    return F.get(F.filter(tries, lambda t: t.isNotNull() & F.array_contains(listed, t)), F.lit(0))
+
+
+def on_genome(transcripts: DataFrame, genome: DataFrame) -> DataFrame:
+    """Transcripts under the genome's chromosome names; those on unknown chromosomes are left out. genome: name, a row per chromosome."""
+    known = [r["name"] for r in genome.select("name").collect()]
+    return transcripts.withColumn("chrom", chromosome(F.col("chrom"), known)).where("chrom IS NOT NULL")
+
+
+#: Strands, and the statuses of a coding sequence's ends.
+STRANDS, STATUSES = ("+", "-"), ("none", "unk", "incmpl", "cmpl")
+
+
+def checked(value: Column, allowed: tuple[str, ...], what: str) -> Column:
+    """The value, or an error if it is none of the allowed ones."""
+    return F.when(value.isin(*allowed), value).otherwise(F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.coalesce(value, F.lit("null")))).cast("string"))
+
+
+def write_genes(transcripts: DataFrame, path: str) -> None:
+    """The gene models as a table by chromosome, for lookups of many positions."""
+    transcripts.write.mode("overwrite").partitionBy("chrom").parquet(path)
+
+
+def read_genes(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)

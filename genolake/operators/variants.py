@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 IMPACTS = ("HIGH", "MODERATE", "LOW", "MODIFIER")
 #: Human contigs with and without the prefix.
 CONTIGS = tuple([str(i) for i in range(1, 23)] + ["X", "Y", "M", "MT"])
+#: RefSeq versions of the chromosomes 1 to 22, X and Y in GRCh37 and GRCh38.
+REFSEQ_37 = (10, 11, 11, 11, 9, 11, 13, 10, 11, 10, 9, 11, 10, 8, 9, 9, 10, 9, 9, 10, 8, 10, 10, 9)
+REFSEQ_38 = (11, 12, 12, 12, 10, 12, 14, 11, 12, 11, 10, 12, 11, 9, 10, 10, 11, 10, 10, 11, 9, 11, 11, 10)
 
 
 def split_multiallelic(df: DataFrame, alt: str = "alt") -> DataFrame:
@@ -51,11 +54,72 @@ def used_contigs(df: DataFrame) -> DataFrame:
     return df.select("chrom").distinct()
 
 
+#: Fixed value: how the line starts that heads the list of canonical transcripts in an annotator's log.
+CANONICAL_HEAD = "\t\tgeneName\tgeneId\ttranscriptId\tcdsLength"
+
+
 def canonical_transcripts(lines: DataFrame) -> DataFrame:
-    """lines (rec_idx, line): after the line of the marker, each line that starts with two tabs names one in its third field."""
-    first = lines.where(F.col("line").startswith("Canonical transcripts")).agg(F.min("rec_idx").alias("from"))  # one row
-    named = lines.join(F.broadcast(first), F.col("rec_idx") > F.col("from")).where(F.col("line").startswith("\t\t"))
-    return named.select("rec_idx", F.trim(F.split("line", "\t")[2]).alias("transcript"))
+    """lines (rec_idx, line): after a line that heads the list, each line that starts with two tabs names one in the third field of what is left when trimmed."""
+    heads = F.col("line").startswith(CANONICAL_HEAD)
+    first = lines.where(heads).agg(F.min("rec_idx").alias("first")).first()["first"]
+    named = lines.where(F.lit(first is not None) & (F.col("rec_idx") > F.lit(first)) & ~heads & F.col("line").startswith("\t\t"))
+    third = F.get(F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), "\t"), F.lit(2))
+    return named.select("rec_idx", third.alias("transcript")).where("transcript IS NOT NULL")
+
+
+def chosen_fields(header_ids: list[str], include: list[str] | None = None, exclude: list[str] | None = None) -> list[str]:
+    """The ids to keep: those named, or all of the header, without those excluded, in order and once each."""
+    return [k for k in dict.fromkeys(header_ids if include is None else include) if k not in (exclude or ())]
+
+
+def refseq() -> dict[str, str]:
+    """RefSeq accessions of the human chromosomes of the two assemblies, and their names."""
+    names = [str(i) for i in range(1, 23)] + ["X", "Y"]
+    versions = {c: (a, b) for c, a, b in zip(names, REFSEQ_37, REFSEQ_38)}
+    return {f"NC_{i:06d}.{v}": c for i, c in enumerate(names, 1) for v in versions[c]} | {"NC_012920.1": "MT"}
+
+
+def contig_mapping(refseq_names: bool = False, add: bool = False, remove: bool = False, table: dict[str, str] | None = None) -> dict[str, str]:
+    """The mapping that the options name; the first of RefSeq names, chr added, chr removed and an own table."""
+    return refseq() if refseq_names else add_chr() if add else remove_chr() if remove else dict(table or {})
+
+
+def upsert_info(info: Column, new: list[tuple[str, Column]]) -> Column:
+    """INFO entries (key, values) where each new key's values take the place of its old ones, or come after all others."""
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("values")) for k, v in new])
+    values = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["values"])))
+    kept = F.transform(info, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.try_element_at(values, e["key"]), e["values"]).alias("values")))
+    present = F.transform(info, lambda e: e["key"])
+    return F.concat(kept, F.filter(entries, lambda e: ~F.array_contains(present, e["key"])))
+
+
+def common_folder(paths: list[str]) -> str:
+    """The deepest folder (or path) that all paths share."""
+    parts = [p.split("/") for p in paths]
+    shared = 0
+    while all(len(p) > shared and p[shared] == parts[0][shared] for p in parts):
+        shared += 1
+    return "/".join(parts[0][:shared])
+
+
+def group_names(paths: list[str]) -> list[str]:
+    """What tells the paths apart: each without the folder that all share."""
+    folder = common_folder(paths)
+    return [p[len(folder) :].lstrip("/") for p in paths]
+
+
+def shuffled_samples(samples: list[str], seed: int) -> list[str]:
+    """The samples in an order drawn by the seed."""
+    import random
+
+    return random.Random(seed).sample(samples, len(samples))
+
+
+def sample_index(header_samples: list[str], mapping: dict[str, str], order: list[str] | None = None) -> tuple[list[str], list[int | None]]:
+    """New names and, for each, the place of its sample in the header: those in header, mapping and order, by the order (default: the mapping's)."""
+    by_new = {new: old for old, new in mapping.items() if old in header_samples}
+    names = [n for n in (order if order is not None else mapping.values()) if n in by_new]
+    return names, [header_samples.index(by_new[n]) for n in names]
 
 
 def annotations(ann: Column) -> Column:
@@ -78,11 +142,15 @@ def ann_text(entries: Column) -> Column:
 
 
 def canonical_changes(entries: Column, canonical: Column) -> Column:
-    """TX(GENE):change of the canonical transcripts' graver entries; those with a protein change alone if there are any."""
-    mine = F.filter(entries, lambda e: (e["impact"] != "MODIFIER") & F.array_contains(canonical, e["transcript"]))
-    protein = F.filter(mine, lambda e: e["hgvs_p"] != "")
-    chosen = F.when(F.size(protein) > 0, protein).otherwise(mine)
-    return F.array_join(F.transform(chosen, lambda e: F.concat(e["transcript"], F.lit("("), e["gene"], F.lit("):"), F.when(e["hgvs_p"] != "", e["hgvs_p"]).otherwise(e["hgvs_c"]))), ", ")
+    """TX(GENE):change of the canonical transcripts' entries, without MODIFIER ones; if any has a protein change, only those that do."""
+    mine = F.filter(entries, lambda e: F.array_contains(canonical, e["transcript"]))
+    protein = F.exists(mine, lambda e: e["hgvs_p"] != "")
+    return all_changes(F.filter(mine, lambda e: (e["impact"] != "MODIFIER") & (~protein | (e["hgvs_p"] != ""))))
+
+
+def all_changes(entries: Column) -> Column:
+    """TX(GENE):change of every entry, the protein's change where there is one."""
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["transcript"], F.lit("("), e["gene"], F.lit("):"), F.when(e["hgvs_p"] != "", e["hgvs_p"]).otherwise(e["hgvs_c"]))), ", ")
 
 
 def genes_of_impact(entries: Column, impact: str) -> Column:

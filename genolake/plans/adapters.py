@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.seq import bases
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for files that are written and read back: in the folder that the cluster shares, and gone at the driver's end where that is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="genolake-")
+    folder = f"{shared}/files-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
+    return f"{folder}/{name}"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,17 +75,17 @@ SEQUENCES = "sq AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g
 
 
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long: variant, n_alt, sample, gt, ad, dp; samples are the 20 first customers."""
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 20").select("c_custkey")
-    p = table(spark, sf_dir, "part").select("p_partkey")
-    both = p.join(F.broadcast(c))  # 20 rows
-    a, b = (F.col("c_custkey") * 7 + F.col("p_partkey") * 3) % 4, (F.col("c_custkey") * 5 + F.col("p_partkey")) % 3
+    """Long: variant, n_alt, sample, gt, ad, dp; a row for each part and each customer who ordered it."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c"))
+    both = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).join(o, "l_orderkey").select("p", "c").distinct()
+    c, p = F.col("c"), F.col("p")
+    a, b = (c * 7 + p * 3) % 4, (c * 5 + p) % 3
     text = F.concat(F.when(a == 3, ".").otherwise(a.cast("string")), F.lit("/"), b.cast("string"))
-    ad = F.array((F.col("c_custkey") + F.col("p_partkey")) % 30, F.col("p_partkey") % 17, F.col("c_custkey") % 11)
-    return both.select(F.col("p_partkey").alias("variant"), (F.col("p_partkey") % 2 + 1).cast("int").alias("n_alt"), F.col("c_custkey").alias("sample"), text.alias("gt"), ad.alias("ad"), (ad[0] + ad[1] + ad[2]).alias("dp"))
+    ad = F.array((c + p) % 30, p % 17, c % 11)
+    return both.select(p.alias("variant"), (p % 2 + 1).cast("int").alias("n_alt"), c.alias("sample"), text.alias("gt"), ad.alias("ad"), (ad[0] + ad[1] + ad[2]).alias("dp"))
 
 
-GENOTYPES = "gt AS (SELECT p_partkey AS variant, (p_partkey % 2 + 1)::INT AS n_alt, c_custkey AS sample, (c_custkey * 7 + p_partkey * 3) % 4 AS a, (c_custkey * 5 + p_partkey) % 3 AS b, [(c_custkey + p_partkey) % 30, p_partkey % 17, c_custkey % 11] AS ad FROM part, customer WHERE c_custkey <= 20), al AS (SELECT variant, n_alt, sample, a AS v FROM gt WHERE a < 3 AND a <= n_alt UNION ALL SELECT variant, n_alt, sample, b FROM gt WHERE b <= n_alt), gf AS (SELECT *, least(a, b) AS lo, greatest(a, b) AS hi FROM gt WHERE a < 3 AND a <= n_alt AND b <= n_alt)"
+GENOTYPES = "gt AS MATERIALIZED (SELECT p AS variant, (p % 2 + 1)::INT AS n_alt, c AS sample, (c * 7 + p * 3) % 4 AS a, (c * 5 + p) % 3 AS b, [(c + p) % 30, p % 17, c % 11] AS ad FROM (SELECT DISTINCT l_partkey AS p, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey) z), al AS (SELECT variant, n_alt, sample, a AS v FROM gt WHERE a < 3 AND a <= n_alt UNION ALL SELECT variant, n_alt, sample, b FROM gt WHERE b <= n_alt), gf AS (SELECT *, least(a, b) AS lo, greatest(a, b) AS hi FROM gt WHERE a < 3 AND a <= n_alt AND b <= n_alt)"
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,13 +140,13 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRANSCRIPTS = (
     "ex AS (SELECT l_orderkey AS tx_id, 1000 * l_linenumber + min(l_partkey) % 500 AS s, 1000 * l_linenumber + min(l_partkey) % 500 + 50 + min(l_quantity)::BIGINT AS e FROM lineitem GROUP BY l_orderkey, l_linenumber), "
     "tx AS (SELECT tx_id, 'chr' || (tx_id % 22 + 1)::VARCHAR AS chrom, tx_id % 2 = 0 AS fwd, min(s) AS ts, max(e) AS te, sum(e - s)::BIGINT AS len FROM ex GROUP BY tx_id), "
-    "pre AS (SELECT ex.tx_id, s, e, fwd, coalesce(sum(e - s) OVER (PARTITION BY ex.tx_id ORDER BY CASE WHEN fwd THEN s ELSE -s END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS passed, row_number() OVER (PARTITION BY ex.tx_id ORDER BY s) AS no FROM ex JOIN tx USING (tx_id))"
+    "pre AS MATERIALIZED (SELECT ex.tx_id, s, e, fwd, coalesce(sum(e - s) OVER (PARTITION BY ex.tx_id ORDER BY CASE WHEN fwd THEN s ELSE -s END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS passed, row_number() OVER (PARTITION BY ex.tx_id ORDER BY s) AS no FROM ex JOIN tx USING (tx_id))"
 )
 #: Transcript position of each (tx_id, pos) row of a relation q.
 PLACED = (
     "away AS (SELECT q.tx_id, q.pos, passed, fwd, e - s AS len, CASE WHEN pos < s THEN s - pos WHEN pos < e THEN 0 ELSE pos - e + 1 END AS d, CASE WHEN (pos < s) = fwd THEN passed ELSE passed + (e - s) - 1 END AS edge, (pos < s) = fwd AS before, CASE WHEN fwd THEN pos - s ELSE e - 1 - pos END AS within, no FROM q JOIN pre USING (tx_id)), "
     "near AS (SELECT *, row_number() OVER (PARTITION BY tx_id, pos ORDER BY d, no) AS r FROM away), "
-    "placed AS (SELECT tx_id, pos, CASE WHEN d = 0 THEN passed + within ELSE edge END AS base, CASE WHEN d = 0 THEN 0 WHEN before THEN -d ELSE d END AS off FROM near WHERE r = 1)"
+    "placed AS MATERIALIZED (SELECT tx_id, pos, CASE WHEN d = 0 THEN passed + within ELSE edge END AS base, CASE WHEN d = 0 THEN 0 WHEN before THEN -d ELSE d END AS off FROM near WHERE r = 1)"
 )
 
 
@@ -143,8 +162,9 @@ POSITIONS = "q AS (SELECT tx_id, unnest([ts - 3, ts + tx_id % 97, ((ts + te) //
 def alignments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Reads of whole sequences against themselves, with every 17th base changed, and the reference."""
     seq = sequences(spark, sf_dir).where("length(seq) > 0")
-    n = F.length("seq")
-    changed = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i % 17 == F.col("doc_id") % 17, F.translate(F.substring("seq", i + 1, F.lit(1)), "ACGT", "CGTA")).otherwise(F.substring("seq", i + 1, F.lit(1)))), "")
+    n = F.octet_length("seq")
+    own = lambda i: bases(F.col("seq"), i, 1)
+    changed = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i % 17 == F.col("doc_id") % 17, F.translate(own(i), "ACGT", "CGTA")).otherwise(own(i))), "")
     reads = seq.select(F.col("doc_id").alias("rec_idx"), F.when(F.col("doc_id") % 2 == 1, 16).otherwise(0).alias("flag"), F.col("doc_id").cast("string").alias("rname"), F.lit(0).cast("long").alias("pos"), F.lit(60).alias("mapq"), F.concat(n.cast("string"), F.lit("M")).alias("cigar"), changed.alias("seq"))
     return reads, seq.select(F.col("doc_id").cast("string").alias("name"), "seq")
 
@@ -162,3 +182,38 @@ def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey")
     cigar = F.concat((n % 9 + 1).cast("string"), F.lit("S30M"), (n % 4 + 1).cast("string"), F.lit("I12M"), (n % 6 + 1).cast("string"), F.lit("D8M"), (n % 3 + 1).cast("string"), F.lit("H"))
     return t.select(n.alias("rec_idx"), F.lit(0).alias("flag"), F.lit("chr1").alias("rname"), (n % 5000).alias("pos"), (n % 61).cast("int").alias("mapq"), cigar.alias("cigar"), F.repeat(F.lit("A"), 80).alias("seq"))
+
+
+def gapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A read per line item on a contig per supplier modulo 22 (20,000 bases that repeat ACGGT), the reference, and target regions."""
+    t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
+    cigar = F.concat(F.lit("2S6M"), (F.col("p") % 5 + 1).cast("string"), F.lit("I4M"), (F.col("s") % 4 + 1).cast("string"), F.lit("D3M"))
+    seq = F.concat(F.lit("TT"), F.repeat(F.lit("A"), 6), F.rpad(F.lit("C"), (F.col("p") % 5 + 1).cast("int"), "CAG"), F.repeat(F.lit("G"), 7))
+    reads = t.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rec_idx"), F.when(F.col("l_linenumber") % 2 == 0, 16).otherwise(0).alias("flag"), F.concat(F.lit("chr"), (F.col("s") % 22 + 1).cast("string")).alias("rname"), (F.col("p") * 97 % 19900 + 1).alias("pos"), F.lit(60).alias("mapq"), cigar.alias("cigar"), seq.alias("seq"))
+    reference = spark.range(1, 23).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("name"), F.repeat(F.lit("ACGGT"), 4000).alias("seq"))
+    regions = table(spark, sf_dir, "supplier").select(F.concat(F.lit("chr"), (F.col("s_suppkey") % 11 + 1).cast("string")).alias("chrom"), (F.col("s_suppkey") * 131 % 19000).alias("start"), (F.col("s_suppkey") * 131 % 19000 + 700).alias("end"))
+    return reads, reference, regions
+
+
+#: Operations of the reads above: where they stand, their length, and the bases read or deleted.
+GAPPED = (
+    "rd AS (SELECT l_orderkey * 8 + l_linenumber AS rec_idx, l_linenumber % 2 = 0 AS rev, 'chr' || (min(l_suppkey) % 22 + 1)::VARCHAR AS chrom, min(l_partkey) * 97 % 19900 + 1 AS pos, (min(l_partkey) % 5 + 1)::INT AS ni, (min(l_suppkey) % 4 + 1)::INT AS nd FROM lineitem GROUP BY l_orderkey, l_linenumber), "
+    "rg AS (SELECT 'chr' || (s_suppkey % 11 + 1)::VARCHAR AS chrom, s_suppkey * 131 % 19000 AS s, s_suppkey * 131 % 19000 + 700 AS e FROM supplier), "
+    "gi AS (SELECT ni AS n, substr('CCAGC', 1, ni) AS bases, rev, chrom, pos + 6 AS place FROM rd), "
+    "gd AS (SELECT nd AS n, substr(repeat('ACGGT', 4), ((pos + 10) % 5 + 1)::INT, nd) AS bases, rev, chrom, pos + 10 AS place FROM rd)"
+)
+
+
+def flowcell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of names of a DNBSeq file: events in order, in fields of 100, counted up within."""
+    e = F.col("event_id")
+    name = F.concat(F.lit("V300012L1C"), F.lpad((e / 100 % 900).cast("long").cast("string"), 3, "0"), F.lit("R"), F.lpad((F.floor(e / 100) % 7).cast("string"), 3, "0"), F.lpad(e.cast("string"), 9, "0"))
+    return table(spark, sf_dir, "events").select(e.alias("rec_idx"), F.concat(name, F.lit("/1")).alias("name"), F.concat(name, F.lit("/2")).alias("name_2"))
+
+
+def illumina_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of names of an Illumina file in order of tile and y; a few have an index of their own."""
+    e, x = F.col("event_id"), F.col("user_id") % 977
+    index = F.concat(F.lit("N:0:"), F.when(e % 50 == 7, F.concat(F.lit("AA+"), F.upper(F.substring("event_type", 1, 2)))).otherwise("CC+GG"))
+    place = F.concat_ws(":", F.lit("A00:1:FC:1"), (1101 + F.floor(e / 1000)).cast("string"), x.cast("string"), (e % 1000 + 1).cast("string"))
+    return table(spark, sf_dir, "events").select(e.alias("rec_idx"), F.concat(place, F.lit(" 1:"), index).alias("name"), F.concat(place, F.lit(" 2:"), index).alias("name_2"))

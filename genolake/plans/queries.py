@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype, hgvs, readname, seq
-from ..operators import alleles, errors, intervals, reads, transcripts, variants, vcf_table
+from ..operators import alleles, errors, fastq, intervals, reads, sam_header, transcripts, variants, vcf_table
+from ..sources import text
 from . import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,12 +105,12 @@ def triplet_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @register("error_mismatch", f"WITH {ad.ALIGNED} SELECT r AS reference, b AS sequenced, count(*) AS n FROM sr WHERE hit GROUP BY r, b")
 def error_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    return errors.mismatches(_bases(spark, d))
+    return errors.mismatches(errors.aligned_bases(*ad.alignments(spark, d), mismatched=True))
 
 
 @register("error_triplet", f"WITH {ad.ALIGNED} SELECT t AS reference, substr(t, 1, 1) || b || substr(t, 3, 1) AS sequenced, count(*) AS n FROM sr WHERE hit GROUP BY 1, 2")
 def error_triplet(spark: SparkSession, d: str) -> DataFrame:
-    return errors.mismatch_triplets(_bases(spark, d))
+    return errors.mismatch_triplets(errors.aligned_bases(*ad.alignments(spark, d), mismatched=True))
 
 
 @register("error_indel", "SELECT 'I' AS op, (p_partkey % 4 + 1)::INT AS length, count(*) AS n FROM part WHERE p_partkey % 61 >= 20 GROUP BY 2 UNION ALL SELECT 'D', (p_partkey % 6 + 1)::INT, count(*) FROM part WHERE p_partkey % 61 >= 20 GROUP BY 2")
@@ -208,11 +209,14 @@ def contig_list(spark: SparkSession, d: str) -> DataFrame:
     return variants.used_contigs(ad.records(spark, d))
 
 
-@register("canonical_extract", "SELECT event_id AS rec_idx, 'TX' || user_id::VARCHAR AS transcript FROM events WHERE event_id > 20 AND event_id % 3 = 0")
+@register("canonical_extract", "SELECT event_id AS rec_idx, 'TX' || user_id::VARCHAR AS transcript FROM events WHERE event_id > 20 AND event_id % 3 = 0 AND event_id % 6 <> 3")
 def canonical_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a log: the list's head is line 20; every sixth line of the list is too short, so it names nothing."""
     e = ad.table(spark, d, "events")
-    line = F.when(F.col("event_id") == 20, "Canonical transcripts:").when(F.col("event_id") % 3 == 0, F.concat(F.lit("\t\t TX"), F.col("user_id").cast("string"), F.lit(" \tx"))).otherwise("other")
-    return variants.canonical_transcripts(e.select(F.col("event_id").alias("rec_idx"), line.alias("line")))
+    n, tx = F.col("event_id"), F.concat(F.lit("TX"), F.col("user_id").cast("string"))
+    listed = F.when(n % 6 == 3, F.lit("\t\tG\tENSG")).otherwise(F.concat(F.lit("\t\tG"), n.cast("string"), F.lit("\tENSG\t"), tx, F.lit("\t900  ")))
+    line = F.when(n == 20, "\t\tgeneName\tgeneId\ttranscriptId\tcdsLength").when(n % 3 == 0, listed).otherwise("\tother\tA\tB\tC")
+    return variants.canonical_transcripts(e.select(n.alias("rec_idx"), line.alias("line")))
 
 
 @register("ddl_columns", "SELECT 'CREATE TABLE my_table(CHROM TEXT, POS INTEGER, A__AF REAL);' AS ddl")
@@ -417,3 +421,314 @@ def read_name_parts(spark: SparkSession, d: str) -> DataFrame:
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
     raw = F.col("text").cast("binary")
     return ad.table(spark, d, "documents").select("doc_id", F.md5(raw).alias("md5"), F.sha2(raw, 256).alias("sha256"))
+
+
+# Error profiles with gaps, regions and known variants
+
+_REV = "CASE WHEN rev THEN reverse(translate(bases, 'ACGT', 'TGCA')) ELSE bases END"
+
+
+@register("error_short_indel", f"WITH {ad.GAPPED}, x AS (SELECT 'I' AS op, {_REV} AS sequence FROM gi WHERE n <= 3 UNION ALL SELECT 'D', {_REV} FROM gd WHERE n <= 3) SELECT op, sequence, count(*) AS n FROM x GROUP BY ALL")
+def error_short_indel(spark: SparkSession, d: str) -> DataFrame:
+    r, reference, _ = ad.gapped(spark, d)
+    ops = errors.walked(r)
+    return errors.short_insertions(ops).select(F.lit("I").alias("op"), "*").unionByName(errors.short_deletions(ops, reference).select(F.lit("D").alias("op"), "*"))
+
+
+@register("error_totals", f"WITH {ad.GAPPED} SELECT sum(15 + ni)::BIGINT AS sequenced, sum(13 + nd)::BIGINT AS reference FROM rd")
+def error_totals(spark: SparkSession, d: str) -> DataFrame:
+    return errors.totals(ad.gapped(spark, d)[0])
+
+
+_IN_REGION = "WHERE EXISTS (SELECT 1 FROM rg WHERE rg.chrom = {0}.chrom AND {0}.place >= rg.s AND {0}.place < rg.e)"
+
+
+@register("error_region_gate", f"WITH {ad.GAPPED}, x AS (SELECT 'I' AS op, n, chrom, place FROM gi UNION ALL SELECT 'D', n, chrom, place FROM gd) SELECT op, n AS length, count(*) AS n FROM x {_IN_REGION.format('x')} GROUP BY ALL")
+def error_region_gate(spark: SparkSession, d: str) -> DataFrame:
+    r, _, regions = ad.gapped(spark, d)
+    ops = errors.gated(errors.walked(r), regions=regions)
+    return errors.lengths(ops, "I").select(F.lit("I").alias("op"), "*").unionByName(errors.lengths(ops, "D").select(F.lit("D").alias("op"), "*"))
+
+
+_PROFILE = (
+    f"WITH {ad.GAPPED}, kn AS (SELECT DISTINCT 'chr' || (p_partkey % 22 + 1)::VARCHAR AS chrom, p_partkey * 613 % 19000 AS place FROM part), "
+    "ok AS (SELECT * FROM rd WHERE chrom IN (SELECT chrom FROM rg)), "
+    "al AS (SELECT chrom, rev, pos + i AS place, 'A' AS b FROM ok, (SELECT unnest(range(6)) AS i) t UNION ALL SELECT chrom, rev, pos + 6 + i, 'G' FROM ok, (SELECT unnest(range(4)) AS i) t UNION ALL SELECT chrom, rev, pos + 10 + nd + i, 'G' FROM ok, (SELECT unnest(range(3)) AS i) t), "
+    "ops AS (SELECT 'Insertion' AS k, ni AS n, substr('CCAGC', 1, ni) AS bases, rev, chrom, pos + 6 AS place FROM ok UNION ALL SELECT 'Deletion', nd, substr(repeat('ACGGT', 4), ((pos + 10) % 5 + 1)::INT, nd), rev, chrom, pos + 10 FROM ok UNION ALL SELECT 'Softclip', 2, '', rev, chrom, pos FROM ok), "
+    "gate AS (SELECT DISTINCT a.chrom, a.place FROM (SELECT chrom, place FROM al UNION SELECT chrom, place FROM ops) a JOIN rg ON rg.chrom = a.chrom AND a.place >= rg.s AND a.place < rg.e WHERE NOT EXISTS (SELECT 1 FROM kn WHERE kn.chrom = a.chrom AND kn.place = a.place)), "
+    "b AS (SELECT rev, substr('TACGGTA', (place % 5 + 1)::INT, 3) AS t, b FROM al JOIN gate USING (chrom, place)), "
+    "s AS (SELECT CASE WHEN rev THEN reverse(translate(t, 'ACGT', 'TGCA')) ELSE t END AS t, CASE WHEN rev THEN translate(b, 'ACGT', 'TGCA') ELSE b END AS b FROM b), "
+    f"o AS (SELECT k, n, {_REV} AS bases FROM ops JOIN gate USING (chrom, place)) "
+    "SELECT 'Total Sequenced Bases' AS \"Category\", '' AS \"Reference\", '' AS \"Sequenced\", sum(15 + ni)::BIGINT AS \"Count\" FROM ok UNION ALL SELECT 'Total Reference Bases', '', '', sum(13 + nd)::BIGINT FROM ok "
+    "UNION ALL SELECT 'Total Reference Base', substr(t, 2, 1), '', count(*) FROM s GROUP BY 2 UNION ALL SELECT 'Total Reference Triplet', t, '', count(*) FROM s GROUP BY 2 "
+    "UNION ALL SELECT 'Mismatch', substr(t, 2, 1), b, count(*) FROM s WHERE substr(t, 2, 1) <> b GROUP BY 2, 3 UNION ALL SELECT 'Mismatch Triplet', t, substr(t, 1, 1) || b || substr(t, 3, 1), count(*) FROM s WHERE substr(t, 2, 1) <> b GROUP BY 2, 3 "
+    "UNION ALL SELECT k || ' Length', '', n::VARCHAR, count(*) FROM o GROUP BY 1, 3 UNION ALL SELECT k, '', bases, count(*) FROM o WHERE n <= 3 AND k <> 'Softclip' GROUP BY 1, 3"
+)
+
+
+@register("error_profile", _PROFILE)
+def error_profile(spark: SparkSession, d: str) -> DataFrame:
+    r, reference, regions = ad.gapped(spark, d)
+    known = ad.table(spark, d, "part").select(F.concat(F.lit("chr"), (F.col("p_partkey") % 22 + 1).cast("string")).alias("chrom"), (F.col("p_partkey") * 613 % 19000).alias("pos"), F.lit("C").alias("ref"), F.lit("T").alias("alt")).distinct()
+    return errors.profile(r, reference, known=known, regions=regions)
+
+
+# Variant records: counts in INFO, annotated tables, names
+
+
+_FOUR = (
+    "r AS (SELECT p_partkey AS v, CASE WHEN p_partkey % 5 = 0 THEN 0 WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS k FROM part), "
+    "g AS (SELECT v, k, s, (s * 7 + v * 3) % 4 AS a, (s * 5 + v) % 3 AS b FROM r, (SELECT unnest(range(1, 5)) AS s) t), "
+    "al AS (SELECT v, k, s, a AS x FROM g WHERE a < 3 AND a <= k UNION ALL SELECT v, k, s, b FROM g WHERE b <= k), gf AS (SELECT *, least(a, b) AS lo, greatest(a, b) AS hi FROM g WHERE a < 3 AND a <= k AND b <= k), "
+    "c AS (SELECT v, k, (SELECT count(*) FROM al WHERE al.v = r.v) AS an, (SELECT count(*) FROM al WHERE al.v = r.v AND x = 1) AS c1, (SELECT count(*) FROM al WHERE al.v = r.v AND x = 2) AS c2, "
+    "(SELECT count(*) FROM al WHERE al.v = r.v AND s <= 2) AS pan, (SELECT count(*) FROM al WHERE al.v = r.v AND x = 1 AND s <= 2) AS p1, (SELECT count(*) FROM al WHERE al.v = r.v AND x = 2 AND s <= 2) AS p2, "
+    + ", ".join(f"(SELECT count(*) FROM gf WHERE gf.v = r.v AND hi * (hi + 1) // 2 + lo = {i}) AS g{i}" for i in range(6)) + ", (SELECT count(*) FROM gf WHERE gf.v = r.v AND lo = 1 AND hi = 1) AS h1, (SELECT count(*) FROM gf WHERE gf.v = r.v AND lo = 2) AS h2 FROM r)"
+)
+_SHARE = "CASE WHEN {0} = 0 THEN '.' ELSE printf('%.4f', {1}::DOUBLE / {0}) END"
+_PER_ALT = "CASE k WHEN 0 THEN '{0}' WHEN 1 THEN '{0}=' || {1} ELSE '{0}=' || {1} || ',' || {2} END"
+
+
+@register(
+    "info_upsert",
+    f"WITH {_FOUR} SELECT v AS variant, 'DP=' || v::VARCHAR || ';' || " + _PER_ALT.format("AF", _SHARE.format("an", "c1"), _SHARE.format("an", "c2")) + " || ';DB;AN=' || an::VARCHAR || ';' || " + _PER_ALT.format("AC", "c1::VARCHAR", "c2::VARCHAR")
+    + " || ';GenotypeCount=' || CASE k WHEN 0 THEN g0::VARCHAR WHEN 1 THEN concat_ws(',', g0, g1, g2) ELSE concat_ws(',', g0, g1, g2, g3, g4, g5) END || ';' || " + _PER_ALT.format("nhomalt", "h1::VARCHAR", "h2::VARCHAR")
+    + " AS info, " + _PER_ALT.format("AC_P", "p1::VARCHAR", "p2::VARCHAR") + " AS ac_p, " + _PER_ALT.format("AF_P", _SHARE.format("pan", "p1"), _SHARE.format("pan", "p2")) + " AS af_p FROM c",
+)
+def info_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of four samples and of a category of two (and one sample that the header lacks), put into INFO."""
+    n = F.col("variant")
+    gt = lambda s: F.concat(F.when((s * 7 + n * 3) % 4 == 3, ".").otherwise(((s * 7 + n * 3) % 4).cast("string")), F.lit("/"), ((s * 5 + n) % 3).cast("string"))
+    r = ad.records(spark, d).withColumns({"format": F.array(F.lit("GT")), "genotypes": F.array(*[F.array(gt(F.lit(s))) for s in range(1, 5)])})
+    out = alleles.add_counts(r, ["S1", "S2", "S3", "S4"], {"P": ["S1", "S2", "S9"]})
+    shown = F.transform("info", lambda e: F.when(F.size(e["values"]) == 0, e["key"]).otherwise(F.concat(e["key"], F.lit("="), F.array_join(e["values"], ","))))
+    of = lambda key: F.get(F.filter(shown, lambda x: (x == key) | x.startswith(f"{key}=")), F.lit(0))
+    return out.select(n, F.array_join(F.filter(shown, lambda x: ~x.rlike("^[A-Za-z]+_P(=|$)")), ";").alias("info"), of("AC_P").alias("ac_p"), of("AF_P").alias("af_p"))
+
+
+@register("header_with_counts", "SELECT line FROM (VALUES " + ", ".join("('##INFO=<ID={0}{1},Number={2},Type={3},Description=\"{4}\">')".format(i, s, n, t, x) for s in ("", "_P") for i, n, t, x in vcf_table.COUNT_LINES if i + s != "AF") + ") t(line)")
+def header_with_counts(spark: SparkSession, d: str) -> DataFrame:
+    added = [x for x in vcf_table.header_with_counts(_HEADER, ["", "_P"]) if x not in _HEADER]
+    return spark.createDataFrame([(x,) for x in added], "line string")
+
+
+@register(
+    "vcf_table_annotated",
+    _ANN + ", k AS (SELECT v, w, g, tx, hp, a FROM r, (SELECT unnest([1, 2]) AS a) t WHERE v % 5 <> 0 AND (a = 1 OR v % 2 = 1)), "
+    "m AS (SELECT *, tx IN ('TX2', 'TX4') AS one FROM k) SELECT v::VARCHAR AS number, a::VARCHAR AS alt_no, 'set' AS grp, v::VARCHAR AS dp_first, "
+    "CASE WHEN a = 2 OR w = 'MODIFIER' THEN '' WHEN one AND hp <> '' THEN tx || '(' || g || '):' || hp ELSE concat_ws(', ', CASE WHEN one THEN tx || '(' || g || '):c.' || v::VARCHAR END, 'TX2(GENE):c.' || v::VARCHAR) END AS canonical, "
+    "CASE WHEN a = 2 THEN 'MODIFIER' ELSE w END AS impact, CASE a WHEN 1 THEN tx || '(' || g || '):' || CASE WHEN hp <> '' THEN hp ELSE 'c.' || v::VARCHAR END || ', TX2(GENE):c.' || v::VARCHAR ELSE 'TX1(OTHER):c.' || v::VARCHAR END AS snpeff, "
+    "CASE WHEN w <> 'HIGH' THEN '' WHEN a = 2 THEN 'OTHER' WHEN g < 'GENE' THEN g || ', GENE' ELSE 'GENE, ' || g END AS high FROM m",
+)
+def vcf_table_annotated(spark: SparkSession, d: str) -> DataFrame:
+    r = ad.records(spark, d)
+    info = F.concat("info", F.array(F.struct(F.lit("ANN").alias("key"), F.col("ann").alias("values"))))
+    record = r.select(F.col("variant").alias("number"), "chrom", F.lit(1).alias("pos"), F.array().cast("array<string>").alias("id"), "ref", "alt", F.lit(".").alias("qual_raw"), F.array(F.lit("PASS")).alias("filter"), info.alias("info"), "format", F.array(F.transform("sample_values", lambda v: v)).alias("genotypes"))
+    header = ['##INFO=<ID=ANN,Number=.,Type=String,Description="a">', *_HEADER]
+    t = vcf_table.to_table(record, header, ["S"], priority_info=["DP"], canonical=["TX2", "TX4"], group="set")
+    return t.select(F.col("#").alias("number"), F.col("alt #").alias("alt_no"), F.col("Group Name").alias("grp"), F.col("DP").alias("dp_first"), F.col("Canonical Gene").alias("canonical"), F.col("SnpEff Impact").alias("impact"), F.col("SnpEff").alias("snpeff"), F.col("GeneImpact__HIGH").alias("high"))
+
+
+@register("contig_refseq", "SELECT p_partkey AS variant, CASE p_partkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '1' WHEN 2 THEN 'X' ELSE 'NC_9.9' END AS chrom FROM part")
+def contig_refseq(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    given = F.when(k == 0, "NC_000001.10").when(k == 1, "NC_000001.11").when(k == 2, "NC_000023.11").otherwise("NC_9.9")
+    return ad.table(spark, d, "part").select(F.col("p_partkey").alias("variant"), variants.replace_names(given, variants.contig_mapping(refseq_names=True, add=True)).alias("chrom"))
+
+
+@register("chromosome_lookup", "SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN 'chr1' WHEN 1 THEN '2' WHEN 2 THEN 'chr1' END AS chrom FROM orders")
+def chromosome_lookup(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_custkey") % 4
+    name = F.when(k == 0, "1").when(k == 1, "chr2").when(k == 2, "chr1").otherwise("chrUn")
+    return ad.table(spark, d, "orders").select("o_orderkey", transcripts.chromosome(name, ["chr1", "2"]).alias("chrom"))
+
+
+@register("position_order", f"WITH {ad.TRANSCRIPTS}, {ad.POSITIONS}, {ad.PLACED} SELECT tx_id, string_agg(pos::VARCHAR, ',' ORDER BY base, off, pos) AS positions FROM (SELECT DISTINCT tx_id, pos, base, off FROM placed) z GROUP BY tx_id")
+def position_order(spark: SparkSession, d: str) -> DataFrame:
+    placed = ad.tx_positions(spark, d).withColumn("p", transcripts.to_transcript(F.col("pos"))).select("tx_id", "pos", hgvs.order_key(F.col("p")).alias("key")).distinct()
+    return placed.groupBy("tx_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "pos"))), lambda x: x["pos"].cast("string")), ",").alias("positions"))
+
+
+@register("category_pairs", "SELECT c_name AS sample, unnest(['M' || c_mktsegment, 'N' || c_nationkey::VARCHAR]) AS category FROM customer")
+def category_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """A table of samples with two category columns, written and read back as pairs."""
+    path = ad.scratch(spark, "samples.csv")
+    c = ad.table(spark, d, "customer").select(F.col("c_name").alias("id"), F.concat(F.lit("M"), "c_mktsegment").alias("seg"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("nation"))
+    text.write_csv(c, path)
+    return text.read_categories(spark, path, ["id", "none"], ["seg", "nation"])
+
+
+@register("allele_count_rows", _AC + " SELECT v.variant, (SELECT count(*) FROM al WHERE al.variant = v.variant) AS an, (SELECT count(*) FROM gf WHERE gf.variant = v.variant AND lo = hi AND lo > 0) AS homs FROM v")
+def allele_count_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Counts within rows that hold all samples' genotypes."""
+    wide = ad.genotypes(spark, d).groupBy("variant", "n_alt").agg(F.collect_list("gt").alias("gts"))
+    found = alleles.row_counts(F.col("gts"), F.col("n_alt"))
+    return wide.select("variant", found["an"].alias("an"), F.aggregate(found["nhomalt"], F.lit(0).cast("long"), lambda n, x: n + x).alias("homs"))
+
+
+# Pairs of FASTQ files
+
+
+@register(
+    "illumina_report",
+    "SELECT -2::BIGINT AS rec_idx, 'READ_PREFIX' AS key, 'A00:1:FC:1' AS value UNION ALL SELECT -1, 'COMMON_INDEX', 'N:0:CC+GG' UNION ALL "
+    "SELECT event_id, 'SPECIAL_INDEX', (1101 + event_id // 1000)::VARCHAR || ' ' || (user_id % 977)::VARCHAR || ' ' || (event_id % 1000 + 1)::VARCHAR || ' N:0:AA+' || upper(substr(event_type, 1, 2)) FROM events WHERE event_id % 50 = 7",
+)
+def illumina_report(spark: SparkSession, d: str) -> DataFrame:
+    report = fastq.illumina_report(ad.illumina_mates(spark, d), chunk=1000)
+    return report.select("rec_idx", "key", F.array_join("values", " ").alias("value"))
+
+
+_FIELDS = "lpad((event_id // 100 % 900)::VARCHAR, 3, '0') || 'R' || lpad((event_id // 100 % 7)::VARCHAR, 3, '0')"
+
+
+@register("dnbseq_report", f"SELECT -1::BIGINT AS rec_idx, 'PREFIX' AS key, 'V300012L1C' AS value UNION ALL SELECT event_id, 'GROUP_ORDER', {_FIELDS} FROM events WHERE event_id % 100 = 0")
+def dnbseq_report(spark: SparkSession, d: str) -> DataFrame:
+    report = fastq.dnbseq_report(ad.flowcell(spark, d), chunk=1000)
+    return report.select("rec_idx", "key", F.array_join("values", " ").alias("value"))
+
+
+@register("dnbseq_order", f"WITH f AS (SELECT event_id, {_FIELDS} AS grp, lpad(event_id::VARCHAR, 9, '0') AS idx FROM events), r AS (SELECT grp, min(event_id) AS first FROM f GROUP BY grp) SELECT event_id AS rec_idx, grp, idx, dense_rank() OVER (ORDER BY first) - 1 AS rank FROM f JOIN r USING (grp)")
+def dnbseq_order(spark: SparkSession, d: str) -> DataFrame:
+    """Reads with the rank of their group, by the order of groups that the file's report lists."""
+    pairs = ad.flowcell(spark, d)
+    starts = fastq.dnbseq_report(pairs, chunk=1000).where("key = 'GROUP_ORDER'").select(F.col("values")[0].alias("group"), "rec_idx")
+    order = [r["group"] for r in starts.groupBy("group").agg(F.min("rec_idx").alias("at")).orderBy("at").collect()]  # a row for each field of the flow cell
+    groups = spark.createDataFrame(list(zip(order, range(len(order)))), "group string, rank long")
+    each = fastq.dnbseq_pairs(pairs).join(F.broadcast(groups), "group", "left")
+    return each.select("rec_idx", F.col("group").alias("grp"), F.col("index").alias("idx"), "rank")
+
+
+@register("special_index", "SELECT event_id AS rec_idx, CASE WHEN event_id % 50 = 7 THEN 'N:0:AA+' || upper(substr(event_type, 1, 2)) ELSE 'N:0:CC+GG' END AS index FROM events")
+def special_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index of each read, from its place and the special indexes of the file's report."""
+    pairs = ad.illumina_mates(spark, d)
+    special = fastq.illumina_report(pairs, chunk=1000).where("key = 'SPECIAL_INDEX'")
+    special = special.select(*[F.get("values", F.lit(i)).cast("int").alias(c) for i, c in enumerate(("tile", "x", "y"))], F.get("values", F.lit(3)).alias("index"))
+    places = pairs.select("rec_idx", readname.illumina_bam(F.col("name")).alias("p")).select("rec_idx", "p.tile", "p.x", "p.y")
+    return fastq.with_special_index(places, special, "N:0:CC+GG").select("rec_idx", "index")
+
+
+@register("name_type", "SELECT event_id AS rec_idx, CASE event_id % 2 WHEN 0 THEN 'Illumina' ELSE 'DNBSeq' END AS kind FROM events")
+def name_type(spark: SparkSession, d: str) -> DataFrame:
+    a, b = ad.illumina_mates(spark, d).where("rec_idx % 2 = 0"), ad.flowcell(spark, d).where("rec_idx % 2 = 1")
+    return a.unionByName(b).select("rec_idx", readname.name_type(F.col("name"), F.col("name_2")).alias("kind"))
+
+
+@register("md5_check", "SELECT md5(string_agg('@' || o_orderkey::VARCHAR || chr(10), '' ORDER BY o_orderkey)) AS md5 FROM orders")
+def md5_check(spark: SparkSession, d: str) -> DataFrame:
+    o = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("rec_idx"), F.concat(F.lit("@"), F.col("o_orderkey").cast("string")).alias("line"))
+    return spark.createDataFrame([(fastq.ordered_md5(o),)], "md5 string")
+
+
+@register(
+    "read_group_header",
+    f"WITH {ad.MATES}, f AS (SELECT rg, arg_min(rec_idx, rec_idx) AS first FROM mt GROUP BY rg) SELECT 'rg' || i::VARCHAR AS id, 's' || i::VARCHAR AS sample, CASE WHEN i = 2 THEN 'a_1.fq' ELSE '' END AS fastq1, CASE WHEN first IS NULL THEN '' ELSE 'ILLUMINA' END AS read_type FROM (SELECT unnest(range(8)) AS i) t LEFT JOIN f ON f.rg = 'rg' || i::VARCHAR",
+)
+def read_group_header(spark: SparkSession, d: str) -> DataFrame:
+    header = ["@HD\tVN:1.6\tSO:coordinate", *[f"@RG\tID:rg{i}\tSM:s{i}\tPU:u" for i in range(8)], "@PG\tID:bwa\tPN:bwa\tCL:bwa mem -t 4 -R @RG\\tID:rg2\\tSM:s2 ref.fa a_1.fq a_2.fq"]
+    m = ad.mates(spark, d).select("rg", "rec_idx", F.concat_ws(":", F.lit("A00:1:FC:1:1101"), F.col("rec_idx").cast("string"), F.lit("7")).alias("qname"))
+    return sam_header.read_group_table(spark, header, reads.read_groups(m)).select("id", "sample", "fastq1", "read_type")
+
+
+# Files, written and read back
+
+
+@register("bed_file", f'WITH {ad.INTERVALS} SELECT chrom, s AS start, e AS "end" FROM iv')
+def bed_file(spark: SparkSession, d: str) -> DataFrame:
+    path = ad.scratch(spark, "a.bed")
+    text.write_bed(ad.intervals(spark, d), path)
+    return text.read_bed(spark, path).select("chrom", "start", "end")
+
+
+@register("vcf_file", "SELECT (p_partkey % 22 + 1)::VARCHAR AS chrom, p_partkey AS pos, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'A,TT' END AS alt, 'DP=' || p_partkey::VARCHAR || ';AF=' || (p_partkey % 7)::VARCHAR || ',' || (p_partkey % 3)::VARCHAR || ';DB' AS info, (p_partkey % 3)::VARCHAR || ':7:' || p_partkey::VARCHAR AS sample FROM part")
+def vcf_file(spark: SparkSession, d: str) -> DataFrame:
+    path = ad.scratch(spark, "a.vcf")
+    r = ad.records(spark, d)
+    none = F.array().cast("array<string>")
+    text.write_vcf(r.select(F.col("variant").alias("rec_idx"), "chrom", F.col("variant").alias("pos"), none.alias("id"), "ref", "alt", F.lit(".").alias("qual_raw"), none.alias("filter"), "info", "format", F.array("sample_values").alias("genotypes")), _HEADER, path)
+    back = text.read_vcf(spark, path)
+    info = F.transform("info", lambda e: F.when(F.size(e["values"]) == 0, e["key"]).otherwise(F.concat(e["key"], F.lit("="), F.array_join(e["values"], ","))))
+    return back.select("chrom", "pos", F.array_join("alt", ",").alias("alt"), F.array_join(info, ";").alias("info"), F.array_join(F.col("genotypes")[0], ":").alias("sample"))
+
+
+@register("sam_file", f"WITH {ad.MATES} SELECT qname::VARCHAR AS qname, flag, rec_idx AS pos, 'NM:i:1,RG:Z:' || rg AS tags FROM mt")
+def sam_file(spark: SparkSession, d: str) -> DataFrame:
+    path = ad.scratch(spark, "a.sam")
+    m = ad.mates(spark, d).select("rec_idx", F.col("qname").cast("string").alias("qname"), "flag", F.lit("c").alias("rname"), F.col("rec_idx").alias("pos"), F.lit(60).alias("mapq"), F.lit("4M").alias("cigar"), F.lit("*").alias("rnext"), F.lit(-1).alias("pnext"), F.lit(0).alias("tlen"), F.lit("ACGT").alias("seq"), F.lit("IIII").alias("qual"), "tags")
+    text.write_sam(m, ["@HD\tVN:1.6", "@SQ\tSN:c\tLN:100"], path)
+    return text.read_sam(spark, path).select("qname", "flag", "pos", F.array_join("tags", ",").alias("tags"))
+
+
+@register("fastq_file", f"WITH {ad.SEQUENCES} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS rec_idx, 'r' || doc_id::VARCHAR AS name, seq FROM sq WHERE length(seq) > 0")
+def fastq_file(spark: SparkSession, d: str) -> DataFrame:
+    path = ad.scratch(spark, "a.fq")
+    s = ad.sequences(spark, d).where("length(seq) > 0")
+    text.write_fastq(s.select(F.col("doc_id").alias("rec_idx"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("name"), "seq", F.regexp_replace("seq", ".", "@").alias("qual")), path)
+    return text.read_fastq(spark, path).select("rec_idx", "name", "seq")
+
+
+@register("fasta_file", f"WITH {ad.SEQUENCES} SELECT 'c' || doc_id::VARCHAR AS name, length(seq) AS length, md5(seq) AS md5 FROM sq WHERE length(seq) > 0")
+def fasta_file(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs written in lines of 60, read back as pieces and put together again."""
+    path = ad.scratch(spark, "a.fa")
+    s = ad.sequences(spark, d).where("length(seq) > 0")
+    body = s.select("doc_id", F.concat(F.lit(">c"), F.col("doc_id").cast("string"), F.lit(" x\n"), F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")).alias("value"))
+    body.orderBy("doc_id").select("value").write.text(path)
+    pieces = text.read_fasta_pieces(spark, path).groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    return pieces.select("name", F.length("seq").cast("long").alias("length"), F.md5(F.col("seq").cast("binary")).alias("md5"))
+
+
+@register("refgene_file", f"WITH {ad.TRANSCRIPTS} SELECT tx.tx_id::VARCHAR AS tx_id, chrom, CASE WHEN fwd THEN '+' ELSE '-' END AS strand, ts AS tx_start, te AS tx_end, count(*) AS exons, len AS length FROM tx JOIN ex ON ex.tx_id = tx.tx_id GROUP BY ALL")
+def refgene_file(spark: SparkSession, d: str) -> DataFrame:
+    path = ad.scratch(spark, "refgene.txt")
+    t = ad.transcripts(spark, d)
+    ends = lambda key: F.concat(F.array_join(F.transform("exons", lambda e: e[key].cast("string")), ","), F.lit(","))
+    t = t.select(F.lit(1).alias("bin"), "tx_id", "chrom", "strand", "tx_start", "tx_end", F.coalesce("cds_start", "tx_end").alias("lo"), F.coalesce("cds_end", "tx_end").alias("hi"), F.size("exons").alias("n"), ends("start").alias("s"), ends("end").alias("e"), F.lit(0).alias("score"), "gene", F.lit("cmpl").alias("a"), F.lit("cmpl").alias("b"), F.lit("0,").alias("frames"))
+    text.write_tsv(t, path, header=False)
+    back = transcripts.on_genome(text.read_refgene(spark, path), spark.range(1, 23).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("name")))
+    return back.select("tx_id", "chrom", "strand", "tx_start", "tx_end", F.size("exons").cast("long").alias("exons"), transcripts.transcript_length().alias("length"))
+
+
+@register("gene_table", f"WITH {ad.TRANSCRIPTS} SELECT tx_id, chrom, ts AS tx_start FROM tx")
+def gene_table(spark: SparkSession, d: str) -> DataFrame:
+    path = ad.scratch(spark, "genes")
+    transcripts.write_genes(ad.transcripts(spark, d), path)
+    return transcripts.read_genes(spark, path).select("tx_id", "chrom", "tx_start")
+
+
+@register("table_csv", "SELECT c_name AS name, c_mktsegment || ', \"' || c_custkey::VARCHAR || '\"' AS note, CASE WHEN c_custkey % 2 = 0 THEN c_custkey::VARCHAR END AS half FROM customer")
+def table_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = ad.scratch(spark, "t.csv")
+    c = ad.table(spark, d, "customer")
+    text.write_csv(c.select(F.col("c_name").alias("name"), F.concat("c_mktsegment", F.lit(', "'), F.col("c_custkey").cast("string"), F.lit('"')).alias("note"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).alias("half")), path)
+    return spark.read.csv(path, header=True, escape='"')
+
+
+@register("table_tsv", "SELECT c_name AS a, '\"' || c_mktsegment AS b FROM customer")
+def table_tsv(spark: SparkSession, d: str) -> DataFrame:
+    path = ad.scratch(spark, "t.tsv")
+    text.write_tsv(ad.table(spark, d, "customer").select("c_name", F.concat(F.lit('"'), "c_mktsegment").alias("note")), path)
+    return text.read_tsv(spark, path).where(F.col("fields")[0] != "c_name").select(F.col("fields")[0].alias("a"), F.col("fields")[1].alias("b"))
+
+
+@register("mapping_file", "SELECT 'k' || (c_custkey % 50)::VARCHAR AS key, 'v' || max(c_custkey)::VARCHAR AS value FROM customer GROUP BY 1")
+def mapping_file(spark: SparkSession, d: str) -> DataFrame:
+    """A mapping with repeated keys, of which the last row counts."""
+    path = ad.scratch(spark, "m.tsv")
+    c = ad.table(spark, d, "customer").select(F.concat(F.lit("k"), (F.col("c_custkey") % 50).cast("string")).alias("k"), F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("v"), "c_custkey").orderBy("c_custkey")
+    text.write_tsv(c.coalesce(1).select("k", "v"), path, header=False)
+    return spark.createDataFrame(sorted(text.last_of_each(text.read_mapping(spark, path)).items()), "key string, value string")
+
+
+@register("file_hashes", "SELECT doc_id, sha256(text) || '  ' || doc_id::VARCHAR AS line FROM documents WHERE text IS NOT NULL")
+def file_hashes(spark: SparkSession, d: str) -> DataFrame:
+    docs = ad.table(spark, d, "documents").where("text IS NOT NULL").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("doc_id").cast("string").alias("path"))
+    lines = text.hash_lines(docs)
+    return lines.select(F.substring_index("value", "  ", -1).cast("long").alias("doc_id"), F.col("value").alias("line"))
+
+
+@register("row_count", "SELECT count(*) AS n FROM orders")
+def row_count(spark: SparkSession, d: str) -> DataFrame:
+    df, seen = text.counted(ad.table(spark, d, "orders"))
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"],)], "n long")

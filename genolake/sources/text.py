@@ -1,6 +1,7 @@
-"""Readers and writers of the line formats: intervals, variants, reads, gene models, references, mappings.
+"""Readers and writers of the line formats: intervals, variants, reads, gene models, references, mappings, tables.
 
-Every reader keeps the place of a record in its file (file, rec_idx), as order is data in these formats.
+Every reader keeps the place of a record (rec_idx), as order is data in these formats. It orders the lines of one file;
+of several files read at once the larger ones come first, so where the files' order counts, read them one by one.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def write_fastq(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name and seq of each contig; each file is read by one task as a stream of lines, as a contig is one row."""
+    """name and seq of each contig, for files below 2 GB, as a contig is one row; others go by read_fasta_pieces()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,10 +127,38 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, seq string")
 
 
+def read_fasta_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """name, at (0-based) and seq of each sequence line: a contig of any length, spread over the file's splits.
+
+    Names are carried over and lengths summed up within a split; from the splits before come one row for each and the
+    contigs that they hold.
+    """
+    from pyspark.sql import Window as W
+
+    named = F.when(F.col("line").startswith(">"), F.regexp_extract("line", r"^>\s*(\S*)", 1))
+    rows = lines(spark, path).select("rec_idx", F.shiftright("rec_idx", 33).alias("part"), named.alias("head"), F.trim("line").alias("seq"))
+    heads = rows.groupBy("part").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("rec_idx"))).alias("last"))
+    carried = heads.select("part", F.last("last", True).over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    inside = W.partitionBy("part").orderBy("rec_idx").rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.join(F.broadcast(carried), "part").withColumn("name", F.coalesce(F.last("head", True).over(inside), "carried"))
+    placed = placed.where("head IS NULL AND name IS NOT NULL AND seq <> ''")
+    size = F.octet_length("seq")
+    sums = placed.groupBy("part", "name").agg(F.sum(size).alias("n"))
+    before = sums.select("part", "name", F.coalesce(F.sum("n").over(W.partitionBy("name").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum(size).over(W.partitionBy("part", "name").orderBy("rec_idx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    met = placed.withColumn("within", within).join(F.broadcast(before), ["part", "name"])  # a row for each split and contig in it
+    return met.select("name", (F.col("before") + F.col("within")).alias("at"), "seq")
+
+
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="name string, length long, offset long, line_bases int, line_width int")
 
 
+def whole_contigs(fai: DataFrame) -> DataFrame:
+    """The intervals of all contigs of an index."""
+    return fai.select(F.col("name").alias("chrom"), F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
+
+
 def read_refgene(spark: SparkSession, path: str) -> DataFrame:
     """Gene models of 16 columns; the exons become an array of (start, end)."""
     schema = "bin int, tx_id string, chrom string, strand string, tx_start long, tx_end long, cds_lo long, cds_hi long, exon_count long, starts string, ends string, score long, gene string, cds_start_stat string, cds_end_stat string, frames string"
@@ -146,6 +175,73 @@ def read_mapping(spark: SparkSession, path: str, header: bool = False) -> DataFr
     return raw.select(F.col(raw.columns[0]).alias("from"), F.col(raw.columns[1]).alias("to"), F.monotonically_increasing_id().alias("ord"))
 
 
+def last_of_each(mapping: DataFrame) -> dict[str, str]:
+    """A mapping (from, to, ord) as a dictionary on the driver; of a repeated key the last row counts."""
+    kept = mapping.groupBy("from").agg(F.max_by("to", "ord").alias("to"))
+    return {r["from"]: r["to"] for r in kept.collect()}
+
+
+def read_categories(spark: SparkSession, path: str, ids: list[str], categories: list[str]) -> DataFrame:
+    """sample and category, distinct: every pair of the named id and category columns of each row of a table with a header."""
+    raw = spark.read.csv(path, sep="," if path.endswith(".csv") else "\t", header=True)
+    given = lambda names: F.array(*[F.col(f"`{c}`") for c in names if c in raw.columns]).cast("array<string>")
+    return raw.select(F.explode(given(ids)).alias("sample"), given(categories).alias("c")).select("sample", F.explode("c").alias("category")).where("sample IS NOT NULL AND category IS NOT NULL").distinct()
+
+
+def read_list(spark: SparkSession, path: str) -> list[str]:
+    """A file of one id a line, blank lines left out, as a list on the driver."""
+    return [r["line"] for r in lines(spark, path).select("rec_idx", F.trim("line").alias("line")).where("line <> ''").orderBy("rec_idx").collect()]
+
+
+def read_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """rec_idx and fields of each line, split at tabs; nothing is unquoted."""
+    return lines(spark, path).select("rec_idx", F.split("line", "\t").alias("fields"))
+
+
+def write_tsv(df: DataFrame, path: str, order: list[str] | None = None, header: bool = True) -> None:
+    """Texts joined by tabs, nothing quoted, the header first; null is empty."""
+    columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+    sorted_ = df.orderBy(*order) if order else df
+    body = sorted_.select(F.monotonically_increasing_id().alias("i"), F.concat_ws("\t", *columns).alias("value"))
+    head = df.sparkSession.createDataFrame([(-1, "\t".join(df.columns))] if header else [], "i long, value string")
+    head.unionByName(body).orderBy("i").select("value").write.mode("overwrite").text(path)
+
+
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Comma-separated, quoted only where needed, null and empty as nothing; each part file has the header."""
+    texts = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
+    (texts.orderBy(*order) if order else texts).write.mode("overwrite").csv(path, header=True, quoteAll=False, escape='"', emptyValue="", nullValue="")
+
+
+def concatenate(spark: SparkSession, paths: list[str], out: str, codec: str = "none") -> None:
+    """The lines of files of any codec one after the other, in the files' order, as one ordered output."""
+    each = [lines(spark, p).select(F.lit(i).alias("file"), "rec_idx", F.col("line").alias("value")) for i, p in enumerate(paths)]
+    joined = each[0]
+    for more in each[1:]:
+        joined = joined.unionByName(more)
+    joined.orderBy("file", "rec_idx").select("value").write.mode("overwrite").option("compression", codec).text(out)
+
+
+def absolute(path: str) -> str:
+    """The path without links and steps back."""
+    import os
+
+    return os.path.realpath(path)
+
+
+def counted(df: DataFrame, name: str = "rows"):
+    """df and an observation that holds the number of its rows once it was written."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def hash_lines(hashes: DataFrame, kind: str = "sha256") -> DataFrame:
+    """Lines of a checksum list: hash, two spaces, path."""
+    return hashes.select(F.concat(F.col(kind), F.lit("  "), F.col("path")).alias("value"))
+
+
 def content_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """md5, sha1, sha256 and sha512 of whole files."""
     files = spark.read.format("binaryFile").load(path)

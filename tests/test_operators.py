@@ -1,12 +1,14 @@
 """Golden values of the reference's semantics, on inline fixtures."""
 
+import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from genolake.functions import genotype, hgvs, readname, seq
-from genolake.operators import alleles, errors, intervals, reads, transcripts, variants, vcf_table
+from genolake.operators import alleles, errors, fastq, intervals, reads, sam_header, transcripts, variants, vcf_table
 from genolake.sources import text
 
 
@@ -155,6 +157,201 @@ def test_order(spark):
         assert rows(reads.group_starts(groups, "g", chunk=chunk)) == [(0, "a", False), (2, "b", False), (4, "a", True), (5, "c", False)]
 
 
+def test_order_over_gaps_and_from_a_start(spark):
+    """Rows are compared with the nearest row before, whatever indexes are missing between them."""
+    df = spark.createDataFrame([(98, 5), (101, 3), (350, 4), (351, 4), (900, 1)], "rec_idx long, v int")
+    assert rows(reads.order_breaks(df, ["v"], chunk=100)) == [(101, 3), (351, 4), (900, 1)]
+    assert rows(reads.order_breaks(df.where("rec_idx = 98"), ["v"], chunk=100, start=(5,))) == [(98, 5)]
+    assert rows(reads.order_breaks(df.where("rec_idx = 98"), ["v"], chunk=100, start=(4,))) == []
+    groups = spark.createDataFrame([(98, "a"), (101, "a"), (350, "b"), (900, "a"), (901, None)], "rec_idx long, g string")
+    assert rows(reads.group_starts(groups, "g", chunk=100)) == [(98, "a", False), (350, "b", False), (900, "a", True), (901, None, False)]
+
+
+def test_zip_pairs_keeps_nulls(spark):
+    a, b = spark.createDataFrame([(0, "x"), (1, None)], "rec_idx long, s string"), spark.createDataFrame([(0, None), (1, "z")], "rec_idx long, s string")
+    assert {tuple(r) for r in reads.zip_pairs(a, b).collect()} == {(0, "x", None), (1, None, "z")}
+
+
+def test_canonical_list(spark):
+    log = ["\t\tA\tB\tTX0\t5", "\t\tgeneName\tgeneId\ttranscriptId\tcdsLength", "\t\tABC1\tENSG7\tTX9.2\t1200", "\tno", "\t\tshort\tone", "x", "\t\t D \tENSG8\tTX10"]
+    got = variants.canonical_transcripts(spark.createDataFrame(list(enumerate(log)), "rec_idx long, line string"))
+    assert rows(got) == [(2, "TX9.2"), (6, "TX10")]
+    assert variants.canonical_transcripts(spark.createDataFrame([(0, "\t\ta\tb\tc")], "rec_idx long, line string")).count() == 0
+
+
+def test_error_profile_over_chunks(spark, monkeypatch):
+    """Long reads over chunk edges against a walk base by base; deletions across edges; variants and regions gate."""
+    monkeypatch.setattr(errors, "CHUNK", 16)
+    monkeypatch.setattr(errors, "FLANK", 4)
+    rng = random.Random(9)
+    contigs = {c: "".join(rng.choice("ACGTacgt") for _ in range(n)) for c, n in (("a", 100), ("b", 16), ("c", 33))}
+    given = []
+    for i in range(60):
+        c = rng.choice("abc")
+        pos, left, seq, ops = rng.randrange(len(contigs[c]) - 8), 0, "", []
+        at = pos
+        while at < len(contigs[c]) and len(ops) < 6:
+            n = rng.randrange(1, 30 if not len(ops) % 2 else 4)
+            n = min(n, len(contigs[c]) - at)
+            kind = "M" if not len(ops) % 2 else rng.choice("ID")
+            if kind == "M":
+                seq += "".join(b if rng.random() > 0.1 else rng.choice("ACGT") for b in contigs[c][at : at + n])
+            elif kind == "I":
+                seq += "".join(rng.choice("ACGT") for _ in range(n))
+            ops.append((n, kind))
+            at += n if kind != "I" else 0
+        given.append((i, 16 * (i % 2), c, pos, 60, "".join(f"{n}{k}" for n, k in ops), seq))
+    pieces = [(c, p, s[p : p + 7]) for c, s in contigs.items() for p in range(0, len(s), 7)]
+    whole = spark.createDataFrame(list(contigs.items()), "name string, seq string")
+    cut = spark.createDataFrame(pieces, "name string, at long, seq string")
+    df = spark.createDataFrame(given, "rec_idx long, flag int, rname string, pos long, mapq int, cigar string, seq string")
+    turn = str.maketrans("ACGTN", "TGCAN")
+    bases_, deleted = [], {}
+    for _, flag, c, pos, _, cigar, seq in given:
+        ref, at, own = "N" + contigs[c].upper() + "N", pos, 0
+        for n, kind in re.findall(r"(\d+)([MID])", cigar):
+            n = int(n)
+            if kind == "M":
+                bases_ += [(c, at + k, flag, ref[at + k + 1], ref[at + k : at + k + 3], seq[own + k].upper()) for k in range(n)]
+                at, own = at + n, own + n
+            elif kind == "I":
+                own += n
+            else:
+                gone = contigs[c][at : at + n].upper()
+                gone = gone.translate(turn)[::-1] if flag else gone
+                deleted[gone] = deleted.get(gone, 0) + 1
+                at += n
+    for reference in (whole, cut):
+        assert rows(errors.aligned_bases(df, reference), "chrom", "pos", "flag", "ref", "triplet", "base") == sorted(bases_)
+        assert rows(errors.aligned_bases(df, reference, mismatched=True), "chrom", "pos", "flag", "ref", "triplet", "base") == sorted(b for b in bases_ if b[3] != b[5])
+        assert dict(rows(errors.short_deletions(errors.walked(df), reference, 4))) == deleted
+    regions = spark.createDataFrame([("a", 10, 40), ("c", 0, 33)], IV)
+    known = spark.createDataFrame([("a", 12, "AC", "GT"), ("c", 20, "A", "T")], "chrom string, pos long, ref string, alt string")
+    inside = [b for b in bases_ if (b[0] == "a" and 10 <= b[1] < 40 and b[1] not in (12, 13)) or (b[0] == "c" and b[1] != 20)]
+    assert rows(errors.aligned_bases(df, whole, known=known, regions=regions), "chrom", "pos", "flag", "ref", "triplet", "base") == sorted(inside)
+    profile = {tuple(r)[:3]: r["Count"] for r in errors.profile(df, whole, known=known, regions=regions).collect()}
+    kept = [g for g in given if g[2] != "b"]
+    assert profile["Total Sequenced Bases", "", ""] == sum(len(g[6]) for g in kept)
+    assert sum(n for (k, _, _), n in profile.items() if k == "Total Reference Base") == len(inside)
+
+
+def test_names_of_two_kinds(spark):
+    pairs = [("M01-2:7:000AB:1:1101:15:20 1:N:0:1", "M01-2:7:000AB:1:1101:15:20 2:N:0:1"), ("V350L1C001R0020000017/1", "V350L1C001R0020000017/2"), ("E12BL3C001R00299/1", "E12BL3C001R00299/2")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in df.select(readname.name_type(F.col("a"), F.col("b"))).collect()] == ["Illumina", "DNBSeq", "DNBSeq"]
+    for bad in (("x", "y"), (pairs[0][0], pairs[0][0]), (pairs[1][0], pairs[2][1])):
+        with pytest.raises(Exception, match="read names"):
+            spark.createDataFrame([bad], "a string, b string").select(readname.name_type(F.col("a"), F.col("b"))).collect()
+    tags = spark.createDataFrame([(["NM:i:1", "RG:Z:a b", "H:H:1F"],)], "t array<string>")
+    assert tuple(tags.select(readname.tag_text(F.col("t"), "RG"), readname.tag_text(F.col("t"), "NM"), readname.tag_text(F.col("t"), "XX")).first()) == ("a b", None, None)
+
+
+def _mates(names, ends=(" 1:N:0:AC", " 2:N:0:AC")):
+    return [(i, n + ends[0], n + ends[1]) for i, n in enumerate(names)]
+
+
+PAIRS = "rec_idx long, name string, name_2 string"
+
+
+def test_illumina_files(spark):
+    places = ["S:1:F:2:1101:9:1", "S:1:F:2:1101:3:5", "S:1:F:2:1101:4:5", "S:1:F:2:1102:1:1"]
+    given = _mates(places[:3]) + [(3, places[3] + " 1:N:0:GG", places[3] + " 2:N:0:GG")]
+    report = fastq.illumina_report(spark.createDataFrame(given, PAIRS), chunk=2)
+    assert [(r["key"], r["values"]) for r in report.orderBy("rec_idx").collect()] == [("READ_PREFIX", ["S:1:F:2"]), ("COMMON_INDEX", ["N:0:AC"]), ("SPECIAL_INDEX", ["1102", "1", "1", "N:0:GG"])]
+    with pytest.raises(Exception, match="unexpected read order"):
+        fastq.illumina_report(spark.createDataFrame(_mates([places[1], places[0]]), PAIRS)).collect()
+    with pytest.raises(Exception, match="another prefix"):
+        fastq.illumina_report(spark.createDataFrame(_mates([places[0], "T:1:F:2:1101:9:2"]), PAIRS)).collect()
+    with pytest.raises(Exception, match="doesn't belong"):
+        fastq.illumina_report(spark.createDataFrame([(0, places[0] + " 1:N:0:AC", places[1] + " 2:N:0:AC")], PAIRS)).collect()
+    lines = [r[0] for r in fastq.report_lines(report, {"FASTQ1": "a", "FASTQ2": "b", "FASTQ1_MD5": "x", "FASTQ2_MD5": "y"}).collect()]
+    info = fastq.load_info(lines, "Illumina")
+    assert info.values["COMMON_INDEX"] == "N:0:AC" and info.special == [(1102, 1, 1, "N:0:GG")]
+    shuffled = spark.createDataFrame([(p, "ACGT", "IIII") for p in reversed(places)], "name string, seq string, qual string")
+    content = "".join(f"@{n}\nACGT\n+\nIIII\n" for _, n, _ in given)
+    info.values["FASTQ1_MD5"] = hashlib.md5(content.encode()).hexdigest()
+    out, same = fastq.restore(spark, shuffled, info, "Illumina", 1)
+    assert [r["name"] for r in out.collect()] == [n for _, n, _ in given] and same
+    for bad in (lines[:2], [*lines[:-1], "VERIFY_RESULT\tNG"], [*lines, "WHAT\tx"]):
+        with pytest.raises(ValueError):
+            fastq.load_info(bad, "Illumina")
+
+
+def test_dnbseq_files(spark):
+    names = [f"V3L1C{g}{i:05d}" for g, i in (("001R002", 1), ("001R002", 7), ("001R001", 2), ("001R001", 3), ("002R001", 1))]
+    df = spark.createDataFrame(_mates(names, ("/1", "/2")), PAIRS)
+    report = fastq.dnbseq_report(df, chunk=2)
+    assert [(r["key"], r["values"]) for r in report.orderBy("rec_idx").collect()] == [("PREFIX", ["V3L1C"]), *[("GROUP_ORDER", [g]) for g in ("001R002", "001R001", "002R001")]]
+    for bad, match in (([names[1], names[0]], "read order"), ([names[0], "V4L1C001R00200002"], "flowcell")):
+        with pytest.raises(Exception, match=match):
+            fastq.dnbseq_report(spark.createDataFrame(_mates(bad, ("/1", "/2")), PAIRS)).collect()
+    info = fastq.FastqInfo({"PREFIX": "V3L1C", "FASTQ2_MD5": ""}, [], ["001R002", "001R001", "002R001"])
+    shuffled = spark.createDataFrame([(n, "AC", "II") for n in sorted(names, reverse=True)], "name string, seq string, qual string")
+    assert [r["name"] for r in fastq.restore_dnbseq(shuffled, info, "2").collect()] == [n + "/2" for n in names]
+    with pytest.raises(Exception, match="group name"):
+        fastq.restore_dnbseq(shuffled, fastq.FastqInfo({"PREFIX": "V3L1C"}, [], ["001R002"]), None).collect()
+
+
+def test_sam_headers(spark):
+    header = ["@HD\tVN:1.5\tSO:coordinate", "@SQ\tSN:c\tLN:9\tUR:file:/x/y/ref.fa", "@RG\tID:g1\tSM:s\tPU:u", "@RG\tID:g2", "@PG\tID:bwa-mem2\tCL:bwa-mem2 mem -R @RG\\tID:g1\\tSM:s ref.fa r_1.fq r_2.fq", ""]
+    groups = sam_header.read_groups(header)
+    assert groups[0] == {"id": "g1", "sample": "s", "platform_unit": "u", "fastq1": "r_1.fq", "fastq2": "r_2.fq", "cmd": "bwa-mem2 mem -R @RG\\tID:g1\\tSM:s ref.fa r_1.fq r_2.fq"}
+    assert groups[1]["fastq1"] == "" and sam_header.read_group_id("@RG\tSM:x\tID:ab-1\tPU:z") == "ab-1"
+    table = sam_header.read_group_table(spark, header, spark.createDataFrame([("g1", "V3L1C001R00212"), ("zz", "q")], "rg string, first_qname string"), "p")
+    assert rows(table, "path", "id", "read_type", "read_prefix") == [("p", "g1", "DNBSEQ", "V3L1C"), ("p", "g2", "", "")]
+    assert sam_header.unified(header, "@RG\tID:n", "tool")[:3] == ["@HD\tVN:1.6", "@SQ\tSN:c\tLN:9\tUR:/ref.fa", "@RG\tID:n"]
+    assert sam_header.unsorted(header)[0] == "@HD\tVN:1.5\tSO:unsorted" and sam_header.with_comment(["x"], "done")[-1] == "@CO\tdone"
+    with pytest.raises(ValueError):
+        sam_header.read_groups(["@RG\tSM:x"])
+
+
+def test_counts_in_info(spark):
+    schema = "format array<string>, alt array<string>, info array<struct<key:string,values:array<string>>>, genotypes array<array<string>>"
+    info = [("AC", ["9"]), ("X", [])]
+    given = [(["DP", "GT"], ["A", "C"], info, [["1", "0/2"], ["1", "2|2"], ["1", "./1"]]), (["DP"], ["A"], info, [["1"], ["1"], ["1"]])]
+    out = alleles.add_counts(spark.createDataFrame(given, schema), ["p", "q", "r"], {"K": ["q", "gone"]}).collect()
+    got = {e["key"]: e["values"] for e in out[0]["info"]}
+    assert [e["key"] for e in out[0]["info"]][:6] == ["AC", "X", "AN", "AF", "GenotypeCount", "nhomalt"]
+    assert (got["AN"], got["AC"], got["AF"], got["GenotypeCount"], got["nhomalt"]) == (["5"], ["1", "3"], ["0.2000", "0.6000"], ["0", "0", "0", "1", "0", "1"], ["0", "1"])
+    assert (got["AN_K"], got["AC_K"], got["AF_K"], got["nhomalt_K"]) == (["2"], ["0", "2"], ["0.0000", "1.0000"], ["0", "1"])
+    none = {e["key"]: e["values"] for e in out[1]["info"]}
+    assert (none["AN"], none["AC"], none["AF"], none["GenotypeCount"]) == (["0"], ["0"], ["."], ["0", "0", "0"])
+
+
+def test_names_and_small_parts(spark, tmp_path):
+    assert len(variants.refseq()) == 49 and variants.refseq()["NC_000024.10"] == "Y" and variants.refseq()["NC_012920.1"] == "MT"
+    assert variants.contig_mapping(refseq_names=True, add=True)["NC_000001.11"] == "1" and variants.contig_mapping(table={"a": "b"}) == {"a": "b"}
+    assert vcf_table.header_with_names(["##contig=<ID=1,assembly=x,length=7>", "##contig=<ID=2>", "#CHROM"], {"1": "chr1"}) == ["##contig=<ID=chr1,length=7>", "##contig=<ID=2>", "#CHROM"]
+    assert variants.chosen_fields(["a", "b", "c"], exclude=["b"]) == ["a", "c"] and variants.chosen_fields(["a"], ["c", "a", "c"]) == ["c", "a"]
+    assert variants.group_names(["/x/y/a.vcf", "/x/z/b.vcf"]) == ["y/a.vcf", "z/b.vcf"]
+    assert sorted(variants.shuffled_samples(["a", "b", "c"], 1)) == ["a", "b", "c"]
+    assert variants.sample_index(["s1", "s2", "s3"], {"s3": "C", "s1": "A", "zz": "Z"}) == (["C", "A"], [2, 0])
+    assert variants.sample_index(["s1", "s2", "s3"], {"s3": "C", "s1": "A"}, ["A", "Q"]) == (["A"], [0])
+    known = spark.createDataFrame([("chr1",), ("1",), ("chr2",), ("3",)], "n string").select(transcripts.chromosome(F.col("n"), ["chr1", "2"]).alias("c"))
+    assert [r[0] for r in known.collect()] == ["chr1", "chr1", "2", None]
+    with pytest.raises(Exception, match="unknown strand"):
+        spark.createDataFrame([("x",)], "s string").select(transcripts.checked(F.col("s"), transcripts.STRANDS, "strand")).collect()
+    ranges = spark.createDataFrame([("n.3", "n.3"), ("n.3", "n.9+2")], "a string, b string").select(hgvs.show_range(F.lit("n"), F.col("a"), F.col("b")))
+    assert [r[0] for r in ranges.collect()] == ["n.3", "n.3_9+2"]
+    at = [("-", 4, 0), ("-", 1, 0), ("", 0, -2), ("", 0, 0), ("", 0, 3), ("", 7, 0), ("*", 0, 0)]
+    df = spark.createDataFrame(at, "side string, base long, offset long").withColumn("k", hgvs.order_key(F.struct("base", "offset"), F.col("side")))
+    assert [tuple(r)[:3] for r in df.orderBy("k").collect()] == at
+    header = ["##fileformat=VCFv4.2", '##INFO=<ID=AF,Number=A,Type=Float,Description="x">', '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="x">', "#CHROM"]
+    assert variants.create_table_sql("t", vcf_table.table_columns(header, ["#", "POS", "AF", "S__DP", "QUAL", "ALT"])) == "CREATE TABLE t(POS INTEGER, AF REAL, S__DP INTEGER, QUAL REAL, ALT TEXT);"
+    (tmp_path / "b.csv").write_text("id,x,y\n1,a,b\n2,a,a\n")
+    assert rows(text.read_categories(spark, str(tmp_path / "b.csv"), ["id"], ["x", "y"])) == [("1", "a"), ("1", "b"), ("2", "a")]
+    (tmp_path / "l.txt").write_text("TX1\n\n TX2 \n")
+    assert text.read_list(spark, str(tmp_path / "l.txt")) == ["TX1", "TX2"]
+    (tmp_path / "c.fai").write_text("c\t12\t3\t4\t5\n")
+    assert rows(text.whole_contigs(text.read_fai(spark, str(tmp_path / "c.fai")))) == [("c", 0, 12)]
+    text.concatenate(spark, [str(tmp_path / "l.txt"), str(tmp_path / "b.csv")], str(tmp_path / "cat"), "gzip")
+    assert [r[0] for r in spark.read.text(str(tmp_path / "cat")).collect()] == ["TX1", "", " TX2 ", "id,x,y", "1,a,b", "2,a,a"]
+    (tmp_path / "link").symlink_to(tmp_path / "l.txt")
+    assert text.absolute(f"{tmp_path}/x/../link") == str(tmp_path / "l.txt")
+    (tmp_path / "r.fa").write_text("junk\n>c1 d\nACG\nTT\n\n>c2\nA\n")
+    assert rows(text.read_fasta_pieces(spark, str(tmp_path / "r.fa"))) == [("c1", 0, "ACG"), ("c1", 3, "TT"), ("c2", 0, "A")]
+
+
 def test_zip_pairs_needs_equal_length(spark):
     a, b = spark.createDataFrame([(0, "x"), (1, "y")], "rec_idx long, s string"), spark.createDataFrame([(0, "z")], "rec_idx long, s string")
     with pytest.raises(Exception, match="differ in length"):
@@ -176,10 +373,10 @@ def test_formats_round_trip(spark, tmp_path):
     text.write_bed(bed, str(tmp_path / "out"))
     assert rows(text.read_bed(spark, str(tmp_path / "out")), "chrom", "columns") == [("M", ["a", "b c"]), ("X", ["A"]), ("Y", [])]
     header = ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB"]
-    record = "13\t32918303\t.\tGAA\tG,GAAA\t100\tPASS\tAC=1,2;FLAG;DP=9\tGT:AD\t1/2:1,8\t0/2:.\n"
+    record = "7\t501\t.\tCTT\tC,CTTTT\t41.5\tPASS\tDP=12;FLAG;XY=1,2\tGT:AD\t0/2:3,0\t1|2:.\n"
     (tmp_path / "a.vcf").write_text("\n".join(header) + "\n" + record)
     vcf = text.read_vcf(spark, str(tmp_path / "a.vcf"))
-    assert vcf.first()["alt"] == ["G", "GAAA"] and text.vcf_header(spark, str(tmp_path / "a.vcf")) == (header, ["A", "B"])
+    assert vcf.first()["alt"] == ["C", "CTTTT"] and text.vcf_header(spark, str(tmp_path / "a.vcf")) == (header, ["A", "B"])
     text.write_vcf(vcf, header, str(tmp_path / "vcf"))
     assert "\n".join(r[0] for r in spark.read.text(str(tmp_path / "vcf")).collect()) + "\n" == "\n".join(header) + "\n" + record
     (tmp_path / "a.fq").write_text("@r1 x\nACGT\n+\n@III\n@r2\nAC\n+\nII\n")
@@ -208,14 +405,19 @@ def test_queries_match_their_sql(spark):
 
 def test_vcf_table(spark, tmp_path):
     header = ["##fileformat=VCFv4.2", '##INFO=<ID=AC,Number=A,Type=Integer,Description="x">', '##INFO=<ID=AN,Number=1,Type=Integer,Description="x">', '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="x">', '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="x">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="x">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA"]
-    lines = ["13\t32889968\t.\tG\tA\t25743.5\t.\tAC=54;AN=54\tGT:AD:DP\t1/1:0,14:14", "13\t32918303\t.\tGAA\tG,GAAA\t14400.5\t.\tAC=27,26;AN=54\tGT:AD:DP\t1/2:1,8,10:19"]
+    lines = ["4\t77\trs1\tC\tT\t9.25\tq10\tAC=3;AN=8\tGT:AD:DP\t0/1:6,2:8", "4\t91\t.\tTA\tT,TAA\t.\t.\tAC=1,2;AN=8\tGT:AD:DP\t1/2:2,3,7:16", "5\t5\t.\tG\tA\t1\t.\tAN=0\tGT:AD:DP\t./.:0,4:0"]
     (tmp_path / "a.vcf").write_text("\n".join(header + lines) + "\n")
-    records = text.read_vcf(spark, str(tmp_path / "a.vcf")).withColumn("number", F.when(F.col("pos") == 32889968, 1).otherwise(2))
+    records = text.read_vcf(spark, str(tmp_path / "a.vcf")).withColumn("number", F.when(F.col("pos") == 77, 1).when(F.col("pos") == 91, 2).otherwise(3))
     split = vcf_table.to_table(records, header, ["A"])
     assert split.columns == ["#", "alt #", "CHROM", "POS", "ID", "REF", "ALT", "A__VAF", "QUAL", "FILTER", "AC", "AN", "A__AD__Ref", "A__AD__Alt", "A__DP", "A__GT"]
-    assert rows(split) == [("1", "1", "13", "32889968", "", "G", "A", "1.000", "25743.5", "", "54", "54", "0", "14", "14", "1/1"), ("2", "1", "13", "32918303", "", "GAA", "G", "0.421", "14400.5", "", "27", "54", "1", "8", "19", "1/2"), ("2", "2", "13", "32918303", "", "GAA", "GAAA", "0.526", "14400.5", "", "26", "54", "1", "10", "19", "1/2")]
+    assert rows(split) == [
+        ("1", "1", "4", "77", "rs1", "C", "T", "0.250", "9.25", "q10", "3", "8", "6", "2", "8", "0/1"),
+        ("2", "1", "4", "91", "", "TA", "T", "0.188", "", "", "1", "8", "2", "3", "16", "1/2"),
+        ("2", "2", "4", "91", "", "TA", "TAA", "0.438", "", "", "2", "8", "2", "7", "16", "1/2"),
+        ("3", "1", "5", "5", "", "G", "A", "inf", "1", "", "", "0", "0", "4", "0", "./."),
+    ]
     whole = vcf_table.to_table(records, header, ["A"], split=False).where("`#` = 2").first()
-    assert (whole["ALT"], whole["A__VAF"], whole["AC"], whole["A__AD__Alt"]) == ("G,GAAA", "0.421,0.526", "27,26", "8,10")
+    assert (whole["ALT"], whole["A__VAF"], whole["AC"], whole["A__AD__Alt"]) == ("T,TAA", "0.188,0.438", "1,2", "3,7")
 
 
 def test_headers():

@@ -31,8 +31,8 @@ UNIT = re.compile(r"\n| *[^ \n]+| +")
 SPACE = "▁"
 BYTE_COST = 4.0
 RANK_SHIFT = 2.7
-#: Units that a worker remembers; beyond that it forgets all and starts anew.
-REMEMBERED = 150_000
+#: Units that a worker remembers; beyond that it forgets those that came up once since the last time, or all but the half that came up most.
+REMEMBERED = 200_000
 #: Units whose lattices are handled at once.
 TOGETHER = 8_192
 #: Rows, and characters of text, that are searched at once; a longer text goes alone.
@@ -330,6 +330,7 @@ class Lattice(Pieces):
             logs = np.stack((np.concatenate((log_p, [x[1] for x in singly])), np.concatenate((other, [x[2] for x in singly])), np.arange(len(part)) < len(many)))
             while self.filled + len(part) > self.logs.shape[1]:
                 self.logs = np.concatenate((self.logs, np.empty_like(self.logs)), axis=1)
+                self.used = np.concatenate((self.used, np.zeros_like(self.used)))
             self.logs[:, self.filled : self.filled + len(part)] = logs
             self.filled += len(part)
 
@@ -361,17 +362,31 @@ class Lattice(Pieces):
         number = self.number
         if new := [u for u in set().union(*units) if u not in number]:
             self._add(new)
-        return [np.fromiter(map(number.__getitem__, each), np.int64, len(each)) for each in units]
+        out = [np.fromiter(map(number.__getitem__, each), np.int64, len(each)) for each in units]
+        if out:
+            self.used += np.bincount(np.concatenate(out), minlength=len(self.used))
+        return out
 
     def forget(self, more_than: int | None = None) -> None:
-        """Called between batches of texts: keep memory bounded."""
+        """Called between batches of texts: keep memory bounded. What is forgotten is worked out again, with the same result."""
         if more_than is None and len(self.units) <= REMEMBERED:
             return
-        self.number: dict[str, int] = {}
-        self.units: list[str] = []
-        self.best: list[bytes] = []
-        #: Logarithms of the probability of each unit's best segmentation and of all others', and whether it is one of many in Ways.
-        self.logs, self.filled = np.empty((3, 1 << 12)), 0
+        if more_than is not None:
+            self.number: dict[str, int] = {}
+            self.units: list[str] = []
+            self.best: list[bytes] = []
+            #: Logarithms of the probability of each unit's best segmentation and of all others', and whether it is one of many in Ways.
+            self.logs, self.filled = np.empty((3, 1 << 12)), 0
+            #: How often each unit came up since the last time that some were forgotten.
+            self.used = np.zeros(1 << 12, np.int64)
+            return
+        keep = np.flatnonzero(self.used[: self.filled] > 1)
+        if len(keep) > REMEMBERED // 2:
+            keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[: REMEMBERED // 2]])
+        self.units, self.best = [self.units[i] for i in keep.tolist()], [self.best[i] for i in keep.tolist()]
+        self.number = dict(zip(self.units, range(len(keep))))
+        self.logs[:, : len(keep)], self.filled = self.logs[:, keep], len(keep)
+        self.used[:] = 0
 
     @staticmethod
     def _barred(into: list, mass: list, barred: frozenset[bytes]) -> list:

@@ -127,6 +127,15 @@ def test_all_segmentations_however_unlikely():
     assert min(_segmentations(lattice, "a").values()) < 1e-12
 
 
+@pytest.mark.parametrize("bound", [0, 40])
+def test_what_is_forgotten_has_no_say(monkeypatch, bound):
+    texts = [words(30, i % 7) for i in range(40)]
+    whole = sentencepiece_lattice.samples(sentencepiece_lattice.Lattice(MODEL, 2.0), list(range(40)), texts, 2)
+    monkeypatch.setattr(sentencepiece_lattice, "REMEMBERED", bound)
+    small = sentencepiece_lattice.Lattice(MODEL, 2.0)
+    assert [x for i in range(0, 40, 5) for x in sentencepiece_lattice.samples(small, list(range(i, i + 5)), texts[i : i + 5], 2)] == whole
+
+
 def test_encode_and_decode(docs, empty):
     got = sentencepiece_lattice.decode(sentencepiece_lattice.encode_samples(docs, MODEL), MODEL).collect()
     allowed = {(i, t or "") for i, t in TEXTS}

@@ -66,16 +66,17 @@ def _ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     known = own.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     here = _match(F.col("tree"), F.col("t"))
     up = own.join(known, here & (F.col("parent") == F.col("n")), "left").select("tree", "node", F.col("n").alias("above"), "score", F.lit(1).cast("long").alias("steps"))
-    up = checkpoint(up)
+    done, going = checkpoint(up.where("above IS NULL")), checkpoint(up.where("above IS NOT NULL"))
     largest = own.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     tables = []
-    while up.where("above IS NOT NULL").limit(1).count() and 1 << len(tables) < largest:
-        tables.append(up.where("above IS NOT NULL").select("tree", "node", "above"))
-        step = up.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("next"), F.col("score").alias("more"), F.col("steps").alias("further"))
-        met = up.join(step, here & (F.col("above") == F.col("n")), "left")
-        up = checkpoint(met.select("tree", "node", F.col("next").alias("above"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps")))
-    parents = (tables[0] if tables else up.where("above IS NOT NULL")).select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
-    leaves = up.where("above IS NULL").join(parents, here & (F.col("node") == F.col("n")), "left_anti")
+    while going.limit(1).count() and 1 << len(tables) < largest:
+        tables.append(going.select("tree", "node", "above"))
+        step = done.unionByName(going).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("above").alias("next"), F.col("score").alias("more"), F.col("steps").alias("further"))
+        met = going.join(step, here & (F.col("above") == F.col("n")))  # only ways that don't end yet are joined again
+        met = checkpoint(met.select("tree", "node", F.col("next").alias("above"), (F.col("score") + F.col("more")).alias("score"), (F.col("steps") + F.col("further")).alias("steps")))
+        done, going = done.unionByName(met.where("above IS NULL")), met.where("above IS NOT NULL")
+    parents = (tables[0] if tables else going).select(F.col("tree").alias("t"), F.col("above").alias("n")).distinct()
+    leaves = done.join(parents, here & (F.col("node") == F.col("n")), "left_anti")
     return leaves.select("tree", F.col("node").alias("leaf"), F.col("score").alias("path_score"), F.col("steps").alias("n_nodes")), tables
 
 

@@ -374,10 +374,18 @@ class Lattice(Pieces):
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The units of each text (with a space put before it, as the model does) by number."""
         units = [UNIT.findall(" " + t) for t in texts]
-        number = self.number
-        if new := [u for u in set().union(*units) if u not in number]:
-            self._add(new)
-        out = [np.fromiter(map(number.__getitem__, each), np.int64, len(each)) for each in units]
+        found = [list(map(self.number.get, each)) for each in units]
+        holes: list[tuple[list, int, str]] = []
+        for each, got in zip(units, found):
+            at = -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                holes.append((got, at, each[at]))
+        if holes:
+            self._add(list({unit for _, _, unit in holes}))
+            for got, at, unit in holes:
+                got[at] = self.number[unit]
+        out = [np.array(got, np.int64) for got in found]
         if out:
             self.used += np.bincount(np.concatenate(out), minlength=len(self.used))
         return out

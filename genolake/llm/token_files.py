@@ -94,15 +94,21 @@ class Encoder:
             known.clear()
         runs = [self._runs(t or "") for t in texts]
         found = [list(map(known.get, each)) for each in runs]
-        short = [i for i, x in enumerate(found) if None in x]
-        if short:
-            self._learn(list({r for i in short for r, x in zip(runs[i], found[i]) if x is None}))
-            for i in short:
-                found[i] = list(map(known.__getitem__, runs[i]))
+        holes: list[tuple[list, int, bytes]] = []
+        for each, got in zip(runs, found):
+            at = -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                holes.append((got, at, each[at]))
+        if holes:
+            self._learn(list({run for _, _, run in holes}))
+            for got, at, run in holes:
+                got[at] = known[run]
         return [b"".join([*x, end]) for x in found]
 
     def _learn(self, runs: list[bytes]) -> None:
-        plain = [r for r in runs if MARK.encode() not in r and b"<|" not in r] if self.mark is not None else []
+        mark = MARK.encode()
+        plain = [r for r in runs if mark not in r and b"<|" not in r] if self.mark is not None else []
         for i in range(0, len(plain), 512):
             part = plain[i : i + 512]
             ids = np.array(self.tokenizer.encode(f" {MARK} ".join([r.decode() for r in part] + [""]), add_special_tokens=False).ids, self.kind)
@@ -111,7 +117,7 @@ class Encoder:
                 raise ValueError("the tokenizer doesn't keep words apart")
             raw, width = ids.tobytes(), self.width
             self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *((ends[:-1] + 1) * width).tolist()], (ends * width).tolist())]))
-        others = [r for r in runs if r not in self.known]
+        others = [r for r in runs if r not in self.known] if len(plain) < len(runs) else []
         for i in range(0, len(others), 4096):
             part = others[i : i + 4096]
             for run, got in zip(part, self.tokenizer.encode_batch([r.decode() for r in part], add_special_tokens=False)):

@@ -490,33 +490,39 @@ def spans(places: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarr
     return starts[at], ends[np.append(at[1:], len(ends)) - 1]
 
 
+def _kept_parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple]]:
+    """Per block a list of: id, text, starts and ends of the removed runs, kept bytes."""
+    for batch in batches:
+        for data, blobs in zip(batch.column(1), batch.column(2)):
+            block, found = _Block(data.as_py()), _places(blobs.as_py())
+            place, count = (found[0], found[1].astype(np.int64)) if found else (np.empty(0, np.int64),) * 2
+            doc = np.searchsorted(block.seen_offsets, place, "right") - 1
+            order = np.argsort(doc, kind="stable")
+            edges = np.searchsorted(doc[order], np.arange(len(block.texts) + 1))
+            out = []
+            for i, text in enumerate(block.texts):
+                mine = order[edges[i] : edges[i + 1]]
+                starts, ends = spans(place[mine] - block.seen_offsets[i], count[mine], length)
+                at = [0, *np.column_stack((starts, ends)).ravel().tolist(), len(text)]
+                out.append((None if block.nulls[i] else int(block.ids[i]), text, starts.tolist(), ends.tolist(), b"".join(text[a:b] for a, b in zip(at[::2], at[1::2]))))
+            yield out
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, starts, ends (removed runs), kept (bytes), text_hash (of the whole text, 16 bytes).
+    """One row per row of docs: doc_id, n_bytes, starts, ends (removed runs), kept (bytes).
 
     A null text is empty; a text shorter than a window loses nothing. A row with a null id loses nothing and takes
-    nothing from others. Rows of equal id don't count as smaller than each other. An empty table gives no rows.
+    nothing from others. Rows of equal id don't count as smaller than each other. Texts of any length are compared whole;
+    other columns are ignored. An empty table gives no rows.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, blobs in zip(batch.column(1), batch.column(2)):
-                block, found = _Block(data.as_py()), _places(blobs.as_py())
-                place, count = (found[0], found[1].astype(np.int64)) if found else (np.empty(0, np.int64),) * 2
-                doc = np.searchsorted(block.seen_offsets, place, "right") - 1
-                order = np.argsort(doc, kind="stable")
-                edges = np.searchsorted(doc[order], np.arange(len(block.texts) + 1))
-                out: list[list] = [[] for _ in range(6)]
-                for i, text in enumerate(block.texts):
-                    mine = order[edges[i] : edges[i + 1]]
-                    starts, ends = spans(place[mine] - block.seen_offsets[i], count[mine], length)
-                    at = [0, *np.column_stack((starts, ends)).ravel().tolist(), len(text)]
-                    kept = b"".join(text[a:b] for a, b in zip(at[::2], at[1::2]))
-                    for column, x in zip(out, (None if block.nulls[i] else int(block.ids[i]), len(text), starts.tolist(), ends.tolist(), kept, hashlib.md5(text, usedforsecurity=False).digest())):
-                        column.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "n_bytes", "starts", "ends", "kept", "text_hash"])
-
-    return covered_windows(docs, id_col, text_col, length).mapInArrow(lean(cut), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, text_hash binary")
+        for rows in _kept_parts(batches, length):
+            out = [(doc_id, len(text), starts, ends, kept_) for doc_id, text, starts, ends, kept_ in rows]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out), kinds)], ["doc_id", "n_bytes", "starts", "ends", "kept"])
+
+    return covered_windows(docs, id_col, text_col, length).mapInArrow(lean(cut), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
@@ -526,15 +532,15 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
     equal id are told apart by their texts' hash, and rows that are equal in both lose the same bytes. An empty table
     stays empty. The rows' other columns travel no further than one join by doc_id and hash; their names may be any.
     """
-    cut = dedup(docs, id_col, text_col, length).where(F.size("starts") > 0)
     theirs, hashed, rewritten = (unused(c, docs) for c in ("cut_id", "cut_hash", "cut_text"))
 
-    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [k.decode("utf-8", "ignore") for k in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [theirs, hashed, rewritten])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _kept_parts(batches, length):
+            out = [(doc_id, hashlib.md5(text, usedforsecurity=False).digest(), kept_.decode("utf-8", "ignore")) for doc_id, text, starts, _, kept_ in rows if starts]
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, (pa.int64(), pa.binary(), pa.string()))], [theirs, hashed, rewritten])
 
-    changed = cut.select("doc_id", "text_hash", "kept").mapInArrow(lean(repair), f"{theirs} long, {hashed} binary, {rewritten} string").dropDuplicates([theirs, hashed])
+    changed = covered_windows(docs, id_col, text_col, length).mapInArrow(lean(cut), f"{theirs} long, {hashed} binary, {rewritten} string").dropDuplicates([theirs, hashed])
     on = (docs[id_col] == changed[theirs]) & (F.unhex(F.md5(docs[text_col].cast("binary"))) == changed[hashed])
     joined = docs.join(changed, on, "left")
     text = F.coalesce(changed[rewritten], docs[text_col])

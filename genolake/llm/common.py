@@ -71,10 +71,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Spark's switch by which a query's shuffle files go when it has ended.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage; the rows go to the shared folder, so they outlive an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage; the rows go to the shared folder, so they outlive an executor, and the shuffles behind them go.
+
+    Else these would stay on disk until the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        return df.select("*").checkpoint()  # a query of its own, as df itself may run again
+    finally:
+        if before is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, before)
 
 
 def splitters(df: DataFrame, col: str, buckets: int) -> list[int]:

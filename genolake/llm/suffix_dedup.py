@@ -6,8 +6,9 @@ words, a hash of the whole stretch, and where it lies. Sampled splitters range-p
 leading bytes, and each bucket sorts its records by multikey quicksort (first word, then ties by the second,
 then by the stretch). Equal stretches settle all their windows at once. Where one anchor continues in different
 ways, also across the boundary of two buckets, a second round compares the windows of each different stretch
-one by one. Texts travel once, as compressed blocks, and both rounds ship packed columns that name a block and
-places in it, so Spark moves few, large rows.
+one by one. Texts travel as compressed blocks, and both rounds ship packed columns that name a block and
+places in it, so Spark moves few, large rows. What a round found is checkpointed, so its shuffle is off the disk
+before the next one writes.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, kept, lean, partitions, unused
+from .common import checkpoint, documents, kept, lean, partitions, unused
 
 LENGTH = 50
 ANCHOR = 16
@@ -112,10 +113,14 @@ class _Text:
         return at[first].astype(np.int64), first, np.flatnonzero(ends)
 
 
+#: A third level of compression saves an eighth of a text's block and costs little.
+LEVEL = 3
+
+
 def _pack(arrays: list[np.ndarray]) -> bytes:
     head = np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.char), len(a))]], np.int64)
     data = head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -218,7 +223,22 @@ def _rows(bucket: list[int], block: list[int], blob: list[bytes]) -> pa.RecordBa
 
 
 def _deltas(places: np.ndarray) -> np.ndarray:
-    return np.diff(places, prepend=0).astype(np.uint32)
+    """Differences of ascending places in four planes of bytes, of which the upper are nearly empty."""
+    return np.diff(places.astype(np.int64), prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel()
+
+
+def _undeltas(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.int64)
+
+
+def _named(kind: int, ids: np.ndarray, offsets: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """What a shipped row begins with: its kind, the ids of its documents, a bit where a record's document begins, the places (ascending).
+
+    About a bit a record tells its document, however few records of a block go to one bucket.
+    """
+    docs = np.searchsorted(offsets, places, "right") - 1
+    fresh = _changes(docs)
+    return [np.array([kind]), np.diff(ids[docs[fresh]], prepend=0), np.packbits(fresh), _deltas(places)]
 
 
 def _settled(kind: int, blocks: np.ndarray, places: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -236,13 +256,13 @@ def _places(blobs: list[bytes] | None) -> tuple[np.ndarray, ...] | None:
     if not blobs:
         return None
     parts = [_unpack(b) for b in blobs]
-    return np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in parts]), *[np.concatenate([p[i] for p in parts]) for i in range(1, len(parts[0]))]
+    return np.concatenate([_undeltas(p[0]) for p in parts]), *[np.concatenate([p[i] for p in parts]) for i in range(1, len(parts[0]))]
 
 
 def _ship(block: int, ids: np.ndarray, offsets: np.ndarray, buckets: np.ndarray, places: np.ndarray, keys: list[np.ndarray], columns: list[np.ndarray], counts: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
     """Settle what has an equal record in a smaller document of the block; ship the others, packed by bucket.
 
-    kind tells what the columns are; a shipped row holds the documents' ids and offsets, for comparing by id.
+    kind tells what the columns are; a shipped row holds the documents' ids, for comparing by them.
     """
     own = ids[np.searchsorted(offsets, places, "right") - 1]
     if keys:
@@ -257,8 +277,7 @@ def _ship(block: int, ids: np.ndarray, offsets: np.ndarray, buckets: np.ndarray,
     edges = np.append(np.flatnonzero(_changes(buckets[by])), len(by))
     for s, e in zip(edges[:-1], edges[1:]):
         part = by[s:e]
-        docs = np.unique(np.searchsorted(offsets, places[part], "right") - 1)
-        yield _rows([int(buckets[part[0]])], [block], [_pack([np.array([kind]), ids[docs], offsets[docs], _deltas(places[part]), *[c[part] for c in columns]])])
+        yield _rows([int(buckets[part[0]])], [block], [_pack([*_named(kind, ids, offsets, places[part]), *[c[part] for c in columns]])])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]] | pa.RecordBatch]]:
@@ -279,11 +298,20 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 
 def _opened(blobs: list[tuple[int, bytes]]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Per blob its kind and: the block of each record, the ids of its document, its place, and the other columns."""
-    for block, blob in blobs:
-        kind, ids, offsets, deltas, *columns = _unpack(blob)
-        places = np.cumsum(deltas, dtype=np.int64)
-        yield int(kind[0]), [np.full(len(places), block), ids[np.searchsorted(offsets, places, "right") - 1], places, *columns]
+    """Per blob its kind and: its number in the list, for each record, the id of its document, its place, and the other columns."""
+    for i, (_, blob) in enumerate(blobs):
+        kind, steps, fresh, deltas, *columns = _unpack(blob)
+        places = _undeltas(deltas)
+        doc = np.cumsum(np.unpackbits(fresh, count=len(places)), dtype=np.int32) - 1
+        yield int(kind[0]), [np.full(len(places), i, np.int32), np.cumsum(steps)[doc], places.astype(np.uint32), *columns]
+
+
+def _joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The parts' columns, each as one array; the parts are let go one column after the other."""
+    out = []
+    while parts[0]:
+        out.append(np.concatenate([p.pop(0) for p in parts]))
+    return out
 
 
 #: Kinds of rows: windows found covered; records asking for the second round, their bytes together or their windows singly.
@@ -349,7 +377,7 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cuts = sorted({tuple(map(int, picked[i])) for i in places})
     n_buckets = len(cuts) + 1
     second = max(partitions(spark), n_buckets // 4)
-    blocks = _text_blocks(base, ["doc_id"]).repartition(max(partitions(spark), n_buckets), "block")
+    blocks = checkpoint(_text_blocks(base, ["doc_id"]).repartition(max(partitions(spark), n_buckets), "block"))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,13 +391,18 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if bucket < 0:
                 yield blobs
                 continue
-            columns = [np.concatenate(c) for c in zip(*[columns for _, columns in _opened(blobs)])]
+            numbers = np.array([number for number, _ in blobs], np.int64)
+            columns = _joined([columns for _, columns in _opened(blobs)])
+            blobs.clear()
             order = multikey_order([*columns[3:6], columns[1]])
-            block, ids, place, w1, w2, stretch, count = (x[order] for x in columns)
+            for i, column in enumerate(columns):
+                columns[i] = column[order]
+            del order, column
+            row, ids, place, w1, w2, stretch, count = columns
             new = _changes(w1, w2)
             same = new | _changes(stretch)
             hit = ids > _leasts(ids, same)
-            yield from _settled(HIT, block[hit], place[hit], count[hit])
+            yield from _settled(HIT, numbers[row[hit]], place[hit], count[hit])
             #: Anchors that continue in more than one way and lie in more than one document, or reach into the next bucket.
             groups = np.cumsum(new) - 1
             starts = np.flatnonzero(new)
@@ -384,11 +417,11 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ask = ask[np.flatnonzero(same)][np.cumsum(same) - 1] & ~hit
             singly = ask & (reaching | (ways[groups] > TOGETHER) | (np.bincount(groups[ask], minlength=len(starts))[groups] > TOGETHER))
             for kind, rows in ((ASK_SINGLY, singly), (ASK, ask & ~singly)):
-                yield from _settled(kind, block[rows], place[rows], count[rows])
+                yield from _settled(kind, numbers[row[rows]], place[rows], count[rows])
 
     first = _dealt(blocks.mapInArrow(lean(suffixes), SHIP), n_buckets).mapInArrow(lean(sorted_buckets), SHIP)
     kinds = {"hits": HIT, "asks": ASK, "asks_singly": ASK_SINGLY}
-    by_block = first.groupBy("block").agg(*[F.collect_list(F.when(F.col("bucket") == kind, F.col("blob"))).alias(name) for name, kind in kinds.items()])
+    by_block = checkpoint(first.groupBy("block").agg(*[F.collect_list(F.when(F.col("bucket") == kind, F.col("blob"))).alias(name) for name, kind in kinds.items()]))
     asked = blocks.join(by_block, "block", "left").select("block", "data", *kinds)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,8 +446,7 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         part = np.flatnonzero(buckets == b)
                         size = count[part] + length - 1
                         at = np.repeat(place[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                        docs = np.unique(np.searchsorted(block.seen_offsets, place[part], "right") - 1)
-                        yield _rows([int(b)], [number], [_pack([np.array([BYTES]), block.ids[docs], block.seen_offsets[docs], _deltas(place[part]), count[part].astype(np.uint8), joined[at]])])
+                        yield _rows([int(b)], [number], [_pack([*_named(BYTES, block.ids, block.seen_offsets, place[part]), count[part].astype(np.uint8), joined[at]])])
                 if apart is not None:
                     order = np.argsort(apart[0])
                     at = _each(apart[0][order], apart[1][order].astype(np.int64))
@@ -427,23 +459,25 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield blobs
                 continue
             parts = []
-            for kind, columns in _opened([x for x in blobs]):
+            numbers = np.array([number for number, _ in blobs], np.int64)
+            for kind, columns in _opened(blobs):
                 if kind == BYTES:
-                    number, ids, place, count, joined = columns
+                    row, ids, place, count, joined = columns
                     count = count.astype(np.int64)
                     size = count + length - 1
                     start = np.cumsum(size) - size
                     text = _Text([joined.tobytes()], length)
                     key, check = _window_keys(text, _each(start, count))
-                    columns = [np.repeat(number, count), np.repeat(ids, count), _each(place, count), key, check]
+                    columns = [np.repeat(row, count), np.repeat(ids, count), _each(place, count).astype(np.uint32), key, check]
                 parts.append(columns)
-            number, ids, place, key, check = (np.concatenate(c) for c in zip(*parts))
+            row, ids, place, key, check = _joined(parts)
             order = multikey_order([key, check, ids])
             hit = order[ids[order] > _leasts(ids[order], _changes(key[order], check[order]))]
-            yield from _settled(HIT, number[hit], place[hit], np.ones(len(hit), np.uint8))
+            yield from _settled(HIT, numbers[row[hit]], place[hit], np.ones(len(hit), np.uint8))
 
     hits = _dealt(asked.mapInArrow(lean(windows), SHIP), second).mapInArrow(lean(compared), SHIP)
-    return blocks.join(hits.groupBy("block").agg(F.collect_list("blob").alias("hits")), "block", "left").select("block", "data", "hits")
+    found = checkpoint(hits.groupBy("block").agg(F.collect_list("blob").alias("hits")))
+    return blocks.join(found, "block", "left").select("block", "data", "hits")
 
 
 def _alike(groups: np.ndarray, side: np.ndarray, rows: np.ndarray) -> np.ndarray:

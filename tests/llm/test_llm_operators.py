@@ -353,6 +353,44 @@ def test_rewrite_of_equal_ids_and_sizes(spark):
     assert sorted(map(tuple, out.collect())) == sorted([(0, p), (1, "mine"), (1, q + "then"), (1, r[:50] + "last")])
 
 
+def test_suffix_dedup_rows_of_many_buckets():
+    """What a record ships hardly grows when a block's records go to many buckets, as they do in larger tables."""
+    rng = random.Random(12)
+    parts = [bytes(rng.choices(b"abcdefgh ", k=60)) for _ in range(300)]
+    texts = [b"".join(rng.choice(parts) + bytes(rng.choices(b"abcd", k=30)) for _ in range(8)) for _ in range(1500)]
+    text = suffix_dedup._Text(texts, 50)
+    words, _, first, count = suffix_dedup._records(text)
+    ids = np.arange(len(texts)) * 7 + 10**6
+    own = ids[np.searchsorted(text.offsets, first, "right") - 1]
+    size = {}
+    for buckets in (1, 150):
+        at = suffix_dedup._spread(suffix_dedup._mix(words[0]), buckets)
+        shipped = list(suffix_dedup._ship(3, ids, text.offsets, at, first, [], [count.astype(np.uint8)], count, suffix_dedup.RECORDS))
+        size[buckets] = sum(r.column(2).nbytes for r in shipped)
+        assert len(shipped) == buckets
+        back = [c for r in shipped for _, c in suffix_dedup._opened([(r.column(1)[0].as_py(), r.column(2)[0].as_py())])]
+        got = sorted(zip(*[np.concatenate(c).tolist() for c in list(zip(*back))[1:]]))
+        assert got == sorted(zip(own.tolist(), first.tolist(), count.tolist()))
+    assert size[150] - size[1] < 4 * len(first), (size, len(first))
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    found = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_shuffles_go_with_checkpoints(spark, docs):
+    """A round's shuffle is off the disk when its result is checkpointed; rows before a checkpoint can still be asked for."""
+    dealt = spark.range(1000).repartition(4, "id")
+    assert common.checkpoint(dealt).count() == 1000 and dealt.where("id < 10").count() == 10
+    assert spark.conf.get(common.FREED) == "false"
+    before = _shuffle_files(spark)
+    found = suffix_dedup.covered_windows(docs)
+    assert sum(size for name, size in _shuffle_files(spark).items() if name not in before) < 1000  # a count's
+    assert sum(bool(r["hits"]) for r in found.collect())
+
+
 def test_multikey_order():
     rng = np.random.default_rng(0)
     keys = [rng.integers(0, 4, 500) for _ in range(4)]

@@ -5,7 +5,7 @@ n - ceil(SIMILAR * n) + 1 of each, so an equi-join on these misses no pair, and
 shingle rule out most others. Frequent shingles of a sample come last in the order; the sample has no say in the result.
 Every bucket of a common shingle has LEADERS leaders (mostly the same in all buckets of a group), and each text is first
 compared with those, which settles most of a large group of near copies in linear time; then come only the pairs of
-texts that are not yet in one component.
+texts that are not yet in one component. Before whole sets travel, a pair is held against its sketches, an exact bound.
 """
 
 from __future__ import annotations
@@ -25,14 +25,18 @@ from .simhash import _word_hashes
 SIMILAR = (4, 5)
 #: Texts of a bucket with which all others of it are compared first; the result doesn't depend on it.
 LEADERS = 16
-#: Partners of a text whose sets are compared with its own in one cell, about.
+#: Texts of a cell, whose sets are compared with those of their partners, and partners of a text in one cell, about.
 CELL = 64
 #: Pairs whose texts are looked up by a broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Different sets of shingles that a task remembers, so that copies send their prefix once; others send it again.
 REMEMBERED = 500_000
-#: The order of shingles is fitted on this many documents, and on this many of their shingles, at most.
-ORDER_DOCS, ORDER_SHINGLES = 8_000, 100_000
+#: The order of shingles is fitted on this many documents, or one of ORDER_SHARE if that is more, so that a shingle it
+#: doesn't know has a bucket of bounded size; and on this many of their shingles, or a quarter of the documents' number,
+#: at most MOST_SHINGLES (16 bytes each).
+ORDER_DOCS, ORDER_SHARE, ORDER_SHINGLES, MOST_SHINGLES = 8_000, 16, 100_000, 2_000_000
+#: Bytes of sets that a task puts into one batch, about.
+BATCH = 8 << 20
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -56,10 +60,10 @@ def _frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, n
                 value, count = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(count, pa.int64())], ["shingle", "n"])
 
-    sampled = docs.select(text_col).sample(min(1.0, ORDER_DOCS / max(1, n)), 1).mapInArrow(lean(run), "shingle long, n long")
-    counted = sampled.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toPandas()
-    counted = counted.sort_values("shingle")
-    return counted["shingle"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
+    sampled = docs.select(text_col).sample(min(1.0, max(ORDER_DOCS, n // ORDER_SHARE) / max(1, n)), 1).mapInArrow(lean(run), "shingle long, n long")
+    counted = checkpoint(sampled.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2"))
+    top = counted.orderBy(F.desc("n"), "shingle").limit(max(ORDER_SHINGLES, min(MOST_SHINGLES, n // 4))).toArrow().sort_by("shingle")
+    return top["shingle"].to_numpy().astype(np.int64), top["n"].to_numpy().astype(np.int64)
 
 
 def _ordered(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -77,43 +81,115 @@ def _possible(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
     return (F.least(n_a - at_a, n_b - at_b) * (p + q) >= (n_a + n_b) * p) & (F.least(n_a, n_b) * q >= F.greatest(n_a, n_b) * p)
 
 
+def _sketch(found: np.ndarray) -> bytes:
+    """The parity of the shingles in each of at least as many cells as there are shingles, a power of two, 64 or more."""
+    bits = 1 << max(6, int(len(found) - 1).bit_length())
+    return np.packbits(np.bincount(found & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    """Shingles that only one of the sets has are this many at least: each changes one bit of its set's sketch."""
+    x, y = (np.frombuffer(s, np.uint8) for s in ((x, y) if len(x) <= len(y) else (y, x)))
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs a, b whose sketches don't rule out similarity; every similar pair is among them."""
+    p, q = SIMILAR
+    x, y = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, one, other = batch.column(2).to_pylist(), batch.column(3), batch.column(4)
+            keep = [_differing(one[i].as_py(), other[i].as_py()) * (p + q) <= n * (q - p) for i, n in enumerate(size)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b")
+    return checkpoint(met.mapInArrow(lean(run), "a long, b long"))
+
+
+def _cells(pairs: DataFrame) -> DataFrame:
+    """The pairs, each once and turned so that a has the lesser hash, with the cell (a long) in which they are compared.
+
+    Texts with the same first partner share cells, about CELL of them in each, and so their partners, which are mostly the
+    same: a set travels to few cells. A text with many partners has cells for about CELL of them each, so it's not one task.
+    """
+    before = F.xxhash64("a") <= F.xxhash64("b")
+    turned = checkpoint(pairs.where("a <> b").select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("b")).distinct())
+    texts = turned.groupBy("b").agg(F.min_by("a", F.xxhash64("a")).alias("first"), F.count("*").alias("n"))
+    texts = checkpoint(texts.select("b", "first", F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / CELL))).cast("int")).alias("chunks")))
+    cells = texts.groupBy("first", "chunks").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+    placed = texts.join(cells, ["first", "chunks"]).select("b", "chunks", F.xxhash64("first", "chunks", F.pmod(F.xxhash64("b"), F.col("cells"))).alias("place"))
+    return turned.join(placed, "b").select("a", "b", F.xxhash64("place", F.pmod(F.xxhash64("a"), F.col("chunks"))).alias("cell"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """The pairs a, b of nodes whose sets of shingles are similar.
 
-    Sets are cut from the texts once more and travel once: that of b to a cell of a, that of a to its cells, of which
-    it has one for about CELL partners, so a text with many partners is not one task. In the cells a shingle is the
-    lower 32 bits of its hash; a common one too many turns up in about one of 2^32 / (n_a * n_b) pairs.
+    Sets are cut from the texts once more and travel to the cells of their pairs. There a shingle is the lower 32 bits of
+    its hash; a common one too many turns up in about one of 2^32 / (n_a * n_b) pairs.
     """
     p, q = SIMILAR
-    pairs = checkpoint(pairs)
-    cells = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("cells"))
-    dealt = checkpoint(pairs.join(cells, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("cells")).cast("int").alias("cell")))
-    asked = dealt.select("a", "cell", F.col("b").alias("node"), F.lit(False).alias("leads")).unionByName(dealt.select("a", "cell", F.col("a").alias("node"), F.lit(True).alias("leads")).distinct())
-    asked = asked.groupBy("node").agg(F.collect_list(F.struct("a", "cell", "leads")).alias("cells")).join(least, "node").select(F.col("least").alias("wanted"), "node", "cells")
+    dealt = checkpoint(_cells(pairs))
+    asked = dealt.groupBy(F.col("b").alias("node"), "cell").agg(F.collect_list("a").alias("partners")).unionByName(dealt.select(F.col("a").alias("node"), "cell", F.array().cast("array<long>").alias("partners")).distinct())
+    asked = checkpoint(asked.groupBy("node").agg(F.collect_list(F.struct("cell", "partners")).alias("cells")).join(least, "node").select(F.col("least").alias("wanted"), "node", "cells"))
     asked = F.broadcast(asked) if dealt.count() <= BROADCAST_ROWS else asked  # at most 40 bytes for each of a pair's two sides
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     given = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("text", "node", "cells")
+    names = ["cell", "node", "partners", "shingles"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        out, size = [[] for _ in kinds], 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part, out = batch.slice(i, 64), [[] for _ in range(5)]
-                for text, node, cells in zip(part.column(0), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    found = shingles(text.as_py(), words)
-                    if _node(found) == node:  # another text may have this id too
-                        short = np.unique(found.astype(np.int32))
-                        for cell in cells:
-                            for column, x in zip(out, (cell["a"], cell["cell"], cell["leads"], node, short)):
-                                column.append(x)
-                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["a", "cell", "leads", "node", "shingles"])
-
-    known = given.mapInArrow(lean(sets), "a long, cell int, leads boolean, node long, shingles array<int>")
-    known = known.repartition("a", "cell")  # both sides of the join read this one exchange
-    lead = known.where("leads").select("a", "cell", F.col("shingles").alias("x"))
-    met = known.where("NOT leads").select("a", "cell", F.col("node").alias("b"), F.col("shingles").alias("y")).join(lead, ["a", "cell"])
-    both = F.size(F.array_intersect("x", "y"))
-    return checkpoint(met.where(both * q >= (F.size("x") + F.size("y") - both) * p).select("a", "b").distinct())
+            for i in range(batch.num_rows):
+                node = batch.column(1)[i].as_py()
+                found = shingles(batch.column(0)[i].as_py(), words)
+                if _node(found) != node:  # another text may have this id too
+                    continue
+                short = np.unique(found.astype(np.int32))
+                for cell in batch.column(2)[i].as_py():
+                    for column, x in zip(out, (cell["cell"], node, cell["partners"], short)):
+                        column.append(x)
+                    size += 4 * len(short) + 64
+                    if size >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
+                        out, size = [[] for _ in kinds], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names)
+
+    def similar(known: dict[int, np.ndarray], wanted: dict[int, set[int]]) -> pa.RecordBatch:
+        out = []
+        for b, partners in wanted.items():
+            for a in partners:
+                x, y = known[a], known[b]
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                if both * q >= (len(x) + len(y) - both) * p:
+                    out.append((a, b))
+        return pa.RecordBatch.from_arrays([pa.array([pair[i] for pair in out], pa.int64()) for i in range(2)], ["a", "b"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, known, wanted = None, {}, {}
+        for batch in batches:
+            for c, node, partners, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if c != cell:
+                    yield similar(known, wanted)
+                    cell, known, wanted = c, {}, {}
+                known[node] = found.values.to_numpy(zero_copy_only=False)
+                wanted.setdefault(node, set()).update(partners)
+        yield similar(known, wanted)
+
+    known = given.mapInArrow(lean(sets), "cell long, node long, partners array<long>, shingles array<int>")
+    return checkpoint(known.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(compared), "a long, b long").distinct())
+
+
+def _apart(crowded: DataFrame, near: DataFrame) -> DataFrame:
+    """The rows of buckets (key) whose nodes are not all in one component by the links, with the component as root."""
+    bucket = Window.partitionBy("key")
+    placed = crowded.join(components(near), "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    return checkpoint(placed.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo < hi").drop("lo", "hi"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -129,19 +205,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         seen: set[int] = set()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
-                part, nodes, sizes, prefixes = batch.slice(i, 512), [], [], []
+                part, nodes, sizes, prefixes, sketches = batch.slice(i, 512), [], [], [], []
                 for text in part.column(1):
                     found = shingles(text.as_py(), words)
                     n = len(found)
                     nodes.append(_node(found))
                     sizes.append(n)
-                    prefixes.append(_ordered(found, frequent)[: n + (-p * n // q) + 1] if n and nodes[-1] not in seen else found[:0])
+                    fresh = bool(n) and nodes[-1] not in seen
+                    prefixes.append(_ordered(found, frequent)[: n + (-p * n // q) + 1] if fresh else found[:0])
+                    sketches.append(_sketch(found) if fresh else None)
                     if len(seen) < REMEMBERED:
                         seen.add(nodes[-1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"])
+                columns = [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "prefix", "sketch"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = checkpoint(given.mapInArrow(lean(run), "doc_id long, node long, n long, prefix array<long>"))
+    marked = checkpoint(given.mapInArrow(lean(run), "doc_id long, node long, n long, prefix array<long>, sketch binary"))
     least = checkpoint(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
     keyed = marked.select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("n_at"))
     bucket = Window.partitionBy("key")
@@ -149,16 +228,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = keyed.withColumns({"lo": F.min("node").over(bucket), "hi": F.max("node").over(bucket), "rank": F.dense_rank().over(order)}).where("lo < hi")
     held = held.select("key", "node", F.shiftright("n_at", 32).alias("n"), F.col("n_at").bitwiseAND((1 << 32) - 1).alias("at"), "rank")
     crowded = checkpoint(held.dropDuplicates(["key", "node"]))
+    sketches = checkpoint(marked.where("sketch IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        return _verified(_promising(checkpoint(pairs.distinct()), sketches), docs, least, id_col, text_col, words)
+
     leaders = crowded.where(F.col("rank") <= LEADERS).select("key", *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "at", "rank")])
     stars = crowded.join(leaders, "key").where((F.col("lead_rank") < F.col("rank")) & _possible(F.col("lead_n"), F.col("lead_at"), F.col("n"), F.col("at")))
-    near = _verified(stars.select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct(), docs, least, id_col, text_col, words)
-    labels = components(near)
-    placed = crowded.select("key", "node", "n", "at").join(labels, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
-    apart = checkpoint(placed.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo < hi").drop("lo", "hi"))
+    near = similar(stars.select(F.col("lead_node").alias("a"), F.col("node").alias("b")))
+    apart = _apart(crowded, near)
     left, right = (apart.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "at", "root")]) for side in "ab")
     rest = left.join(right, "key").where((F.col("root_a") < F.col("root_b")) & _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
-    more = _verified(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), docs, least, id_col, text_col, words)
-    reached = components(near.unionByName(more))
+    reached = components(near.unionByName(similar(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))))
     rooted = least.join(reached, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.select("doc_id", "node").join(rooted.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")

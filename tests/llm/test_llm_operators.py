@@ -520,6 +520,34 @@ def test_near_copies_by_shingles(spark, empty, monkeypatch, bound):
     assert shingle_dedup.near_duplicates(empty).count() == 0
 
 
+def test_sketches_rule_out_no_similar_pair(spark):
+    """The bound on differing shingles is never too high; texts that share one line are dropped before their sets travel."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(-(1 << 63), 1 << 63, n)) for n in (1, 5, 64, 65, 700, 1000)]
+    for x, y in itertools.product(sets, sets):
+        for shared in (0, len(x) // 2, len(x) - len(x) // 20, len(x)):
+            z = np.unique(np.concatenate((x[:shared], y[shared:])))
+            assert shingle_dedup._differing(shingle_dedup._sketch(x), shingle_dedup._sketch(z)) <= len(np.setxor1d(x, z))
+    line = rng.integers(-(1 << 63), 1 << 63, 20)
+    rows = [np.unique(np.concatenate((line, rng.integers(-(1 << 63), 1 << 63, 300)))) for _ in range(20)]
+    rows += [np.unique(np.concatenate((r[:295], rng.integers(-(1 << 63), 1 << 63, 10)))) for r in rows]
+    sketches = spark.createDataFrame([(i, len(r), shingle_dedup._sketch(r)) for i, r in enumerate(rows)], "node long, n long, sketch binary")
+    pairs = spark.createDataFrame(list(itertools.combinations(range(40), 2)), "a long, b long")
+    assert sorted(map(tuple, shingle_dedup._promising(pairs, sketches).collect())) == [(i, 20 + i) for i in range(20)]
+
+
+def test_sets_travel_to_few_cells(spark):
+    """Texts with the same sixteen leaders bring their sets to a cell once, not once a leader; no pair is lost."""
+    pairs = {(a, b) for a in range(16) for b in range(16, 1016)} | {(5000, b) for b in range(5001, 5400)} | {(a, a + 7000) for a in range(9000, 9100)}
+    out = {(r["a"], r["b"], r["cell"]) for r in shingle_dedup._cells(spark.createDataFrame(sorted(pairs), "a long, b long").repartition(3)).collect()}
+    assert {(min(a, b), max(a, b)) for a, b, _ in out} == pairs and len(out) == len(pairs)
+    travel = {(node, cell) for a, b, cell in out for node in (a, b) if node < 1016}
+    per_cell = {}
+    for a, b, cell in out:
+        per_cell.setdefault(cell, set()).update((a, b))
+    assert len(travel) < 4 * 1016 and max(map(len, per_cell.values())) < 4 * shingle_dedup.CELL
+
+
 def test_perfect_hash():
     for n in (0, 1, 2, 37, 5000):
         hashes = np.array([token_files.key_hash(i) for i in range(n)], np.uint64)

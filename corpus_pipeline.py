@@ -16,7 +16,10 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (Jaccard similarity of five-word shingles at least 0.8) the document with the least id stays."""
+    """Of each component of near-duplicates (Jaccard similarity of five-word shingles at least 0.8) the document with the least id stays.
+
+    SimHash fingerprints and their pigeonring join find the nearest copies, a prefix join the others; both verify whole sets.
+    """
     return shingle_dedup.representatives(docs)
 
 

@@ -1,4 +1,8 @@
-"""Near-duplicates by exact similarity of word shingles: a set-similarity join by prefixes, then verified pairs.
+"""Near-duplicates by SimHash, with exact similarity of word shingles behind it.
+
+Each text has a SimHash fingerprint of its shingles; fingerprints at 2 or fewer differing bits are found by the pigeonring
+join of simhash.py, and such texts are linked if their sets of shingles are similar. Two bits reach the nearest copies
+only (few of similarity 0.8), so a set-similarity join by prefixes then finds every similar pair that this left apart.
 
 Shingles are put in one order for all texts. Two sets of similarity SIMILAR or more share a shingle among the first
 n - ceil(SIMILAR * n) + 1 of each, so an equi-join on these misses no pair, and the sizes and the places of a common
@@ -19,12 +23,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, lean, unused
-from .simhash import _word_hashes
+from .simhash import _word_hashes, links, majority
 
 #: Jaccard similarity from which texts are near-duplicates, as a fraction.
 SIMILAR = (4, 5)
 #: Texts of a bucket with which all others of it are compared first; the result doesn't depend on it.
 LEADERS = 16
+#: Differing bits of SimHash fingerprints up to which texts are held against each other first.
+DISTANCE = 2
 #: Texts of a cell, whose sets are compared with those of their partners, and partners of a text in one cell, about.
 CELL = 64
 #: Pairs whose texts are looked up by a broadcast; more are joined by a shuffle.
@@ -185,6 +191,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, id_col: str,
     return checkpoint(known.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(compared), "a long, b long").distinct())
 
 
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs a, b of nodes by their fingerprints (columns node, fp): each with the least of its fingerprint, and the least ones
+    of fingerprints at DISTANCE or fewer differing bits, as far as these keep the components."""
+    least = checkpoint(prints.groupBy("fp").agg(F.min("node").alias("a")))
+    same = prints.join(least, "fp").where("a <> node").select("a", F.col("node").alias("b"))
+    found = links(least.select("fp"), DISTANCE).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    one, other = (least.select(F.col("fp").alias(f"fp_{c}"), F.col("a").alias(c)) for c in "ab")
+    return same.unionByName(found.join(one, "fp_a").join(other, "fp_b").select("a", "b")).distinct()
+
+
 def _apart(crowded: DataFrame, near: DataFrame) -> DataFrame:
     """The rows of buckets (key) whose nodes are not all in one component by the links, with the component as root."""
     bucket = Window.partitionBy("key")
@@ -205,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         seen: set[int] = set()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
-                part, nodes, sizes, prefixes, sketches = batch.slice(i, 512), [], [], [], []
+                part, nodes, sizes, prefixes, sketches, prints = batch.slice(i, 512), [], [], [], [], []
                 for text in part.column(1):
                     found = shingles(text.as_py(), words)
                     n = len(found)
@@ -214,13 +230,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     fresh = bool(n) and nodes[-1] not in seen
                     prefixes.append(_ordered(found, frequent)[: n + (-p * n // q) + 1] if fresh else found[:0])
                     sketches.append(_sketch(found) if fresh else None)
+                    prints.append(majority(found.view(np.uint64)) if fresh else None)
                     if len(seen) < REMEMBERED:
                         seen.add(nodes[-1])
-                columns = [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "prefix", "sketch"])
+                prints = pa.array(prints, pa.uint64()).cast(pa.int64(), safe=False)
+                columns = [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), prints]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "prefix", "sketch", "fp"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = checkpoint(given.mapInArrow(lean(run), "doc_id long, node long, n long, prefix array<long>, sketch binary"))
+    marked = checkpoint(given.mapInArrow(lean(run), "doc_id long, node long, n long, prefix array<long>, sketch binary, fp long"))
     least = checkpoint(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
     keyed = marked.select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("n_at"))
     bucket = Window.partitionBy("key")
@@ -233,10 +251,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def similar(pairs: DataFrame) -> DataFrame:
         return _verified(_promising(checkpoint(pairs.distinct()), sketches), docs, least, id_col, text_col, words)
 
-    leaders = crowded.where(F.col("rank") <= LEADERS).select("key", *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "at", "rank")])
-    stars = crowded.join(leaders, "key").where((F.col("lead_rank") < F.col("rank")) & _possible(F.col("lead_n"), F.col("lead_at"), F.col("n"), F.col("at")))
-    near = similar(stars.select(F.col("lead_node").alias("a"), F.col("node").alias("b")))
+    near = similar(simhash_pairs(marked.where("fp IS NOT NULL").select("node", "fp").distinct()))
     apart = _apart(crowded, near)
+    leaders = apart.where(F.col("rank") <= LEADERS).select("key", *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "at", "rank", "root")])
+    stars = apart.join(leaders, "key").where((F.col("lead_rank") < F.col("rank")) & (F.col("lead_root") != F.col("root")) & _possible(F.col("lead_n"), F.col("lead_at"), F.col("n"), F.col("at")))
+    near = near.unionByName(similar(stars.select(F.col("lead_node").alias("a"), F.col("node").alias("b"))))
+    apart = _apart(apart.drop("root"), near)
     left, right = (apart.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "at", "root")]) for side in "ab")
     rest = left.join(right, "key").where((F.col("root_a") < F.col("root_b")) & _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
     reached = components(near.unionByName(similar(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))))

@@ -36,7 +36,11 @@ def _word_hashes(text: str | None, words: int) -> np.ndarray:
 
 def simhash(text: str | None, words: int = 3) -> int:
     """The fingerprint, unsigned: a bit is set if over half of the shingles' hashes have it. No words: zero."""
-    hashes = _word_hashes(text, words)
+    return majority(_word_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits, as an unsigned number, that over half of the hashes have."""
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i : i + (1 << 16)]

@@ -548,6 +548,37 @@ def test_sets_travel_to_few_cells(spark):
     assert len(travel) < 4 * 1016 and max(map(len, per_cell.values())) < 4 * shingle_dedup.CELL
 
 
+def test_near_copies_come_through_simhash(spark, monkeypatch):
+    """The stage's nearest copies are found by fingerprints and their pigeonring join; its links are then verified."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
+    rows = []
+    for base in range(12):
+        text = [word() for _ in range(400)]
+        rows += [(10 * base + copy, " ".join([*text[:-1], word()] if copy else text)) for copy in range(4)]
+    sets = {i: shingle_dedup.shingles(t) for i, t in rows}
+    prints = {shingle_dedup._node(x): simhash.majority(x.view(np.uint64)) for x in sets.values()}
+    near = {(a, b) for a, b in itertools.combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= 2}
+    given = spark.createDataFrame([(node, fp - (1 << 64) if fp >> 63 else fp) for node, fp in prints.items()], "node long, fp long")
+    pairs = {tuple(sorted((r["a"], r["b"]))) for r in shingle_dedup.simhash_pairs(given).collect()}
+    assert len(near) > 20 and pairs <= near
+
+    def groups(edges):
+        found = common.components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()
+        return {r["node"]: r["component"] for r in found}
+
+    assert groups(pairs) == groups(near)
+    import corpus_pipeline
+
+    joined, compared = [], []
+    links, verified = shingle_dedup.links, shingle_dedup._verified
+    monkeypatch.setattr(shingle_dedup, "links", lambda *a: joined.append(a) or links(*a))
+    monkeypatch.setattr(shingle_dedup, "_verified", lambda *a: compared.append(out := verified(*a)) or out)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {10 * base for base in range(12)}
+    assert len(joined) == 1 and {tuple(sorted((r["a"], r["b"]))) for r in compared[0].collect()} == pairs
+
+
 def test_perfect_hash():
     for n in (0, 1, 2, 37, 5000):
         hashes = np.array([token_files.key_hash(i) for i in range(n)], np.uint64)

@@ -2,13 +2,13 @@
 
 Each text has a SimHash fingerprint of its shingles; fingerprints at 2 or fewer differing bits are found by the pigeonring
 join of simhash.py, and such texts are linked if their sets of shingles are similar. Two bits reach the nearest copies
-only (few of similarity 0.8), so a set-similarity join by prefixes then finds every similar pair that this left apart.
+only (few of similarity 0.8), so a set-similarity join by prefixes finds the other similar pairs.
 
 Shingles are put in one order for all texts. Two sets of similarity SIMILAR or more share a shingle among the first
 n - ceil(SIMILAR * n) + 1 of each, so an equi-join on these misses no pair, and the sizes and the places of a common
 shingle rule out most others. Frequent shingles of a sample come last in the order; the sample has no say in the result.
 Every bucket of a common shingle has LEADERS leaders (mostly the same in all buckets of a group), and each text is first
-compared with those, which settles most of a large group of near copies in linear time; then come only the pairs of
+compared with those (and by SimHash), which settles most of a large group of near copies in linear time; then come only the pairs of
 texts that are not yet in one component. Before whole sets travel, a pair is held against its sketches, an exact bound.
 """
 
@@ -249,14 +249,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = checkpoint(marked.where("sketch IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        return _verified(_promising(checkpoint(pairs.distinct()), sketches), docs, least, id_col, text_col, words)
+        return _verified(_promising(pairs.distinct(), sketches), docs, least, id_col, text_col, words)
 
-    near = similar(simhash_pairs(marked.where("fp IS NOT NULL").select("node", "fp").distinct()))
+    prints = checkpoint(simhash_pairs(marked.where("fp IS NOT NULL").select("node", "fp").distinct()))
+    leaders = crowded.where(F.col("rank") <= LEADERS).select("key", *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "at", "rank")])
+    stars = crowded.join(leaders, "key").where((F.col("lead_rank") < F.col("rank")) & _possible(F.col("lead_n"), F.col("lead_at"), F.col("n"), F.col("at")))
+    near = similar(prints.unionByName(stars.select(F.col("lead_node").alias("a"), F.col("node").alias("b"))))
     apart = _apart(crowded, near)
-    leaders = apart.where(F.col("rank") <= LEADERS).select("key", *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "at", "rank", "root")])
-    stars = apart.join(leaders, "key").where((F.col("lead_rank") < F.col("rank")) & (F.col("lead_root") != F.col("root")) & _possible(F.col("lead_n"), F.col("lead_at"), F.col("n"), F.col("at")))
-    near = near.unionByName(similar(stars.select(F.col("lead_node").alias("a"), F.col("node").alias("b"))))
-    apart = _apart(apart.drop("root"), near)
     left, right = (apart.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "at", "root")]) for side in "ab")
     rest = left.join(right, "key").where((F.col("root_a") < F.col("root_b")) & _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
     reached = components(near.unionByName(similar(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))))

@@ -40,18 +40,31 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
     return _KEPT[key]
 
 
+_OWNER: list[str] = []
+
+
+def taken_over(owner: str) -> None:
+    """A task of this module begins in this process: what another module's tasks keep is let go, even if this one keeps nothing."""
+    if _OWNER != [owner]:
+        _KEPT.clear()
+        _OWNER[:] = [owner]
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow whose worker gives freed memory back to the system, as a process outlives its tasks.
 
     Arrays of a megabyte or more are mapped one by one, so they leave no gaps behind (where the C library has that switch).
     """
 
+    owner = run.__module__
+
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         libc = ctypes.CDLL(None)
         if hasattr(libc, "mallopt"):
             libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
             libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
         pa.set_memory_pool(pa.system_memory_pool())
+        taken_over(owner)
         yield from run(batches)
         if hasattr(libc, "malloc_trim"):
             libc.malloc_trim(0)

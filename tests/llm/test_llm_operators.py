@@ -571,6 +571,59 @@ def test_sets_travel_to_few_cells(spark):
     assert len(travel) < 4 * 1016 and max(map(len, per_cell.values())) < 4 * shingle_dedup.CELL
 
 
+def test_prefixes_of_repeated_shingles(spark, monkeypatch):
+    """Counts over the whole table, in chunks and ranges, against brute force; what one text only has gets no bucket."""
+    monkeypatch.setattr(shingle_dedup, "CHUNK", 200)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
+    passage = [word() for _ in range(30)]
+    bases = [[word() for _ in range(60)] for _ in range(6)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*bases, *[b[:30] + [word()] + b[31:] for b in bases], *[[word() for _ in range(40)] + passage for _ in range(20)], passage, passage[:9], ["one"], []])]
+    sets = {shingle_dedup._node(x): x.tolist() for x in (shingle_dedup.shingles(t) for _, t in rows)}
+    texts = {}
+    for x in itertools.chain(*sets.values()):
+        texts[x] = texts.get(x, 0) + 1
+    want = set()
+    for node, found in sets.items():
+        ordered = sorted(found, key=lambda x: (texts[x], x))
+        alone = sum(texts[x] == 1 for x in found)
+        want |= {(x, node, len(found), at, alone) for at, x in enumerate(ordered[: len(found) - math.ceil(0.8 * len(found)) + 1]) if texts[x] > 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marked, keyed = shingle_dedup._marked(docs, "doc_id", "text", 5)
+    assert {(r["key"], r["node"], r["n"], r["at"], r["alone"]) for r in keyed.collect()} == want
+    assert 13 < len({w[1] for w in want}) < 20  # texts with the passage and as much of their own have no row
+    assert {(r["doc_id"], r["node"], r["n"]) for r in marked.collect()} == {(i, shingle_dedup._node(x), len(x)) for i, x in ((i, shingle_dedup.shingles(t)) for i, t in rows)}
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch, bound):
+    """Copies with up to eight edits, most of them not similar to most others: pairs grow with the texts, and no link is lost."""
+    monkeypatch.setattr(shingle_dedup, "DRIVER_LINKS", bound, raising=False)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(400):
+        changed = list(base)
+        for at in rng.sample(range(150), rng.randrange(0, 9)):
+            changed[at] = word()
+        rows.append((i, " ".join(changed)))
+    sets = {i: set(shingle_dedup.shingles(t).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    made, promising = [], shingle_dedup._promising
+    monkeypatch.setattr(shingle_dedup, "_promising", lambda pairs, *a: made.append(pairs.count()) or promising(pairs, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in shingle_dedup.near_duplicates(docs).collect()} == {i: top(i) for i in sets}
+    assert made[1] < len(rows)  # left after the leaders
+
+
 def test_near_copies_come_through_simhash(spark, monkeypatch):
     """The stage's nearest copies are found by fingerprints and their pigeonring join; its links are then verified."""
     rng = random.Random(9)

@@ -1,7 +1,7 @@
 """Readers and writers of the line formats: intervals, variants, reads, gene models, references, mappings, tables.
 
-Every reader keeps the place of a record (rec_idx), as order is data in these formats. It orders the lines of one file;
-of several files read at once the larger ones come first, so where the files' order counts, read them one by one.
+Every reader keeps the place of a record (rec_idx), as order is data in these formats. Several files read at once come
+in the order of their folders, of the numbers of Spark's part files and of their names.
 """
 
 from __future__ import annotations
@@ -15,21 +15,39 @@ from pyspark.sql import functions as F
 BED = "chrom string, start long, end long, columns array<string>"
 
 
+def _placed(raw: DataFrame, name: str = "rec_idx") -> DataFrame:
+    """Rows as read from files, with their place: the number of the split in the files' order above the number within the scan's task.
+
+    A scan starts with the largest splits, so of several files the splits are ranked by a table with one row for each.
+    """
+    from pyspark.sql import Window as W
+
+    number = F.monotonically_increasing_id()
+    if len(raw.inputFiles()) < 2:
+        return raw.select("*", number.alias(name))
+    each = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), number.alias("__n"))
+    folder, part = F.regexp_replace("__file", "[^/]*$", ""), F.regexp_extract("__file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    rank = F.row_number().over(W.orderBy(folder, part, "__file", "__at")) - 1
+    splits = each.select("__file", "__at").distinct().withColumn("__split", rank.cast("long"))
+    place = F.shiftleft("__split", 33) + F.col("__n").bitwiseAND((1 << 33) - 1)
+    return each.join(F.broadcast(splits), ["__file", "__at"]).select(*[F.col(f"`{c}`") for c in raw.columns], place.alias(name))
+
+
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """rec_idx and line of text files (any codec that Spark knows by the name's ending), in order within a file.
+    """rec_idx and line of text files (any codec that Spark knows by the name's ending), in order within and between files.
 
-    rec_idx orders the lines of a file; it counts bytes' order, not lines: use numbered() where it must be gapless.
+    rec_idx orders the lines; it counts bytes' order, not lines: use numbered() where it must be gapless.
     """
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("rec_idx"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return _placed(spark.read.text(path)).select("rec_idx", F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def numbered(df: DataFrame, order: str = "rec_idx") -> DataFrame:
-    """Make the order column gapless from 0, by counts per scan partition (one small row each) and ranks within."""
+    """Make the order column gapless from 0, by counts per split (one small row each) and ranks within."""
     from pyspark.sql import Window as W
 
-    part = F.shiftright(order, 33)
-    before = df.groupBy(part.alias("part")).count().withColumn("before", F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
-    placed = df.withColumn("part", part).join(F.broadcast(before.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part")
+    part, within = F.shiftright(order, 33), F.col(order).bitwiseAND((1 << 33) - 1)
+    before = df.groupBy(part.alias("part")).agg(F.count("*").alias("count"), F.min(within).alias("first")).withColumn("before", F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
+    placed = df.withColumn("part", part).join(F.broadcast(before.select("part", (F.coalesce("before", F.lit(0)) - F.col("first")).alias("before"))), "part")
     return placed.withColumn(order, F.col("before") + F.col(order).bitwiseAND((1 << 33) - 1)).drop("part", "before")
 
 
@@ -162,17 +180,18 @@ def whole_contigs(fai: DataFrame) -> DataFrame:
 def read_refgene(spark: SparkSession, path: str) -> DataFrame:
     """Gene models of 16 columns; the exons become an array of (start, end)."""
     schema = "bin int, tx_id string, chrom string, strand string, tx_start long, tx_end long, cds_lo long, cds_hi long, exon_count long, starts string, ends string, score long, gene string, cds_start_stat string, cds_end_stat string, frames string"
-    raw = spark.read.csv(path, sep="\t", schema=schema, mode="FAILFAST", quote="").withColumn("rec_idx", F.monotonically_increasing_id())
+    raw = spark.read.csv(path, sep="\t", schema=schema, mode="FAILFAST", quote="")
     numbers = lambda c: F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: x.cast("long"))
     coding = F.col("cds_lo") < F.col("cds_hi")
-    return raw.select("rec_idx", "tx_id", "chrom", "strand", "tx_start", "tx_end", F.when(coding, F.col("cds_lo")).alias("cds_start"), F.when(coding, F.col("cds_hi")).alias("cds_end"), F.zip_with(numbers("starts"), numbers("ends"), lambda s, e: F.struct(s.alias("start"), e.alias("end"))).alias("exons"), "gene", "cds_start_stat", "cds_end_stat")
+    return _placed(raw).select("rec_idx", "tx_id", "chrom", "strand", "tx_start", "tx_end", F.when(coding, F.col("cds_lo")).alias("cds_start"), F.when(coding, F.col("cds_hi")).alias("cds_end"), F.zip_with(numbers("starts"), numbers("ends"), lambda s, e: F.struct(s.alias("start"), e.alias("end"))).alias("exons"), "gene", "cds_start_stat", "cds_end_stat")
 
 
 def read_mapping(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
     """from, to of a two-column file (.csv with quotes, else tabs without)."""
     quoted = path.endswith(".csv")
     raw = spark.read.csv(path, sep="," if quoted else "\t", quote='"' if quoted else "", header=header)
-    return raw.select(F.col(raw.columns[0]).alias("from"), F.col(raw.columns[1]).alias("to"), F.monotonically_increasing_id().alias("ord"))
+    first, second = (F.col(f"`{c}`") for c in raw.columns[:2])
+    return _placed(raw.select(first.alias("from"), second.alias("to")), "ord")
 
 
 def last_of_each(mapping: DataFrame) -> dict[str, str]:

@@ -387,6 +387,24 @@ def test_formats_round_trip(spark, tmp_path):
     assert rows(text.read_sam(spark, str(tmp_path / "a.sam")), "qname", "pos", "tags") == [("r", 4, ["RG:Z:x"])]
 
 
+def test_files_are_read_in_their_order(spark, tmp_path):
+    """The first part files are the smaller ones, and a scan starts with the larger; a record may go over from one to the next."""
+    folder = tmp_path / "a.fq"
+    folder.mkdir()
+    records = [f"@r{i}\n{'ACGT' * (i + 1)}\n+\n{'@@@@' * (i + 1)}\n" for i in range(40)]
+    content = "".join(records).splitlines(keepends=True)
+    for i, (a, b) in enumerate([(0, 6), (6, 40), (40, 160)]):
+        (folder / f"part-0000{i}-x.txt").write_text("".join(content[a:b]))
+    got = text.read_fastq(spark, str(folder))
+    assert rows(got, "rec_idx", "name") == [(i, f"r{i}") for i in range(40)]
+    table = tmp_path / "m.tsv"
+    table.mkdir()
+    (table / "part-00000-x.txt").write_text("k\told\n")
+    (table / "part-00001-x.txt").write_text("".join(f"other{i}\tv\n" for i in range(50)) + "k\tnew\n")
+    (table / "part-100000-x.txt").write_text("k\tlast\n")
+    assert text.last_of_each(text.read_mapping(spark, str(table)))["k"] == "last"
+
+
 def test_queries_match_their_sql(spark):
     import duckdb
 

@@ -52,6 +52,25 @@ def points_in(points: DataFrame, intervals: DataFrame, pos: str = "pos", bin_siz
     return keyed.join(right, ["chrom", "bin"]).where((F.col(pos) >= F.col("start")) & (F.col(pos) < F.col("end"))).drop("bin")
 
 
+def points_held(points: DataFrame, intervals: DataFrame, pos: str = "pos", bin_size: int = 1 << 12) -> DataFrame:
+    """intervals with held, the number of points (chrom, pos) in each; pairs aren't made.
+
+    What an interval holds are the points before its end less those before its start, so the points' places are counted up
+    to each edge: within bins, and with a table of one row per bin for what comes before.
+    """
+    counted = points.where("chrom IS NOT NULL").where(F.col(pos).isNotNull()).groupBy("chrom", F.col(pos).alias("at")).agg(F.count("*").alias("n"))
+    edges = intervals.where("end > start").select("chrom", F.explode(F.array("start", "end")).alias("at")).where("chrom IS NOT NULL").distinct()
+    each = counted.unionByName(edges.withColumn("n", F.lit(0).cast("long"))).groupBy("chrom", "at").agg(F.sum("n").alias("n")).withColumn("bin", F.floor(F.col("at") / bin_size))
+    earlier = W.partitionBy("chrom").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    before = each.groupBy("chrom", "bin").agg(F.sum("n").alias("n")).select("chrom", "bin", F.sum("n").over(earlier).alias("earlier"))
+    within = F.sum("n").over(W.partitionBy("chrom", "bin").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    passed = each.withColumn("within", within).join(before, ["chrom", "bin"]).select("chrom", "at", (F.coalesce("within", F.lit(0)) + F.coalesce("earlier", F.lit(0))).alias("passed"))
+    spans = intervals.where("end > start").select("chrom", "start", "end").distinct()
+    spans = spans.join(passed.withColumnsRenamed({"at": "start", "passed": "low"}), ["chrom", "start"]).join(passed.withColumnsRenamed({"at": "end", "passed": "high"}), ["chrom", "end"])
+    spans = spans.select("chrom", "start", "end", (F.col("high") - F.col("low")).alias("held"))
+    return intervals.join(spans, ["chrom", "start", "end"], "left").withColumn("held", F.coalesce("held", F.lit(0).cast("long")))
+
+
 def overlaps(left: DataFrame, right: DataFrame, bin_size: int = 1 << 14) -> DataFrame:
     """Pairs of overlapping intervals, each once: chrom, start, end, r_start, r_end and both sides' other columns."""
     a = _binned(left, bin_size)

@@ -57,6 +57,21 @@ def test_contains_and_overlaps(spark):
     assert rows(intervals.overlaps(target, other, 100), "r_start", "r_end") == [(4000, 4999)]
 
 
+def test_points_held_are_counted_without_pairs(spark):
+    rng = random.Random(5)
+    given = [(c, s := rng.randrange(-20, 300), s + rng.randrange(0, 90)) for c in "ab" for _ in range(60)] + [("c", 1, 9), (None, 1, 9)]
+    at = [(c, rng.choice([None, *range(-30, 400)])) for c in ["a", "b", "d", None] for _ in range(80)]
+    iv, points = spark.createDataFrame(given, IV), spark.createDataFrame(at, "chrom string, pos long")
+    want = sorted((c or "", s, e, sum(x is not None and x == c and p is not None and s <= p < e for x, p in at)) for c, s, e in given)
+    for size in (7, 1 << 12):
+        got = intervals.points_held(points, iv, bin_size=size).collect()
+        assert sorted((r["chrom"] or "", r["start"], r["end"], r["held"]) for r in got) == want
+    # every point in every span: 4e8 pairs
+    many, spans = spark.range(20000).selectExpr("'c' AS chrom", "id % 100 AS pos"), spark.range(20000).selectExpr("'c' AS chrom", "-id AS start", "100L AS end")
+    held = intervals.points_held(many, spans)
+    assert held.agg(F.sum("held")).first()[0] == sum(200 * sum(-i <= p for p in range(100)) for i in range(20000))
+
+
 def test_known_variants(spark):
     v = spark.createDataFrame([("MT", 1581, "GA", "G"), ("MT", 2087, "T", "A"), ("MT", 4117, "T", "TAA")], "chrom string, pos long, ref string, alt string")
     assert rows(intervals.variant_positions(v)) == [("MT", 1582), ("MT", 2087), ("MT", 4118)]

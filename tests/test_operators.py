@@ -250,6 +250,22 @@ def test_error_profile_over_chunks(spark, monkeypatch):
     assert sum(n for (k, _, _), n in profile.items() if k == "Total Reference Base") == len(inside)
 
 
+def test_error_counters_read_the_reads_once(spark):
+    rng = random.Random(4)
+    given = [(i, rng.choice([0, 16]), rng.choice(["c", "d"]), rng.randrange(3000), 60, f"2S5M{rng.randrange(1, 6)}I4M{rng.randrange(1, 6)}D6M", "ACGTA" * 5) for i in range(200)]
+    aligned = spark.createDataFrame(given, "rec_idx long, flag int, rname string, pos long, mapq int, cigar string, seq string")
+    reference = spark.createDataFrame([("c", "ACGGT" * 620)], "name string, seq string")
+    regions = spark.createDataFrame([("c", i, i + 40) for i in range(0, 2600, 3)] + [("d", 100, 90)], "chrom string, start long, end long")
+    walked = errors.walked(aligned)
+    apart = {("I", r["sequence"], r["n"]) for r in errors.short_insertions(walked).collect()} | {("D", r["sequence"], r["n"]) for r in errors.short_deletions(walked, reference).collect()}
+    assert set(rows(errors.short_indels(aligned, reference))) == apart
+    counted = errors.gated(errors.op_counts(aligned, ("I",)), regions=regions)
+    inside = [g for g in given if g[2] == "c" and any(s <= g[3] + 5 < s + 40 for s in range(0, 2600, 3))]
+    assert counted.agg(F.sum("n")).first()[0] == len(inside)
+    plan = errors.profile(aligned, reference, regions=regions)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 2  # the walk and the totals; the CIGARs were walked for each of nine counters
+
+
 def test_names_of_two_kinds(spark):
     pairs = [("M01-2:7:000AB:1:1101:15:20 1:N:0:1", "M01-2:7:000AB:1:1101:15:20 2:N:0:1"), ("V350L1C001R0020000017/1", "V350L1C001R0020000017/2"), ("E12BL3C001R00299/1", "E12BL3C001R00299/2")]
     df = spark.createDataFrame(pairs, "a string, b string")

@@ -1,9 +1,16 @@
 """Column functions on base sequences."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: what a higher-order function's lambda names is computed again for each element otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def reverse_complement(seq: Column) -> Column:
     """A-T and C-G are exchanged, every other sign (lower case too) becomes N, and the order is reversed."""
     return F.reverse(F.translate(F.regexp_replace(seq, "[^ACGT]", "N"), "ACGT", "TGCA"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genotype import alleles, fixed, genotype_index, number_of_genotypes
+from ..functions.seq import once
 from .variants import upsert_info
 
 
@@ -63,15 +64,19 @@ def allele_fraction(genotypes: DataFrame) -> DataFrame:
     return genotypes.withColumn("vaf", F.when(ok, F.transform(F.slice("ad", 2, F.greatest(F.size("ad") - 1, F.lit(0))), lambda x: x / F.col("dp"))))
 
 
-def row_counts(gts: Column, n_alt: Column, ploidy: int = 2) -> dict[str, Column]:
-    """an, ac, genotype_count and nhomalt, as in counts(), of an array of GT texts within one row."""
-    called = F.transform(gts, lambda g: F.array_sort(F.filter(alleles(g), lambda a: a <= n_alt)))
-    flat = F.flatten(called)
-    full = F.filter(called, lambda c: F.size(c) == ploidy)
-    placed = F.transform(full, genotype_index)
-    homs = F.transform(F.filter(full, lambda c: c[0] == c[ploidy - 1]), lambda c: c[0])
+def row_counts(gts: Column, n_alt: Column, ploidy: int = 2) -> Column:
+    """Struct of an, ac, genotype_count and nhomalt, as in counts(), of an array of GT texts within one row."""
     tally = lambda values, last, first: F.when(last >= first, F.transform(F.sequence(F.lit(first).cast("long"), last.cast("long")), lambda i: F.size(F.filter(values, lambda x: x == i)).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return {"an": F.size(flat).cast("long"), "ac": tally(flat, n_alt, 0), "genotype_count": tally(placed, number_of_genotypes(n_alt, ploidy) - 1, 0), "nhomalt": tally(homs, n_alt, 1)}
+
+    def counted(called: Column) -> Column:
+        full = F.filter(called, lambda c: F.size(c) == ploidy)
+        homs = F.transform(F.filter(full, lambda c: c[0] == c[ploidy - 1]), lambda c: c[0])
+        return F.struct(
+            F.size(F.flatten(called)).cast("long").alias("an"), once(F.flatten(called), lambda x: tally(x, n_alt, 0)).alias("ac"),
+            once(F.transform(full, genotype_index), lambda x: tally(x, number_of_genotypes(n_alt, ploidy) - 1, 0)).alias("genotype_count"), once(homs, lambda x: tally(x, n_alt, 1)).alias("nhomalt"),
+        )
+
+    return once(F.transform(gts, lambda g: F.array_sort(F.filter(alleles(g), lambda a: a <= n_alt))), counted)
 
 
 def add_counts(records: DataFrame, samples: list[str], categories: dict[str, list[str]] | None = None, digits: int = 4) -> DataFrame:
@@ -83,11 +88,12 @@ def add_counts(records: DataFrame, samples: list[str], categories: dict[str, lis
     n_alt = F.size("alt")
     places = {"": list(range(len(samples)))} | {f"_{c}": [i for i, s in enumerate(samples) if s in set(ids)] for c, ids in (categories or {}).items()}
     out = records
+    most = records.agg(F.max(n_alt)).first()[0] or 0
     for suffix, index in places.items():
         gts = F.transform(F.array(*[F.lit(i) for i in index]).cast("array<int>"), lambda i: F.coalesce(F.get(F.get("genotypes", i), place - 1), F.lit(".")))
-        found = row_counts(F.when(place > 0, gts).otherwise(F.array().cast("array<string>")), n_alt)
-        out = out.withColumns({f"__{k}": v for k, v in found.items()})
-        most = out.agg(F.max(n_alt)).first()[0] or 0
+        out = out.withColumn("__c", row_counts(F.when(place > 0, gts).otherwise(F.array().cast("array<string>")), n_alt))
+        found = ("an", "ac", "genotype_count", "nhomalt")
+        out = out.withColumns({f"__{k}": F.col("__c")[k] for k in found}).drop("__c")
         rest = lambda name: F.slice(name, F.lit(2), F.greatest(F.size(name) - 1, F.lit(0)))
         share = lambda k: F.when(F.col("__an") == 0, ".").otherwise(fixed(F.get("__ac", F.lit(k + 1)) / F.nullif(F.col("__an"), F.lit(0)), digits))
         af = F.slice(F.array(*[F.when(n_alt > k, share(k)) for k in range(most)]).cast("array<string>"), F.lit(1), n_alt) if most else F.array().cast("array<string>")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.seq import once
+
 #: Impacts of an annotation, gravest first.
 IMPACTS = ("HIGH", "MODERATE", "LOW", "MODIFIER")
 #: Human contigs with and without the prefix.
@@ -87,10 +89,10 @@ def contig_mapping(refseq_names: bool = False, add: bool = False, remove: bool =
 def upsert_info(info: Column, new: list[tuple[str, Column]]) -> Column:
     """INFO entries (key, values) where each new key's values take the place of its old ones, or come after all others."""
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("values")) for k, v in new])
-    values = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["values"])))
-    kept = F.transform(info, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.try_element_at(values, e["key"]), e["values"]).alias("values")))
+    old = lambda values: F.transform(info, lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.try_element_at(values, e["key"]), e["values"]).alias("values")))
+    added = lambda present, given: F.filter(given, lambda e: ~F.array_contains(present, e["key"]))
     present = F.transform(info, lambda e: e["key"])
-    return F.concat(kept, F.filter(entries, lambda e: ~F.array_contains(present, e["key"])))
+    return once(entries, lambda given: F.concat(once(F.map_from_entries(given), old), once(present, lambda x: added(x, given))))
 
 
 def common_folder(paths: list[str]) -> str:
@@ -126,9 +128,9 @@ def annotations(ann: Column) -> Column:
     """Parsed entries of an ANN value: allele, effect, impact, gene, transcript, hgvs_c, hgvs_p."""
 
     def entry(text: Column) -> Column:
-        part = F.split(text, r"[|]")
-        at = lambda i: F.coalesce(F.get(part, F.lit(i)), F.lit(""))
-        return F.struct(at(0).alias("allele"), at(1).alias("effect"), at(2).alias("impact"), at(3).alias("gene"), at(6).alias("transcript"), at(9).alias("hgvs_c"), at(10).alias("hgvs_p"), text.alias("text"))
+        at = lambda part, i: F.coalesce(F.get(part, F.lit(i)), F.lit(""))
+        named = {"allele": 0, "effect": 1, "impact": 2, "gene": 3, "transcript": 6, "hgvs_c": 9, "hgvs_p": 10}
+        return once(F.split(text, r"[|]"), lambda part: F.struct(*[at(part, i).alias(k) for k, i in named.items()], text.alias("text")))
 
     return F.transform(ann, entry)
 
@@ -144,8 +146,8 @@ def ann_text(entries: Column) -> Column:
 def canonical_changes(entries: Column, canonical: Column) -> Column:
     """TX(GENE):change of the canonical transcripts' entries, without MODIFIER ones; if any has a protein change, only those that do."""
     mine = F.filter(entries, lambda e: F.array_contains(canonical, e["transcript"]))
-    protein = F.exists(mine, lambda e: e["hgvs_p"] != "")
-    return all_changes(F.filter(mine, lambda e: (e["impact"] != "MODIFIER") & (~protein | (e["hgvs_p"] != ""))))
+    kept = lambda given, protein: F.filter(given, lambda e: (e["impact"] != "MODIFIER") & (~protein | (e["hgvs_p"] != "")))
+    return all_changes(once(mine, lambda given: once(F.exists(given, lambda e: e["hgvs_p"] != ""), lambda protein: kept(given, protein))))
 
 
 def all_changes(entries: Column) -> Column:

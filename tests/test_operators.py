@@ -383,6 +383,47 @@ def test_names_and_small_parts(spark, tmp_path):
     assert rows(text.read_fasta_pieces(spark, str(tmp_path / "r.fa"))) == [("c1", 0, "ACG"), ("c1", 3, "TT"), ("c2", 0, "A")]
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_in_info_parse_each_genotype_once(spark):
+    r = spark.sql("SELECT array('A', 'T') AS alt, array('GT') AS format, array(array('0/1'), array('2/2')) AS genotypes, array(named_struct('key', 'AN', 'values', array('9'))) AS info FROM range(1)")
+    assert 1 <= _plan(alleles.add_counts(r, ["S1", "S2"])).count("[/|]") <= 2  # it was parsed for each count, and for each place of it
+
+
+def test_annotations_are_parsed_once(spark):
+    header = ['##INFO=<ID=ANN,Number=.,Type=String,Description="a">']
+    record = spark.sql("SELECT 1 AS number, 'c' AS chrom, 1 AS pos, array('i') AS id, 'G' AS ref, array('A') AS alt, '.' AS qual_raw, array('PASS') AS filter, array(named_struct('key', 'ANN', 'values', array('A|e|HIGH|g|x|transcript|t|c||c.1|p.1'))) AS info, array('GT') AS format, array(array('0/1')) AS genotypes FROM range(1)")
+    t = vcf_table.to_table(record, header, ["S"], canonical=["t"])
+    assert rows(t, "SnpEff", "SnpEff Impact", "GeneImpact__HIGH") == [("t(g):p.1", "HIGH", "g")]
+    assert 1 <= _plan(t).count("[|]") <= 2  # it was split for each column, and for each field
+
+
+def test_names_are_matched_by_few_patterns(spark):
+    df = spark.createDataFrame([("A00:1:FC:1:1101:5:7 1:N:0:AC",), ("A00:1:FC:1:1101:5:7 1:N:0:AC\n",), ("A00:1:FC:1:1101:5:99999999999 1:N:0:AC",), ("x\n1\n2\n3\n4\n5",), ("",), (None,)], "n string")
+    got = df.select(readname.illumina_fastq(F.col("n")).alias("p"))
+    own = ("A00:1:FC:1", 1101, 5, 7, 1, "N:0:AC")
+    assert [r["p"] and tuple(r["p"]) for r in got.collect()] == [own, own, ("A00:1:FC:1", 1101, 5, None, 1, "N:0:AC"), None, None, None]
+    assert "regexp_extract" not in _plan(df.select("n").sort("n").select(readname.illumina_fastq(F.col("n"))))
+
+
+def test_md5_of_lines_comes_in_blocks(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    seen, given = [], Classic.toLocalIterator
+
+    def counted(self, *a, **b):
+        for row in given(self, *a, **b):
+            seen.append(row)
+            yield row
+
+    monkeypatch.setattr(Classic, "toLocalIterator", counted)
+    df = spark.range(30000).selectExpr("29999 - id AS rec_idx", "concat('@', 29999 - id) AS line")
+    assert fastq.ordered_md5(df) == hashlib.md5("".join(f"@{i}\n" for i in range(30000)).encode()).hexdigest()
+    assert len(seen) < 100  # a row for each line before
+
+
 def test_zip_pairs_needs_equal_length(spark):
     a, b = spark.createDataFrame([(0, "x"), (1, "y")], "rec_idx long, s string"), spark.createDataFrame([(0, "z")], "rec_idx long, s string")
     with pytest.raises(Exception, match="differ in length"):

@@ -114,6 +114,8 @@ def to_table(records: DataFrame, header: list[str], samples: list[str], split: b
     entries = annotations(F.coalesce(of_info("ANN"), F.array().cast("array<string>")))
     if split:
         entries = of_allele(entries, F.col("one_alt"))
+    if annotated:
+        rows, entries = rows.withColumn("__ann", entries), F.col("__ann")  # parsed once for all columns that tell of it
     told = lambda c: F.when(_has("ANN"), c).otherwise("")
     if annotated:
         listed = F.array(*[F.lit(x) for x in canonical or []]).cast("array<string>")

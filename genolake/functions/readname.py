@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .seq import once
+
 ILLUMINA = r"^(.*):(\d+):(\d+):(\d+)(?: ([12]):(.*))?$"
 
 
@@ -20,8 +22,9 @@ DNBSEQ_BAM = r"^([EV]\d+B?L\dC)(\d{3}R\d{3})(\d+)(?:/([12]))?$"
 
 
 def _parsed(name: Column, pattern: str, parts: tuple[tuple[str, str], ...]) -> Column:
-    got = [F.regexp_extract(name, pattern, i).try_cast(kind).alias(part) for i, (part, kind) in enumerate(parts, 1)]
-    return F.when(name.rlike(pattern), F.struct(*got))
+    # the groups hold no line ends, so one replacement tells them all
+    got = F.split(F.regexp_replace(name, pattern, "\n".join(f"${i + 1}" for i in range(len(parts)))), "\n")
+    return F.when(name.rlike(pattern), once(got, lambda x: F.struct(*[x[i].try_cast(kind).alias(part) for i, (part, kind) in enumerate(parts)])))
 
 
 def illumina_fastq(name: Column) -> Column:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.readname import dnbseq_bam, dnbseq_fastq, illumina_bam, illumina_fastq
+from ..functions.seq import once
 from .reads import _with_before, common_index, order_breaks
 
 #: Pairs at the start of a file from which the common index is taken.
@@ -21,21 +25,26 @@ def _error(*parts: str | Column) -> Column:
 
 def illumina_pairs(pairs: DataFrame) -> DataFrame:
     """pairs (rec_idx, name, name_2) with rec_idx, prefix, tile, x, y, index of both mates; what isn't a pair of Illumina names of the first one's prefix is an error."""
-    first = pairs.select("rec_idx", illumina_fastq(F.col("name")).alias("a")).orderBy("rec_idx").limit(1).collect()
+    first = pairs.select("rec_idx", "name").orderBy("rec_idx").limit(1).select(illumina_fastq(F.col("name")).alias("a")).collect()
     prefix = first[0]["a"]["prefix"] if first and first[0]["a"] else ""
-    each = pairs.select("rec_idx", "name", "name_2", illumina_fastq(F.col("name")).alias("a"), illumina_fastq(F.col("name_2")).alias("b"))
-    same = F.lit(True)
-    for part in ("tile", "x", "y", "index"):
-        same = same & F.col(f"a.{part}").eqNullSafe(F.col(f"b.{part}"))
     names = (F.col("name"), " / ", F.col("name_2"))
-    checked = (
-        F.when(F.col("a").isNull() | F.col("b").isNull(), _error("not an Illumina name: ", *names))
-        .when((F.col("a.prefix") != prefix) | (F.col("b.prefix") != prefix), _error("another prefix: ", *names))
-        .when(~same, _error("read 2 doesn't belong to read 1: ", *names))
-        .when((F.col("a.read") != 1) | (F.col("b.read") != 2), _error("not reads 1 and 2: ", *names))
-        .otherwise(F.col("a"))
-    )
-    return each.select("rec_idx", checked.alias("a")).select("rec_idx", "a.prefix", "a.tile", "a.x", "a.y", "a.index")
+
+    def checked(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        same = F.lit(True)
+        for part in ("tile", "x", "y", "index"):
+            same = same & a[part].eqNullSafe(b[part])
+        return (
+            F.when(a.isNull() | b.isNull(), _error("not an Illumina name: ", *names))
+            .when((a["prefix"] != prefix) | (b["prefix"] != prefix), _error("another prefix: ", *names))
+            .when(~same, _error("read 2 doesn't belong to read 1: ", *names))
+            .when((a["read"] != 1) | (b["read"] != 2), _error("not reads 1 and 2: ", *names))
+            .otherwise(a)
+        )
+
+    # one value for both mates' names: a filter that is pushed down repeats it, and would repeat each name's part in it
+    found = once(F.struct(illumina_fastq(F.col("name")).alias("a"), illumina_fastq(F.col("name_2")).alias("b")), checked)
+    return pairs.select("rec_idx", found.alias("a")).select("rec_idx", "a.prefix", "a.tile", "a.x", "a.y", "a.index")
 
 
 def illumina_report(pairs: DataFrame, first: int = FIRST, chunk: int = 100_000) -> DataFrame:
@@ -167,16 +176,25 @@ def restore_dnbseq(reads: DataFrame, info: FastqInfo, read: str | None) -> DataF
 
 def ordered_md5(lines: DataFrame, order: str = "rec_idx", column: str = "line") -> str:
     """md5 of all lines, each with a line end, in order: a checksum of uncompressed content, streamed partition by partition."""
+    return _streamed_md5(lines.orderBy(order).select(F.concat(F.col(column), F.lit("\n")).alias("text")))
+
+
+def _streamed_md5(texts: DataFrame) -> str:
+    """md5 of texts (one column) in the order that they have. An md5 is one chain, so all of it passes the driver, as compressed blocks."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = "".join(batch.column(0).to_pylist()).encode()
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(block, 1)], pa.binary())], ["block"])
+
     found = hashlib.md5(usedforsecurity=False)
-    for row in lines.orderBy(order).select(column).toLocalIterator():
-        found.update(row[0].encode() + b"\n")
+    for (block,) in texts.mapInArrow(pack, "block binary").toLocalIterator(prefetchPartitions=True):
+        found.update(zlib.decompress(block))
     return found.hexdigest()
 
 
 def restore(spark: SparkSession, reads: DataFrame, info: FastqInfo, kind: str, read: int) -> tuple[DataFrame, bool]:
     """The restored file, and whether its checksum is the report's."""
     out = restore_illumina(reads, info, str(read)) if kind == "Illumina" else restore_dnbseq(reads, info, str(read))
-    found = hashlib.md5(usedforsecurity=False)
-    for name, seq, qual in out.toLocalIterator():
-        found.update(f"@{name}\n{seq}\n+\n{qual}\n".encode())
-    return out, found.hexdigest() == info.values[f"FASTQ{read}_MD5"]
+    record = F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual", F.lit("\n"))
+    return out, _streamed_md5(out.select(record.alias("text"))) == info.values[f"FASTQ{read}_MD5"]

@@ -6,6 +6,8 @@ one aggregation with map-side combination.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,37 +21,43 @@ def _called(genotypes: DataFrame, n_alt: str) -> DataFrame:
     return genotypes.withColumn("__called", F.array_sort(inside))
 
 
-def counts(genotypes: DataFrame, keys: list[str], n_alt: str = "n_alt", ploidy: int = 2) -> DataFrame:
+def counts(genotypes: DataFrame, keys: list[str], n_alt: str = "n_alt", ploidy: int = 2, parts: int | None = None) -> DataFrame:
     """Per group of keys and variant: an (called alleles), ac (array, reference first), genotype_count (VCF order), nhomalt (per ALT).
 
     genotypes: keys, n_alt and gt, one row per sample. Only full genotypes (as many alleles as the ploidy) count
     for genotype_count and nhomalt; alleles out of range and texts that are no genotype are skipped.
+    Alike genotypes are counted first, a row for each sample at most, and all else is found from these few.
+    parts: for rows in no order of their variants, where combining before the shuffle only holds memory, they are first put into so many parts by keys.
     """
-    each = _called(genotypes, n_alt)
-    full = F.size("__called") == ploidy
-    each = each.withColumn("__g", F.when(full, genotype_index(F.col("__called")))).withColumn("__hom", F.when(full & (F.element_at("__called", 1) == F.element_at("__called", ploidy)), F.element_at("__called", 1)))
-    tagged = lambda kind, value: F.struct(F.lit(kind).alias("__kind"), value.cast("long").alias("__value"))
-    marks = F.concat(F.transform("__called", lambda a: tagged("a", a)), F.array(tagged("g", F.col("__g")), tagged("h", F.col("__hom"))))
-    seen = each.select(*keys, n_alt, F.inline(marks))
-    grouped = seen.groupBy(*keys, n_alt, "__kind", "__value").agg(F.count("*").alias("__n"))
-    entry = lambda kind: F.when((F.col("__kind") == kind) & F.col("__value").isNotNull(), F.struct("__value", "__n"))
-    tables = grouped.groupBy(*keys, n_alt).agg(*[F.map_from_entries(F.collect_list(entry(kind))).alias(f"__{kind}") for kind in ("a", "g", "h")])
-
-    def row(name: str, last: Column, first: int = 0) -> Column:
+    rows = genotypes.select(*keys, n_alt, "gt")
+    each = _called(rows.repartition(parts, *keys) if parts else rows, n_alt)
+    alike = each.groupBy(*keys, n_alt, "__called").agg(F.count("*").alias("n"))
+    tables = alike.groupBy(*keys, n_alt).agg(F.collect_list(F.struct(F.col("__called").alias("called"), "n")).alias("__seen"))
+    zero, alts = F.lit(0).cast("long"), F.col(n_alt).cast("long")
+    full = F.filter("__seen", lambda e: F.size(e["called"]) == ploidy)
+    homs = F.filter(full, lambda e: F.element_at(e["called"], 1) == F.element_at(e["called"], ploidy))
+    alleles_seen = lambda held: F.aggregate("__seen", zero, lambda s, e: s + e["n"] * held(e["called"]))
+    table = lambda entries, value: F.map_from_entries(F.transform(entries, lambda e: F.struct(value(e["called"]).cast("long"), e["n"])))
+
+    def row(last: Column, value: Callable[[Column], Column], first: int = 0) -> Column:
         at = F.when(last >= first, F.sequence(F.lit(first).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(at, lambda i: F.coalesce(F.try_element_at(F.col(name), i), F.lit(0).cast("long")))
+        return F.transform(at, value)
+
+    def looked_up(entries: Column, last: Column, first: int = 0) -> Column:
+        return once(entries, lambda t: row(last, lambda i: F.coalesce(F.try_element_at(t, i), zero), first))
 
-    alts = F.col(n_alt).cast("long")
     return tables.select(
-        *keys, n_alt, F.aggregate(F.map_values("__a"), F.lit(0).cast("long"), lambda s, x: s + x).alias("an"), row("__a", alts).alias("ac"),
-        row("__g", number_of_genotypes(F.col(n_alt), ploidy) - 1).alias("genotype_count"), row("__h", alts, 1).alias("nhomalt"),
+        *keys, n_alt, alleles_seen(F.size).alias("an"), row(alts, lambda i: alleles_seen(lambda called: F.size(F.filter(called, lambda a: a == i)))).alias("ac"),
+        looked_up(table(full, genotype_index), number_of_genotypes(F.col(n_alt), ploidy) - 1).alias("genotype_count"), looked_up(table(homs, lambda called: F.element_at(called, 1)), alts, 1).alias("nhomalt"),
     )
 
 
 def by_category(genotypes: DataFrame, categories: DataFrame, keys: list[str], **options) -> DataFrame:
     """counts() for each category of samples (sample, category); samples of no category are left out."""
-    mapped = categories.select("sample", "category").distinct()
-    return counts(genotypes.join(mapped, "sample"), ["category", *keys], **options)
+    mapped = categories.select("sample", "category")
+    if options.get("parts"):
+        mapped = mapped.repartition(options["parts"], "sample")
+    return counts(genotypes.join(mapped.distinct(), "sample"), ["category", *keys], **options)
 
 
 def frequencies(counted: DataFrame) -> DataFrame:

@@ -29,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one task sorts or groups, so a task's memory doesn't grow with the table.
+ROWS = 1 << 19
+
+
+def parts(spark: SparkSession, df: DataFrame) -> int:
+    """In how many parts a table's rows are put: a part for each ROWS of them, one for each core at least. A Parquet table's rows are counted in its footers."""
+    return max(spark.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+
+
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     start = F.col("l_partkey") * 100 + F.col("l_linenumber") * 7
@@ -74,10 +83,14 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEQUENCES = "sq AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)"
 
 
-def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long: variant, n_alt, sample, gt, ad, dp; a row for each part and each customer who ordered it."""
+def genotypes(spark: SparkSession, sf_dir: str, by: str = "p") -> DataFrame:
+    """Long: variant, n_alt, sample, gt, ad, dp; a row for each part and each customer who ordered it, in parts() by variant (p) or sample (c)."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c"))
-    both = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).join(o, "l_orderkey").select("p", "c").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p"))
+    n = parts(spark, lines)
+    if n > spark.sparkContext.defaultParallelism:
+        o, lines = o.repartition(n, "l_orderkey"), lines.repartition(n, "l_orderkey")
+    both = lines.join(o, "l_orderkey").select("p", "c").repartition(n, by).distinct()
     c, p = F.col("c"), F.col("p")
     a, b = (c * 7 + p * 3) % 4, (c * 5 + p) % 3
     text = F.concat(F.when(a == 3, ".").otherwise(a.cast("string")), F.lit("/"), b.cast("string"))

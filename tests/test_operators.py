@@ -1,6 +1,7 @@
 """Golden values of the reference's semantics, on inline fixtures."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from genolake.functions import genotype, hgvs, readname, seq
 from genolake.operators import alleles, errors, fastq, intervals, reads, sam_header, transcripts, variants, vcf_table
+from genolake.plans import adapters, queries
 from genolake.sources import text
 
 
@@ -105,6 +107,42 @@ def test_allele_counts(spark):
     assert out[3]["af"] is None
 
 
+def _counted(gts, n_alt, ploidy):
+    called = [sorted(int(a) for a in re.split("[/|]", g) if a != "." and int(a) <= n_alt) if g and re.fullmatch("[0-9.]+([|/][0-9.]+)*", g) else [] for g in gts]
+    order = sorted(itertools.combinations_with_replacement(range(n_alt + 1), ploidy), key=lambda g: g[::-1])
+    full = [tuple(c) for c in called if len(c) == ploidy]
+    flat = [a for c in called for a in c]
+    return len(flat), [flat.count(a) for a in range(n_alt + 1)], [full.count(g) for g in order], [full.count((a,) * ploidy) for a in range(1, n_alt + 1)]
+
+
+@pytest.mark.parametrize("ploidy", [1, 2, 3])
+def test_alike_genotypes_are_counted_at_once_against_brute_force(spark, ploidy):
+    rng = random.Random(ploidy)
+    gt = lambda: rng.choice([None, "x", "./.", "."]) if rng.random() < 0.1 else rng.choice("/|").join(rng.choice("01234.") for _ in range(rng.choice([ploidy, ploidy, 1, 4])))
+    given = [(v, v % 5, rng.randrange(12), gt()) for v in range(12) for _ in range(60)]
+    of = spark.createDataFrame(given, "v int, n_alt int, sample int, gt string")
+    groups = spark.createDataFrame([(s, c) for s in range(10) for c in "AB" if s % 3 or c == "A"] + [(0, "A")], "sample int, category string")
+    found = ("an", "ac", "genotype_count", "nhomalt")
+    for parts in (None, 7):
+        out = alleles.counts(of, ["v"], ploidy=ploidy, parts=parts)
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r["v"]: tuple(r[k] for k in found) for r in out.collect()} == {v: _counted([g for w, _, _, g in given if w == v], v % 5, ploidy) for v in range(12)}
+        for r in alleles.by_category(of, groups, ["v"], ploidy=ploidy, parts=parts).collect():
+            mine = [g for w, _, s, g in given if w == r["v"] and s < 10 and (s % 3 or r["category"] == "A")]
+            assert tuple(r[k] for k in found) == _counted(mine, r["v"] % 5, ploidy)
+
+
+@pytest.mark.parametrize("name", ["allele_counts", "allele_freq", "genotype_counts", "hom_alt_counts"])
+def test_tasks_of_allele_queries_grow_in_number_not_in_size(spark, monkeypatch, name):
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    whole = rows(queries.QUERIES[name](spark, d))
+    monkeypatch.setattr(adapters, "ROWS", 200, raising=False)
+    out = queries.QUERIES[name](spark, d)
+    assert out.rdd.getNumPartitions() == -(-lines // 200)
+    assert rows(out) == whole
+
+
 EXONS = [(100, 150), (200, 230), (250, 300)]
 
 

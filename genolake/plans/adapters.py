@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seq import bases
@@ -139,8 +139,9 @@ MATES = "mt AS (SELECT l_orderkey AS qname, l_orderkey * 8 + l_linenumber AS rec
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One transcript per order: an exon per line number."""
-    t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.lit(1000) * F.col("l_linenumber") + F.min("l_partkey") % 500).alias("start"), F.min("l_quantity").cast("long").alias("q"))
+    """One transcript per order: an exon per line number; in parts() by order."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    t = lines.repartition(parts(spark, lines), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg((F.lit(1000) * F.col("l_linenumber") + F.min("l_partkey") % 500).alias("start"), F.min("l_quantity").cast("long").alias("q"))
     exons = t.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + 50 + F.col("q")).alias("end")))).alias("exons"))
     first, last = F.col("exons")[0]["start"], F.element_at("exons", -1)["end"]
     coding = F.col("l_orderkey") % 3 != 0
@@ -163,10 +164,14 @@ PLACED = (
 )
 
 
+def places() -> Column:
+    """Three genome positions of a transcript, in exons, introns and beyond the ends."""
+    return F.array(F.col("tx_start") - 3, F.col("tx_start") + F.col("tx_id") % 97, F.floor((F.col("tx_start") + F.col("tx_end")) / 2))
+
+
 def tx_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcripts with three genome positions each, in exons, introns and beyond the ends."""
-    t = transcripts(spark, sf_dir)
-    return t.withColumn("pos", F.explode(F.array(F.col("tx_start") - 3, F.col("tx_start") + F.col("tx_id") % 97, F.floor((F.col("tx_start") + F.col("tx_end")) / 2))))
+    """Transcripts with a row for each of their places()."""
+    return transcripts(spark, sf_dir).withColumn("pos", F.explode(places()))
 
 
 POSITIONS = "q AS (SELECT tx_id, unnest([ts - 3, ts + tx_id % 97, ((ts + te) // 2)::BIGINT]) AS pos FROM tx)"

@@ -160,6 +160,38 @@ def test_transcript_positions(spark):
     assert all(r["pos"] == r["g"] for r in back.collect())
 
 
+def test_positions_are_ordered_within_rows_and_tasks_grow_in_number(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    want = {}
+    for r in adapters.tx_positions(spark, d).withColumn("p", transcripts.to_transcript(F.col("pos"))).collect():
+        want.setdefault(r["tx_id"], set()).add((r["p"]["base"], r["p"]["offset"], r["pos"]))
+    monkeypatch.setattr(adapters, "ROWS", 200, raising=False)
+    out = queries.QUERIES["position_order"](spark, d)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.rdd.getNumPartitions() == -(-lines // 200)
+    assert rows(out) == sorted((t, ",".join(str(p) for _, _, p in sorted(found))) for t, found in want.items())
+
+
+def test_transcript_positions_against_walk(spark):
+    rng = random.Random(11)
+    for strand in "+-":
+        edges = sorted(rng.sample(range(5, 120), 8))
+        exons = list(zip(edges[::2], edges[1::2]))
+        walk = [p for s, e in exons for p in range(s, e)][:: 1 if strand == "+" else -1]
+
+        def place(p):
+            if p in walk:
+                return walk.index(p), 0
+            d, s, e = min((s - p if p < s else p - e + 1, s, e) for s, e in exons)
+            before = (p < s) == (strand == "+")
+            edge = s if p < s else e - 1
+            return walk.index(edge), -d if before else d
+
+        df = _tx(spark, strand, exons).withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(130).cast("long")))).withColumn("p", transcripts.to_transcript(F.col("pos")))
+        assert {r["pos"]: (r["p"]["base"], r["p"]["offset"]) for r in df.collect()} == {p: place(p) for p in range(131)}
+
+
 @pytest.mark.parametrize("strand", ["+", "-"])
 def test_coding_round_trip(spark, strand):
     df = transcripts.cds_bounds(_tx(spark, strand, [*EXONS, (350, 400)], (210, 270))).withColumn("pos", F.explode(F.sequence(F.lit(100).cast("long"), F.lit(399).cast("long"))))
